@@ -112,10 +112,11 @@ def vec_dir_to(u, v):
 
 
 def wind_from_uv(u, v):
-    """struct(speed, direction): speed and the direction the wind blows from."""
+    """struct(speed, direction): speed and the direction the wind blows from (180 when calm)."""
     u, v = _c(u), _c(v)
+    frm = F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0))
     return F.struct(F.hypot(u, v).alias("speed"),
-                    F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0)).alias("direction"))
+                    F.when((u == 0) & (v == 0), F.lit(180.0)).otherwise(frm).alias("direction"))
 
 
 def sin_cos_doy(ts):
