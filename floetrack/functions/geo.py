@@ -9,6 +9,12 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(x))
 
 
+def clamp(x, lo, hi):
+    """Value limited to [lo, hi]; NULL stays NULL (least / greatest would skip it)."""
+    x = _c(x)
+    return F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x)
+
+
 def micros(ts):
     """Microseconds since the epoch of a (zone-less, UTC) timestamp."""
     return F.unix_micros(_c(ts).cast("timestamp"))
@@ -24,7 +30,7 @@ def haversine(lat1, lon1, lat2, lon2, radius=R_KM):
     s1 = F.sin(F.radians(lat2 - lat1) / 2)
     s2 = F.sin(F.radians(lon2 - lon1) / 2)
     a = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    return F.lit(2.0 * radius) * F.asin(F.sqrt(clamp(a, 0.0, 1.0)))
 
 
 def bearing(lat1, lon1, lat2, lon2):
@@ -41,8 +47,7 @@ def destination(lat, lon, bearing_deg, km, radius=R_KM):
     """struct(lat, lon) reached from a start along a bearing; longitude is not wrapped."""
     lat, lon, bearing_deg, km = map(_c, (lat, lon, bearing_deg, km))
     d, b, la = km / F.lit(radius), F.radians(bearing_deg), F.radians(lat)
-    lat2 = F.asin(F.least(F.lit(1.0), F.greatest(
-        F.lit(-1.0), F.sin(la) * F.cos(d) + F.cos(la) * F.sin(d) * F.cos(b))))
+    lat2 = F.asin(clamp(F.sin(la) * F.cos(d) + F.cos(la) * F.sin(d) * F.cos(b), -1.0, 1.0))
     dlon = F.atan2(F.sin(b) * F.sin(d) * F.cos(la), F.cos(d) - F.sin(la) * F.sin(lat2))
     return F.struct(F.degrees(lat2).alias("lat"), F.degrees(F.radians(lon) + dlon).alias("lon"))
 
@@ -88,10 +93,6 @@ def from_plane(x, y, lat0, lon0):
     return F.struct((lat0 + y / k).alias("lat"), (lon0 + x / (k * F.cos(F.radians(lat0)))).alias("lon"))
 
 
-def clamp(x, lo, hi):
-    return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
-
-
 def clamp_lat(lat, lo=-89.0, hi=-50.0):
     return clamp(lat, lo, hi)
 
@@ -135,7 +136,7 @@ def season(ts):
 def cell_index(x, lo, res, n):
     """Nearest node index on a regular axis, clamped; the lower node wins a tie."""
     raw = F.ceil((_c(x) - F.lit(float(lo))) / F.lit(float(res)) - 0.5)
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(int(n) - 1)).cast("int")
+    return clamp(raw, 0, int(n) - 1).cast("int")
 
 
 def polar_xy(lat, lon, a, b, lat_ts):
@@ -155,8 +156,8 @@ def polar_xy(lat, lon, a, b, lat_ts):
 
 SQL_FUNCTIONS = {
     "geo_haversine_km": ("lat1 double, lon1 double, lat2 double, lon2 double", "double",
-                         "2 * 6371.0088D * asin(sqrt(least(1D, greatest(0D, pow(sin(radians(lat2 - lat1) / 2), 2) + "
-                         "cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))))"),
+                         "2 * 6371.0088D * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + "
+                         "cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))"),
     "geo_bearing": ("lat1 double, lon1 double, lat2 double, lon2 double", "double",
                     "pmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * "
                     "sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))), 360D)"),

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from floetrack.functions.geo import _c, micros
+from floetrack.functions.geo import _c, clamp, micros
 
 MAX_AXIS = 200_000
 
@@ -52,7 +52,7 @@ class Axis:
         """Index of the nearest value, the lower one on a tie (regular axes only)."""
         x = numeric(col, self.dtype())
         raw = F.ceil((x - self.values[0]) / F.lit(float(self.step)) - 0.5)
-        return F.least(F.greatest(raw, F.lit(0)), F.lit(self.n - 1)).cast("int")
+        return clamp(raw, 0, self.n - 1).cast("int")
 
     def table(self, spark):
         """Axis values as a frame ``(idx, value)``."""
@@ -74,7 +74,7 @@ class Axis:
 
     def bin_of(self, col):
         x = numeric(col, self.dtype())
-        x = F.least(F.greatest(x, F.lit(float(self.values[0]))), F.lit(float(self.values[-1])))
+        x = clamp(x, float(self.values[0]), float(self.values[-1]))
         width = max(self.step, 1e-12)
         return (F.floor(x / F.lit(float(width))) - F.lit(math.floor(self.values[0] / width))).cast("long")
 

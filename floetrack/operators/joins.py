@@ -7,7 +7,7 @@ from floetrack.functions import geo
 from floetrack.functions.values import rnd
 from floetrack.operators import ordered as od
 from floetrack.operators.axes import grid_axes
-from floetrack.operators.nearest import nearest_join
+from floetrack.operators.nearest import depth_of, nearest_join
 from floetrack.operators.stats import attach
 
 AXES = ("obs_time", "latitude", "longitude")
@@ -173,6 +173,7 @@ def nearest_navigable(points, point_id, grid, axes=None, window=30.0, max_km=Non
         point_id, F.col("_gla").alias("nav_lat"), F.col("_glo").alias("nav_lon"), F.lit(0.0).alias("nav_km"))
     rest = own.filter(F.coalesce("is_land", F.lit(False)))
     sea = grid.filter(~F.col("is_land")).select(F.col("latitude").alias("_cla"), F.col("longitude").alias("_clo"))
+    levels = levels or depth_of(sea, "_cla", "_clo")
     span = max(1, int(round(window / lo.step))) * lo.step
     rest = (rest.withColumn("_wlo", F.col("_glo") - (span + 1e-9)).withColumn("_whi", F.col("_glo") + (span + 1e-9)))
 

@@ -37,6 +37,12 @@ def _node(cx, cy, cz, level):
     return (cx * k + cy) * k + cz
 
 
+def depth_of(sites, lat, lon, metric="sphere"):
+    """Pyramid depth for a site table, to share between several joins on the same sites."""
+    return pyramid_depth(sites.select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+                         .dropna().distinct(), metric)
+
+
 def pyramid_depth(positions, metric="sphere"):
     """Smallest depth whose fullest leaf stays small, checked by counting (one job in the usual case)."""
     x, y, z = _axes("_lat", "_lon", metric)
@@ -49,7 +55,7 @@ def pyramid_depth(positions, metric="sphere"):
 
     level = 4
     n, m = look(level)
-    want = min(MAX_LEVEL, max(2, math.ceil(math.log(max(n, 1), 16)) + 1))
+    want = min(MAX_LEVEL, max(2, math.ceil(math.log(max(n, 1), 16))))
     if m <= LEAF_TARGET:
         return min(level, want)
     while level < MAX_LEVEL:

@@ -7,8 +7,8 @@ from floetrack.operators import tracks as tr
 from floetrack.plans.registry import case, shared_cte
 
 # Shared oracle blocks -------------------------------------------------------------------------------------------
-HAV = ("2*{R}D*asin(sqrt(least(1D,greatest(0D,pow(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))"
-       "*pow(sin(radians({d}-{c})/2),2)))))")
+HAV = ("2*{R}D*asin(sqrt(pow(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))"
+       "*pow(sin(radians({d}-{c})/2),2)))")
 
 
 def hav(a, c, b, d, R="6371.0088"):

@@ -3,7 +3,7 @@ import importlib
 
 from floetrack.plans.fixtures import Views, oracle
 
-MODULES = ["tracks", "functions", "quality", "grids"]
+MODULES = ["tracks", "functions", "quality", "grids", "joins"]
 CASES = {}
 CTES = {}
 
