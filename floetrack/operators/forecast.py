@@ -36,9 +36,9 @@ def straight_line(df, hours, speed="drift_speed_kmh", bearing="drift_direction_d
     return df.withColumn("_p", p).withColumn("pred_lat", F.col("_p.lat")).withColumn("pred_lon", F.col("_p.lon")).drop("_p")
 
 
-def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="vo", key=tr.KEY, order=tr.ORDER):
+def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="vo", key=tr.KEY, order=tr.ORDER, chunk=od.AUTO):
     """Advection at the trailing mean current for ``steps`` steps from every fix (needs tangent-plane columns)."""
-    d = tr.trailing_mean(df, [u, v], seq_len, key, order)
+    d = tr.trailing_mean(df, [u, v], seq_len, key, order, chunk)
     dt = F.when(F.col(dt_hours) > 0, F.col(dt_hours)).otherwise(F.lit(6.0)) if dt_hours in df.columns else F.lit(6.0)
     d = d.withColumn("_dt", dt).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(steps)))))
     x = F.col("x_km") + F.col(f"{u}_mean") * 3.6 * F.col("_dt") * F.col("k")
@@ -50,14 +50,13 @@ def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="v
             .drop("_p", "_dt", f"{u}_mean", f"{v}_mean"))
 
 
-def window_tails(df, seq_len=5, env=("uo", "vo", "u10", "v10"), key=tr.KEY, order=tr.ORDER):
+def window_tails(df, seq_len=5, env=("uo", "vo", "u10", "v10"), key=tr.KEY, order=tr.ORDER, chunk=od.AUTO):
     """The last ``seq_len`` rows of every track as one array with trailing environment means: one small row per track.
 
     Only the tail of each chunk and then of each track is collected, never the whole track.
     """
-    t = order[0]
     cols = ["x_km", "y_km", "latitude", "longitude", "length_km", "width_km", "origin_lat", "origin_lon", *env]
-    rn = od.row_numbers(df.select(*key, *order, *cols), key, order, od.time_chunk(t), "_rn", "_n")
+    rn = od.row_numbers(df.select(*key, *order, *cols), key, order, od.chunk_width(df, key, order, chunk), "_rn", "_n")
     tail = rn.filter(F.col("_rn") > F.col("_n") - seq_len)
     return tail.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct(*order, "x_km", "y_km"))).alias("tail"),
@@ -71,7 +70,8 @@ RECURSIVE_SCHEMA = ("iceberg_id string, step int, forecast_time timestamp_ntz, h
                     "longitude double, x_km double, y_km double, step_km double")
 
 
-def recursive_forecast(df, predictor, steps, seq_len=5, key="iceberg_id", env=("uo", "vo", "u10", "v10"), dt_hours=None):
+def recursive_forecast(df, predictor, steps, seq_len=5, key="iceberg_id", env=("uo", "vo", "u10", "v10"), dt_hours=None,
+                       chunk=od.AUTO):
     """Feed each prediction back as the newest row of the window, the environment held at its trailing mean.
 
     ``df`` has tangent-plane columns; ``predictor(window: ndarray[T, F]) -> (x, y)`` in km is called once per step and
@@ -79,8 +79,8 @@ def recursive_forecast(df, predictor, steps, seq_len=5, key="iceberg_id", env=("
     Tracks are reduced to their last ``seq_len`` rows first, so a task only ever holds tails.
     """
     import math
-    tails = window_tails(df, seq_len, env, [key])
-    med = tr.median_step_hours(df, [key]) if dt_hours is None else None
+    tails = window_tails(df, seq_len, env, [key], chunk=chunk)
+    med = tr.median_step_hours(df, [key], chunk=chunk) if dt_hours is None else None
     tails = tails.join(med, key, "left") if med is not None else tails.withColumn("median_dt_hours", F.lit(float(dt_hours)))
     tails = tails.withColumn("tail_us", F.transform("tail", lambda r: geo.micros(r["obs_time"])))
     tails = tails.withColumn("tail_x", F.transform("tail", lambda r: r["x_km"])).withColumn("tail_y", F.transform("tail", lambda r: r["y_km"])).drop("tail")

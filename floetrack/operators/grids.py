@@ -136,22 +136,19 @@ def polar_regrid(targets, src, grid_def, value="value"):
     return t.join(src.select("iy", "ix", value), ["iy", "ix"], "left")
 
 
-def _cell_halo(df, before=0, after=0, time_col="obs_time", keys=CELL, chunk_days=365.0):
-    return od.with_halo(df, keys, [time_col], od.time_chunk(time_col, chunk_days), before, after)
-
-
-def cell_diff(df, value, out="sic_change", time_col="obs_time", axes=None, chunk_days=365.0):
+def cell_diff(df, value, out="sic_change", time_col="obs_time", axes=None, chunk=od.AUTO):
     """Difference to the previous time step of the grid's axis; NULL when the cell is absent at that step."""
     ax = (axes or grid_axes(df, [time_col]))[time_col]
     d = ax.index_of(df, time_col, "_t", True)
-    h = _cell_halo(d, before=1, time_col=time_col, chunk_days=chunk_days)
-    w = od.chunk_window(CELL, [time_col])
+    width = od.chunk_width(df, CELL, [time_col], chunk)
+    h = od.with_halo(d, CELL, [time_col], width, before=1)
+    w = od.window(CELL, [time_col], width)
     h = h.withColumn("_pt", F.lag("_t").over(w)).withColumn("_pv", F.lag(value).over(w))
     return (od.drop_halo(h).withColumn(out, F.when(F.col("_pt") == F.col("_t") - 1, F.col(value) - F.col("_pv")))
             .drop("_t", "_pt", "_pv"))
 
 
-def fill_gaps(df, value, max_gap=1, time_col="obs_time", axes=None, out=None, chunk_days=365.0):
+def fill_gaps(df, value, max_gap=1, time_col="obs_time", axes=None, out=None, chunk=od.AUTO):
     """Linear fill in time of runs of at most ``max_gap`` missing steps between two observed ones, per cell.
 
     A step counts as missing when the row is absent or its value is NULL; only existing rows are filled.
@@ -161,8 +158,9 @@ def fill_gaps(df, value, max_gap=1, time_col="obs_time", axes=None, out=None, ch
     out = out or value
     d = ax.index_of(df, time_col, "_t", True)
     # A run of up to max_gap steps lies within max_gap + 1 neighbouring rows.
-    h = _cell_halo(d, max_gap + 1, max_gap + 1, time_col, chunk_days=chunk_days)
-    w = od.chunk_window(CELL, [time_col])
+    width = od.chunk_width(df, CELL, [time_col], chunk)
+    h = od.with_halo(d, CELL, [time_col], width, max_gap + 1, max_gap + 1)
+    w = od.window(CELL, [time_col], width)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(value).alias("v")))
     h = (h.withColumn("_a", F.last(seen, ignorenulls=True).over(w.rowsBetween(-(max_gap + 1), -1)))
          .withColumn("_b", F.first(seen, ignorenulls=True).over(w.rowsBetween(1, max_gap + 1))))
@@ -229,15 +227,16 @@ def consecutive_pairs(df, value, keys=("latitude", "longitude"), time_col="obs_t
     return d.withColumnRenamed(value, "actual").join(a, [*keys, "_t"]).drop("_t")
 
 
-def cell_windows(df, channels, steps=7, horizon=1, target="sic", time_col="obs_time", axes=None, chunk_days=365.0):
+def cell_windows(df, channels, steps=7, horizon=1, target="sic", time_col="obs_time", axes=None, chunk=od.AUTO):
     """Per cell: the last ``steps`` steps of every channel (flattened) and the target ``horizon`` steps later.
 
     A row is made for every cell and window end that exists; ``valid`` is false when a step, channel or the target is missing.
     """
     ax = (axes or grid_axes(df, [time_col]))[time_col]
     d = ax.index_of(df, time_col, "_t", True)
-    h = _cell_halo(d, steps - 1, horizon, time_col, chunk_days=chunk_days)
-    w = od.chunk_window(CELL, [time_col])
+    width = od.chunk_width(df, CELL, [time_col], chunk)
+    h = od.with_halo(d, CELL, [time_col], width, steps - 1, horizon)
+    w = od.window(CELL, [time_col], width)
     frame = w.rowsBetween(-(steps - 1), 0)
     item = F.struct(F.col("_t").alias("t"), F.array(*[F.col(c).cast("double") for c in channels]).alias("v"))
     h = h.withColumn("_w", F.collect_list(item).over(frame))

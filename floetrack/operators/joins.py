@@ -99,11 +99,12 @@ def pair_distance(pairs, points, key, a="id_a", b="id_b"):
             .drop(*[f"_{c}_{s}" for c in ("la", "lo") for s in (a, b)]))
 
 
-def route_samples(waypoints, samples=50, include_ends=True, route="route_id", order="wp_index", extra=()):
+def route_samples(waypoints, samples=50, route="route_id", order="wp_index", extra=(), chunk=od.AUTO):
     """Points along every route: ``samples`` linear steps per segment (end excluded) plus the last waypoint."""
-    h = od.with_halo(waypoints.select(route, order, "latitude", "longitude", *extra), [route], [order],
-                     od.index_chunk(order), after=1)
-    w = od.chunk_window([route], [order])
+    wp = waypoints.select(route, order, "latitude", "longitude", *extra)
+    width = od.chunk_width(wp, [route], [order], chunk)
+    h = od.with_halo(wp, [route], [order], width, after=1)
+    w = od.window([route], [order], width)
     h = h.withColumn("_la", F.lead("latitude").over(w)).withColumn("_lo", F.lead("longitude").over(w))
     h = od.drop_halo(h)
     steps = F.when(F.col("_la").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(samples - 1)))
@@ -228,11 +229,11 @@ def resolve_endpoints(points, point_id, grid, places, max_km=100.0, axes=None, l
         F.when(status == "approach", F.when(F.col("nav_km") <= max_km, near).otherwise(far)).alias("note"))
 
 
-def sample_grid(points, grid, columns, axes=None):
+def sample_grid(points, grid, columns, axes=None, lat="latitude", lon="longitude"):
     """Values of the nearest cell (clamped) of a regular grid at every point."""
     ax = axes or grid_axes(grid, ("latitude", "longitude"))
     la, lo = ax["latitude"], ax["longitude"]
-    p = lo.index_of(la.index_of(points, "latitude", "_i"), "longitude", "_j")
+    p = lo.index_of(la.index_of(points, lat, "_i"), lon, "_j")
     g = lo.index_of(la.index_of(grid, "latitude", "_i", True), "longitude", "_j", True).select("_i", "_j", *columns)
     return p.join(g, ["_i", "_j"], "left").drop("_i", "_j")
 

@@ -138,9 +138,9 @@ def attach_left(one, maybe):
     return (one.withColumn("_k", F.lit(0)).join(F.broadcast(maybe.withColumn("_k", F.lit(0))), "_k", "left").drop("_k"))
 
 
-def per_track_errors(df, key=tr.KEY, order=tr.ORDER):
+def per_track_errors(df, key=tr.KEY, order=tr.ORDER, chunk=tr.od.AUTO):
     """Persistence error over each track's test part; tracks below two fixes need more data."""
-    s = tr.per_track_split(df, key, order)
+    s = tr.per_track_split(df, key, order, chunk)
     km = F.when((F.col("split") == "test") & (F.col("row_index") > 0),
                 geo.haversine("prev_latitude", "prev_longitude", "latitude", "longitude"))
     s = s.withColumn("_km", km)
@@ -149,7 +149,8 @@ def per_track_errors(df, key=tr.KEY, order=tr.ORDER):
     return out.withColumn("status", F.when(F.col("n_obs") < 2, "needs_more_data").otherwise("ok"))
 
 
-def two_hour_eval(tracks, predictor=None, hours=2.0, tol=0.25, error_km=20.0, key=tr.KEY, time_col="obs_time"):
+def two_hour_eval(tracks, predictor=None, hours=2.0, tol=0.25, error_km=20.0, key=tr.KEY, time_col="obs_time",
+                  chunk=tr.od.AUTO):
     """One row: evaluation of consecutive fixes about ``hours`` apart.
 
     Duplicate ``(id, time)`` rows and rows without time or position are counted and left out.
@@ -164,7 +165,9 @@ def two_hour_eval(tracks, predictor=None, hours=2.0, tol=0.25, error_km=20.0, ke
     rest = [c for c in ("event_id",) if c in ok.columns]
     clean = (ok.groupBy(*key, time_col).agg(F.min_by(F.struct("latitude", "longitude"), F.struct(*(rest or ["latitude", "longitude"]))).alias("_b"))
              .select(*key, time_col, "_b.*"))
-    h = tr.with_lags(clean, [time_col, "latitude", "longitude"], key, [time_col], "prev_")
+    # the uncleaned table bounds the rows per track, so the skew check can use it
+    width = tr.od.chunk_width(tracks, key, [time_col], chunk)
+    h = tr.with_lags(clean, [time_col, "latitude", "longitude"], key, [time_col], "prev_", width)
     h = h.withColumn("gap_hours", geo.hours_between(time_col, f"prev_{time_col}"))
     pred = predictor(F.col("prev_latitude"), F.col("prev_longitude"), F.col("gap_hours")) if predictor else (
         F.col("prev_latitude"), F.col("prev_longitude"))

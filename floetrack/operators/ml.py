@@ -19,7 +19,11 @@ def fit_track_forest(train, features=TRACK_FEATURES, targets=("target_lat_delta"
     for t in targets:
         stages.append(RandomForestRegressor(featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", numTrees=trees, maxDepth=depth,
                                             minInstancesPerNode=min_leaf, seed=seed))
-    return Pipeline(stages=stages).fit(train)
+    data = train.persist()                      # the stages pass over the rows several times
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict_track_forest(model, df):
@@ -40,7 +44,7 @@ def score_track_forest(pred):
 def fit_cell_forest(windows, max_rows=200_000, trees=30, depth=8, seed=0, n_rows=None):
     """Forest on flattened cell windows. Training rows are a seeded random sample of about ``max_rows`` when there are more
     (sampling is part of the method), taken by a hash so no global sort is needed."""
-    ok = windows.filter("valid")
+    full = ok = windows.filter("valid").persist()
     n = n_rows if n_rows is not None else ok.count()
     if n == 0:
         raise ValueError("no valid training cells")
@@ -48,7 +52,11 @@ def fit_cell_forest(windows, max_rows=200_000, trees=30, depth=8, seed=0, n_rows
         ok = ok.sample(fraction=max_rows / n, seed=seed)
     from pyspark.ml.functions import array_to_vector
     data = ok.select(array_to_vector(F.col("features")).alias("_x"), F.col("target").cast("double").alias("_y"))
-    return RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="pred", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
+    try:
+        return RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="pred", numTrees=trees, maxDepth=depth,
+                                     seed=seed).fit(data)
+    finally:
+        full.unpersist()
 
 
 def predict_cell_forest(model, windows):

@@ -1,7 +1,8 @@
 """Order-dependent work on keyed rows that stays balanced when one key holds a large share of the data.
 
-A key's history is cut into chunks (a time span or a range of positions), and every window runs per
-``(key, chunk)``. Two small aids keep results identical to a window over the whole key:
+The largest key is measured first (one aggregate job). When it fits a task, plain windows per key are used: one
+shuffle. Otherwise a key's history is cut into chunks along the ordering column, every window runs per
+``(key, chunk)``, and two aids keep the results identical to a window over the whole key:
 
 * ``with_halo`` copies the last / first few rows of the neighbouring chunks into each chunk, so bounded
   frames (lag, lead, rows between) see their neighbours;
@@ -17,36 +18,61 @@ from floetrack.functions.geo import micros
 
 CHUNK = "_chunk"
 HALO = "_halo"
-DAY_US = 86_400_000_000
+DAY_US = 86_400_000_000.0
+TASK_ROWS = 4_000_000           # rows of one key a single task may order
+AUTO = "auto"
 
 
-def time_chunk(ts, days=30.0):
-    """Chunk number of a timestamp."""
-    return F.floor(micros(ts) / F.lit(float(days * DAY_US))).cast("long")
+def _position(df, col):
+    """Ordering column on a numeric scale (microseconds for times)."""
+    return micros(col) if dict(df.dtypes)[col].startswith("timestamp") else F.col(col)
 
 
-def index_chunk(col, size=100_000):
-    """Chunk number of an integer position."""
-    return F.floor(F.col(col) / F.lit(size)).cast("long")
+class Width(float):
+    """A chunk width already on the ordering column's scale."""
 
 
-def chunk_window(keys, order, chunk=CHUNK):
-    return Window.partitionBy(*keys, chunk).orderBy(*order)
+def chunk_width(df, keys, order, chunk=AUTO):
+    """Chunk width on the ordering column's scale, or None when every key fits a task.
+
+    ``chunk``: ``auto`` measures the largest key; None forces plain windows; a number forces a width
+    (days for times, units otherwise).
+    """
+    if chunk is None or isinstance(chunk, Width):
+        return chunk
+    is_time = dict(df.dtypes)[order[0]].startswith("timestamp")
+    if chunk != AUTO:
+        return Width(chunk * DAY_US if is_time else chunk)
+    pos = _position(df, order[0]).cast("double")
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("lo"), F.max(pos).alias("hi"))
+    big = per.agg(F.max_by(F.struct("n", "lo", "hi"), "n").alias("b")).first()["b"]
+    if big is None or big["n"] <= TASK_ROWS or big["hi"] is None:
+        return None
+    return Width(max((big["hi"] - big["lo"]) * TASK_ROWS / big["n"], 1.0))
+
+
+def with_chunk(df, order, width):
+    """Add ``_chunk``; a constant when ``width`` is None."""
+    c = F.lit(0).cast("long") if width is None else F.floor(_position(df, order[0]) / F.lit(float(width))).cast("long")
+    return df.withColumn(CHUNK, c)
 
 
-def _flip(order):
-    return [F.desc(o) for o in order]
+def window(keys, order, width):
+    """Window over a key in order, or over its chunk when chunked."""
+    w = Window.partitionBy(*keys) if width is None else Window.partitionBy(*keys, CHUNK)
+    return w.orderBy(*order)
 
 
-def with_halo(df, keys, order, chunk, before=0, after=0):
+def with_halo(df, keys, order, width, before=0, after=0):
     """Rows plus ``_chunk`` and ``_halo``; halo rows are copies from neighbouring chunks to be dropped later."""
     keys, order = list(keys), list(order)
-    base = df.withColumn(CHUNK, chunk)
+    base = with_chunk(df, order, width)
     out = [base.withColumn(HALO, F.lit(False))]
-    if before or after:
-        sizes = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-        wk = Window.partitionBy(*keys).orderBy(CHUNK)
-        sizes = sizes.withColumn("_cum", F.sum("_n").over(wk))
+    if width is None or not (before or after):
+        return out[0]
+    sizes = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy(*keys).orderBy(CHUNK)
+    sizes = sizes.withColumn("_cum", F.sum("_n").over(wk))
     for k, back in ((before, True), (after, False)):
         if not k:
             continue
@@ -58,7 +84,7 @@ def with_halo(df, keys, order, chunk, before=0, after=0):
                           ((F.col("_t.start") - F.col("_cum")) if back
                            else (F.col("_cum") - F.col("_n") - F.col("_t.end"))).alias("_skip"))
                   .filter(F.col("_skip") < k))
-        w = Window.partitionBy(*keys, CHUNK).orderBy(*(_flip(order) if back else order))
+        w = Window.partitionBy(*keys, CHUNK).orderBy(*([F.desc(o) for o in order] if back else order))
         edge = base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
         out.append(edge.join(target, keys + [CHUNK])
                    .filter(F.col("_r") + F.col("_skip") <= k)
@@ -72,50 +98,53 @@ def drop_halo(df, keep_chunk=False):
     return out if keep_chunk else out.drop(CHUNK)
 
 
-def with_prefix(df, keys, sums=(), mins=(), maxs=(), count=None):
-    """Join per-key totals and the sums of earlier chunks onto rows that carry ``_chunk``.
+def with_prefix(df, keys, width, sums=(), mins=(), maxs=(), count=None):
+    """Add per-key totals and the sums of earlier chunks to rows that carry ``_chunk``.
 
     For every column ``c`` of ``sums``: ``c_before`` (earlier chunks) and ``c_total``; of ``mins`` / ``maxs``:
     ``c_min`` / ``c_max`` of the key; ``count`` names a row counter giving ``<count>_before`` and ``<count>_total``.
     """
     keys = list(keys)
+    zero = {c: F.lit(0.0) for c in sums}
+    if count:
+        zero[count] = F.lit(0).cast("long")
+    wk = Window.partitionBy(*keys)
+    if width is None:
+        cols = [z.alias(f"{c}_before") for c, z in zero.items()]
+        cols += [F.sum(c).over(wk).alias(f"{c}_total") for c in sums]
+        cols += [F.min(c).over(wk).alias(f"{c}_min") for c in mins] + [F.max(c).over(wk).alias(f"{c}_max") for c in maxs]
+        if count:
+            cols.append(F.count(F.lit(1)).over(wk).alias(f"{count}_total"))
+        return df.select("*", *cols)
     aggs = [F.sum(c).alias(f"_s_{c}") for c in sums]
     aggs += [F.min(c).alias(f"_mn_{c}") for c in mins] + [F.max(c).alias(f"_mx_{c}") for c in maxs]
     if count:
         aggs.append(F.count(F.lit(1)).alias(f"_s_{count}"))
     part = df.groupBy(*keys, CHUNK).agg(*aggs)
-    wk = Window.partitionBy(*keys)
     wb = wk.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    zero = {c: F.lit(0.0) for c in sums}
-    names = list(sums)
-    if count:
-        names.append(count)
-        zero[count] = F.lit(0)
-    cols = [F.coalesce(F.sum(f"_s_{c}").over(wb), zero[c]).alias(f"{c}_before") for c in names]
-    cols += [F.sum(f"_s_{c}").over(wk).alias(f"{c}_total") for c in names]
+    cols = [F.coalesce(F.sum(f"_s_{c}").over(wb), z).alias(f"{c}_before") for c, z in zero.items()]
+    cols += [F.sum(f"_s_{c}").over(wk).alias(f"{c}_total") for c in zero]
     cols += [F.min(f"_mn_{c}").over(wk).alias(f"{c}_min") for c in mins]
     cols += [F.max(f"_mx_{c}").over(wk).alias(f"{c}_max") for c in maxs]
     return df.join(part.select(*keys, CHUNK, *cols), keys + [CHUNK])
 
 
-def row_numbers(df, keys, order, chunk, rn="rn", n=None):
+def running_sum(col, keys, order, width):
+    """Sum up to the row within its chunk; add ``<col>_before`` for the running sum of the key."""
+    return F.sum(col).over(window(keys, order, width).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def row_numbers(df, keys, order, width, rn="rn", n=None):
     """1-based position of each row within its key and, on request, the key's row count."""
-    base = df.withColumn(CHUNK, chunk)
-    base = base.withColumn("_rn0", F.row_number().over(chunk_window(keys, order)))
-    out = with_prefix(base, keys, count="_rows").withColumn(rn, F.col("_rn0") + F.col("_rows_before"))
+    base = with_chunk(df, order, width).withColumn("_rn0", F.row_number().over(window(keys, order, width)))
+    out = with_prefix(base, keys, width, count="_rows").withColumn(rn, F.col("_rn0") + F.col("_rows_before"))
     if n:
         out = out.withColumn(n, F.col("_rows_total"))
     return out.drop("_rn0", "_rows_before", "_rows_total", CHUNK)
 
 
-def first_per_key(df, keys, order):
-    """First row of each key by ``order``; a map-side combined aggregate, no window."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)) if rest else None
-    return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
-
-
 def last_per_key(df, keys, order):
+    """Last row of each key by ``order``; a map-side combined aggregate, no window."""
     rest = [c for c in df.columns if c not in keys]
     return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_b"))
             .select(*keys, "_b.*"))

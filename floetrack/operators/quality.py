@@ -227,8 +227,9 @@ def feature_summary(df, columns, stale=()):
 def cadence(df, time_col="obs_time", chunk_days=365.0):
     """One row: median positive step between distinct times, in whole hours (NULL below two times)."""
     t = df.select(F.floor(geo.micros(time_col) / 3.6e9).cast("long").alias("_h")).distinct().withColumn("_k", F.lit(0))
-    h = od.with_halo(t, ["_k"], ["_h"], od.index_chunk("_h", int(chunk_days * 24)), before=1)
-    h = od.drop_halo(h.withColumn("_p", F.lag("_h").over(od.chunk_window(["_k"], ["_h"]))))
+    width = od.Width(chunk_days * 24)         # distinct hours are one key: always chunked
+    h = od.with_halo(t, ["_k"], ["_h"], width, before=1)
+    h = od.drop_halo(h.withColumn("_p", F.lag("_h").over(od.window(["_k"], ["_h"], width))))
     med = exact_median(h.withColumn("_step", F.col("_h") - F.col("_p")).filter("_step > 0"), "_step", name="cadence_hours")
     return df.limit(0).agg(F.count(F.lit(1)).alias("_z")).join(
         med.withColumn("_z", F.lit(0).cast("long")), "_z", "left").select("cadence_hours")

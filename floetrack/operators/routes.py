@@ -110,45 +110,53 @@ def explanation(notes, cfg=DEPLOYED):
     return notes.withColumn("explanation", F.array_distinct(F.concat("notes", F.array(*[F.lit(x) for x in lines]).cast("array<string>"))))
 
 
-def score_waypoints(waypoints, grid, routes, vessels, cfg=DEPLOYED, axes=None):
+def route_segments(waypoints, route="route_id", order="wp_index", chunk=od.AUTO):
+    """Previous position, segment and running length (km) of every waypoint, from the raw waypoints alone."""
+    wp = waypoints.select(route, order, *CELL)
+    width = od.chunk_width(wp, [route], [order], chunk)
+    h = od.with_halo(wp, [route], [order], width, before=1)
+    w = od.window([route], [order], width)
+    h = od.drop_halo(h.withColumn("prev_latitude", F.lag("latitude").over(w)).withColumn("prev_longitude", F.lag("longitude").over(w)),
+                     keep_chunk=True)
+    h = h.withColumn("segment_km", F.coalesce(geo.haversine("prev_latitude", "prev_longitude", *CELL), F.lit(0.0)))
+    h = h.withColumn("_run", od.running_sum("segment_km", [route], [order], width))
+    h = od.with_prefix(h, [route], width, sums=["segment_km"])
+    return (h.withColumn("cumulative_km", F.col("segment_km_before") + F.col("_run"))
+            .withColumnRenamed("segment_km_total", "total_km").drop("_run", "segment_km_before", od.CHUNK))
+
+
+def score_waypoints(waypoints, grid, routes, vessels, cfg=DEPLOYED, axes=None, chunk=od.AUTO):
     """Waypoints with segment and running distance, heading, time, fuel and the sampled risk of their cell.
 
     ``routes`` has (route_id, vessel_id); ``vessels`` has (vessel_id, cruise_speed_knots, rate, max_concentration, clearance_km).
-    A vessel's own concentration limit is applied to the sampled cell.
+    A vessel's own concentration limit is applied to the sampled cell. The grid is joined last, once for the waypoint
+    and once for its predecessor, so the window work never carries it.
     """
     ax = axes or grid_axes(grid, ("latitude", "longitude"))
     v = vessels.select("vessel_id", F.coalesce("cruise_speed_knots", F.lit(12.0)).alias("speed_knots"), "rate",
                        "max_concentration", "clearance_km")
-    w0 = waypoints.join(routes.select("route_id", "vessel_id"), "route_id").join(v, "vessel_id", "left")
+    s = (route_segments(waypoints, chunk=chunk).join(routes.select("route_id", "vessel_id"), "route_id")
+         .join(v, "vessel_id", "left"))
     la, lo = ax["latitude"].values, ax["longitude"].values
-    w0 = w0.withColumn("inside", F.col("latitude").between(la[0], la[-1]) & F.col("longitude").between(lo[0], lo[-1]))
-    s = sample_grid(w0, grid, ["concentration", "iceberg_km", "total_risk", "is_land", "blocked"], ax)
-    over = F.coalesce(F.col("concentration") > F.col("max_concentration"), F.lit(False))
-    s = (s.withColumn("blocked", F.coalesce("blocked", F.lit(False)) | over)
+    s = s.withColumn("inside", F.col("latitude").between(la[0], la[-1]) & F.col("longitude").between(lo[0], lo[-1]))
+    s = sample_grid(s, grid, ["concentration", "iceberg_km", "total_risk", "is_land", "blocked"], ax)
+    before = grid.select(*CELL, F.col("concentration").alias("_pc"), F.col("total_risk").alias("_pr"))
+    s = sample_grid(s, before, ["_pc", "_pr"], ax, "prev_latitude", "prev_longitude")
+    over = lambda c: F.coalesce(F.col(c) > F.col("max_concentration"), F.lit(False))
+    risk_of = lambda c, t: F.when(over(c), F.lit(1.0)).otherwise(F.coalesce(t, F.lit(0.0)))
+    s = (s.withColumn("blocked", F.coalesce("blocked", F.lit(False)) | over("concentration"))
          .withColumn("is_land", F.coalesce("is_land", F.lit(False)))
-         .withColumn("risk_score", F.when(over, F.lit(1.0)).otherwise(F.coalesce("total_risk", F.lit(0.0)))))
-    h = od.with_halo(s, ["route_id"], ["wp_index"], od.index_chunk("wp_index"), before=1)
-    w = od.chunk_window(["route_id"], ["wp_index"])
-    for c in ("latitude", "longitude", "risk_score"):
-        h = h.withColumn(f"_p_{c}", F.lag(c).over(w))
-    h = od.drop_halo(h, keep_chunk=True)
-    km = geo.haversine("_p_latitude", "_p_longitude", "latitude", "longitude")
-    h = (h.withColumn("segment_km", F.coalesce(km, F.lit(0.0))).withColumn("segment_nm", F.col("segment_km") / NM_TO_KM)
-         .withColumn("heading_deg", F.coalesce(geo.bearing("_p_latitude", "_p_longitude", "latitude", "longitude"), F.lit(0.0)))
-         .withColumn("segment_hours", F.col("segment_nm") / F.col("speed_knots"))
-         .withColumn("segment_fuel", F.col("rate") * F.col("segment_hours") / 24.0)
-         .withColumn("segment_risk", F.when(F.col("_p_latitude").isNotNull(), F.greatest("risk_score", "_p_risk_score"))))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    for c in ("segment_km", "segment_hours", "segment_fuel"):
-        h = h.withColumn(f"_run_{c}", F.sum(c).over(run))
-    h = od.with_prefix(h, ["route_id"], sums=["segment_km", "segment_hours", "segment_fuel"])
-    return h.select(
+         .withColumn("risk_score", risk_of("concentration", "total_risk"))
+         .withColumn("segment_risk", F.when(F.col("prev_latitude").isNotNull(),
+                                            F.greatest("risk_score", risk_of("_pc", "_pr")))))
+    nm = F.col("cumulative_km") / NM_TO_KM
+    return s.select(
         "route_id", "wp_index", "vessel_id", "latitude", "longitude", "inside", "is_land", "blocked", "speed_knots", "rate",
         "max_concentration", "clearance_km", "concentration", "iceberg_km", "risk_score",
-        risk.risk_level("risk_score").alias("risk_level"), "segment_km", "segment_nm", "heading_deg", "segment_risk",
-        (F.col("segment_km_before") + F.col("_run_segment_km")).alias("cumulative_km"),
-        (F.col("segment_hours_before") + F.col("_run_segment_hours")).alias("elapsed_hours"),
-        (F.col("segment_fuel_before") + F.col("_run_segment_fuel")).alias("fuel_tons"))
+        risk.risk_level("risk_score").alias("risk_level"), "segment_km", (F.col("segment_km") / NM_TO_KM).alias("segment_nm"),
+        F.coalesce(geo.bearing("prev_latitude", "prev_longitude", *CELL), F.lit(0.0)).alias("heading_deg"), "segment_risk",
+        "cumulative_km", (nm / F.col("speed_knots")).alias("elapsed_hours"),
+        (F.col("rate") * nm / F.col("speed_knots") / 24.0).alias("fuel_tons"))
 
 
 def route_rollup(scored, cfg=DEPLOYED):
@@ -242,18 +250,20 @@ def route_alerts(routes, waypoints, ice=None, bergs=None, cfg=None, levels=None)
     return out[0].unionByName(out[1])
 
 
-def position_along(waypoints, at, route="route_id", order="wp_index"):
+def position_along(waypoints, at, route="route_id", order="wp_index", chunk=od.AUTO):
     """Position at a fraction (0..1) of each route's length, by great-circle interpolation inside the crossing segment.
 
     ``at`` is a frame (route, fraction). Adds the remaining distance, progress percent and fuel left (nm / 2000).
     """
-    h = od.with_halo(waypoints.select(route, order, *CELL), [route], [order], od.index_chunk(order), after=1)
-    w = od.chunk_window([route], [order])
+    wp = waypoints.select(route, order, *CELL)
+    width = od.chunk_width(wp, [route], [order], chunk)
+    h = od.with_halo(wp, [route], [order], width, after=1)
+    w = od.window([route], [order], width)
     h = h.withColumn("_la", F.lead("latitude").over(w)).withColumn("_lo", F.lead("longitude").over(w))
     h = od.drop_halo(h, keep_chunk=True).withColumn("_seg", F.coalesce(
         geo.haversine("latitude", "longitude", "_la", "_lo", R_NM), F.lit(0.0)))
-    h = h.withColumn("_cum", F.sum("_seg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    h = od.with_prefix(h, [route], sums=["_seg"])
+    h = h.withColumn("_cum", od.running_sum("_seg", [route], [order], width))
+    h = od.with_prefix(h, [route], width, sums=["_seg"])
     h = h.withColumn("_end", F.col("_seg_before") + F.col("_cum")).withColumn("_start", F.col("_end") - F.col("_seg"))
     j = h.join(at.select(route, F.least(F.greatest("fraction", F.lit(0.0)), F.lit(1.0)).alias("_f")), route)
     j = j.withColumn("_t", F.col("_seg_total") * F.col("_f"))

@@ -12,14 +12,11 @@ KEY = ["iceberg_id"]
 ORDER = ["obs_time", "event_id"]
 
 
-def _halo(df, key, order, before=0, after=0, chunk_days=30.0):
-    return od.with_halo(df, key, order, od.time_chunk(order[0], chunk_days), before, after)
-
-
-def kinematics(tracks, min_hours=0.05, key=KEY, order=ORDER, chunk_days=30.0):
+def kinematics(tracks, min_hours=0.05, key=KEY, order=ORDER, chunk=od.AUTO):
     """Step time, distance, speed, bearing, heading change, running and total path, first fix and age."""
-    h = _halo(tracks, key, order, before=2, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    width = od.chunk_width(tracks, key, order, chunk)
+    h = od.with_halo(tracks, key, order, width, before=2)
+    w = od.window(key, order, width)
     lat0, lon0, t0 = (F.lag(c).over(w) for c in ("latitude", "longitude", order[0]))
     h = h.withColumn("_lat0", lat0).withColumn("_lon0", lon0).withColumn("_t0", t0)
     h = (h.withColumn("_dt", F.greatest(geo.hours_between(order[0], "_t0"), F.lit(min_hours)))
@@ -30,7 +27,7 @@ def kinematics(tracks, min_hours=0.05, key=KEY, order=ORDER, chunk_days=30.0):
     base = od.drop_halo(h, keep_chunk=True)
     base = base.withColumn("_run", F.sum(F.coalesce("_nm", F.lit(0.0))).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    base = od.with_prefix(base, key, sums=["_nm"], mins=[order[0]])
+    base = od.with_prefix(base, key, width, sums=["_nm"], mins=[order[0]])
     out = (base
            .withColumn("time_diff_hours", rnd("_dt", 4))
            .withColumn("displacement_nm", rnd("_nm", 4))
@@ -44,10 +41,11 @@ def kinematics(tracks, min_hours=0.05, key=KEY, order=ORDER, chunk_days=30.0):
     return out.drop(*[c for c in out.columns if c.startswith("_")], f"{order[0]}_min")
 
 
-def with_lags(df, cols, key=KEY, order=ORDER, prefix="prev_", chunk_days=30.0):
+def with_lags(df, cols, key=KEY, order=ORDER, prefix="prev_", chunk=od.AUTO):
     """Previous value of each column within its key."""
-    h = _halo(df, key, order, before=1, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    width = od.chunk_width(df, key, order, chunk)
+    h = od.with_halo(df, key, order, width, before=1)
+    w = od.window(key, order, width)
     for c in cols:
         h = h.withColumn(f"{prefix}{c}", F.lag(c).over(w))
     return od.drop_halo(h)
@@ -63,9 +61,10 @@ def feature_lags(df, sic="sic", key=KEY, order=ORDER):
             .withColumn("iceberg_heading_deg", geo.bearing("prev_latitude", "prev_longitude", "latitude", "longitude")))
 
 
-def _per_key(df, key, aggs, time_col, chunk_days=30.0):
+def _per_key(df, key, aggs, time_col, chunk=od.AUTO):
     """Join per-key aggregates back through (key, chunk), so a hot key stays spread."""
-    return od.with_prefix(df.withColumn(od.CHUNK, od.time_chunk(time_col, chunk_days)), key, **aggs).drop(od.CHUNK)
+    width = od.chunk_width(df, key, [time_col], chunk)
+    return od.with_prefix(od.with_chunk(df, [time_col], width), key, width, **aggs).drop(od.CHUNK)
 
 
 def time_features(df, key=KEY, time_col="obs_time"):
@@ -110,9 +109,9 @@ def has_multi_time(df, key=KEY, time_col="obs_time"):
     return per.agg(F.coalesce(F.bool_or("m"), F.lit(False)).alias("any_track"))
 
 
-def median_step_hours(df, key=KEY, order=ORDER, whole_hours=True, name="median_dt_hours", chunk_days=30.0):
+def median_step_hours(df, key=KEY, order=ORDER, whole_hours=True, name="median_dt_hours", chunk=od.AUTO):
     """Median step per key in hours (whole clock hours by default)."""
-    h = with_lags(df.select(*key, *order), [order[0]], key, order, "_p_", chunk_days)
+    h = with_lags(df.select(*key, *order), [order[0]], key, order, "_p_", chunk)
     t = F.col(order[0])
     if whole_hours:
         step = F.floor(geo.micros(t) / 3.6e9) - F.floor(geo.micros(f"_p_{order[0]}") / 3.6e9)
@@ -121,18 +120,19 @@ def median_step_hours(df, key=KEY, order=ORDER, whole_hours=True, name="median_d
     return exact_median(h.withColumn("_step", step), "_step", key, name)
 
 
-def project_tracks(df, key=KEY, order=ORDER, chunk_days=30.0):
+def project_tracks(df, key=KEY, order=ORDER, chunk=od.AUTO):
     """Tangent-plane position and velocity around each track's first fix, steps and path in km."""
-    base = df.withColumn(od.CHUNK, od.time_chunk(order[0], chunk_days))
+    width = od.chunk_width(df, key, order, chunk)
+    base = od.with_chunk(df, order, width)
     pos = F.struct(F.struct(*order).alias("o"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     base = base.withColumn("_pos", pos)
-    base = od.with_prefix(base, key, mins=["_pos"])
+    base = od.with_prefix(base, key, width, mins=["_pos"])
     xy = geo.to_plane("latitude", "longitude", F.col("_pos_min.lat"), F.col("_pos_min.lon"))
     base = (base.withColumn("origin_lat", F.col("_pos_min.lat")).withColumn("origin_lon", F.col("_pos_min.lon"))
             .withColumn("_xy", xy).withColumn("x_km", F.col("_xy.x")).withColumn("y_km", F.col("_xy.y"))
             .drop("_pos", "_pos_min", "_xy", od.CHUNK))
-    h = _halo(base, key, order, before=1, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    h = od.with_halo(base, key, order, width, before=1)
+    w = od.window(key, order, width)
     for c in ("x_km", "y_km", "latitude", "longitude", order[0]):
         h = h.withColumn(f"_p_{c}", F.lag(c).over(w))
     hour = lambda c: F.floor(geo.micros(c) / 3.6e9)
@@ -147,20 +147,21 @@ def project_tracks(df, key=KEY, order=ORDER, chunk_days=30.0):
          .withColumn("length_km", F.col("length_nm") * NM_TO_KM).withColumn("width_km", F.col("width_nm") * NM_TO_KM))
     h = h.withColumn("_run", F.sum(F.coalesce("displacement_km", F.lit(0.0))).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    h = od.with_prefix(h, key, sums=["displacement_km"])
+    h = od.with_prefix(h, key, width, sums=["displacement_km"])
     h = h.withColumn("distance_traveled_km", F.col("displacement_km_before") + F.col("_run"))
     return h.drop(*[c for c in h.columns if c.startswith("_")], "displacement_km_before", "displacement_km_total")
 
 
-def track_windows(df, features, seq_len=5, horizon=4, target=("x_km", "y_km"), key=KEY, order=ORDER, chunk_days=30.0):
+def track_windows(df, features, seq_len=5, horizon=4, target=("x_km", "y_km"), key=KEY, order=ORDER, chunk=od.AUTO):
     """Sliding windows of ``seq_len`` rows with the target ``horizon`` rows after the window's end.
 
     Windows with a missing feature or target, and tracks shorter than ``seq_len + horizon + 1``, are left out.
     """
-    counted = od.row_numbers(df, key, order, od.time_chunk(order[0], chunk_days), "_rn", "_n")
+    width = od.chunk_width(df, key, order, chunk)
+    counted = od.row_numbers(df, key, order, width, "_rn", "_n")
     counted = counted.filter(F.col("_n") >= seq_len + horizon + 1)
-    h = _halo(counted, key, order, before=seq_len - 1, after=horizon, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    h = od.with_halo(counted, key, order, width, before=seq_len - 1, after=horizon)
+    w = od.window(key, order, width)
     fw = w.rowsBetween(-(seq_len - 1), 0)
     h = (h.withColumn("window", F.collect_list(F.struct(*features)).over(fw))
          .withColumn("start_time", F.first(order[0]).over(fw))
@@ -216,14 +217,15 @@ def span_split(df, time_col="obs_time", ties=("iceberg_id", "event_id"), bounds=
             .drop("_lo", "_hi", "_n", "_parts", "_ct", "_cv"))
 
 
-def per_track_split(df, key=KEY, order=ORDER, chunk_days=30.0):
+def per_track_split(df, key=KEY, order=ORDER, chunk=od.AUTO):
     """Split each track by position: max(1, int(.7 n)) train, int(.15 n) val, rest test; with the previous fix."""
-    h = _halo(df, key, order, before=1, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    width = od.chunk_width(df, key, order, chunk)
+    h = od.with_halo(df, key, order, width, before=1)
+    w = od.window(key, order, width)
     for c in (order[0], "latitude", "longitude"):
         h = h.withColumn(f"prev_{c}", F.lag(c).over(w))
     out = od.drop_halo(h)
-    out = od.row_numbers(out, key, order, od.time_chunk(order[0], chunk_days), "_rn", "n_obs")
+    out = od.row_numbers(out, key, order, width, "_rn", "n_obs")
     tr = F.greatest(F.lit(1), F.floor(F.col("n_obs") * F.lit(0.70)))
     va = F.floor(F.col("n_obs") * F.lit(0.15))
     idx = F.col("_rn") - 1
@@ -231,9 +233,10 @@ def per_track_split(df, key=KEY, order=ORDER, chunk_days=30.0):
             .withColumn("row_index", idx).drop("_rn"))
 
 
-def sample_history(df, k=6, key=KEY, order=ORDER, chunk_days=30.0):
+def sample_history(df, k=6, key=KEY, order=ORDER, chunk=od.AUTO):
     """Keys with more than ``k`` rows keep every k-th row and the last, one row per time."""
-    out = od.row_numbers(df, key, order, od.time_chunk(order[0], chunk_days), "_rn", "_n")
+    width = od.chunk_width(df, key, order, chunk)
+    out = od.row_numbers(df, key, order, width, "_rn", "_n")
     out = out.filter((F.col("_n") <= k) | ((F.col("_rn") - 1) % k == 0) | (F.col("_rn") == F.col("_n")))
     # rows sharing a time keep the last one
     cols = [c for c in out.columns if c not in ("_rn", "_n")]
@@ -242,10 +245,11 @@ def sample_history(df, k=6, key=KEY, order=ORDER, chunk_days=30.0):
     return few.unionByName(many)
 
 
-def drift_features(df, key=KEY, order=ORDER, chunk_days=30.0):
+def drift_features(df, key=KEY, order=ORDER, chunk=od.AUTO):
     """Interior rows with positive gaps: previous move, targets and horizon (no figure of the next fix among the features)."""
-    h = _halo(df, key, order, before=1, after=1, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    width = od.chunk_width(df, key, order, chunk)
+    h = od.with_halo(df, key, order, width, before=1, after=1)
+    w = od.window(key, order, width)
     for c in ("latitude", "longitude", order[0]):
         h = h.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
     h = od.drop_halo(h)
@@ -264,13 +268,14 @@ def drift_features(df, key=KEY, order=ORDER, chunk_days=30.0):
             .drop(f"prev_{t}", f"next_{t}"))
 
 
-def tail_trials(df, seq_len=5, max_h=12, env=(), key=KEY, order=ORDER, chunk_days=30.0):
+def tail_trials(df, seq_len=5, max_h=12, env=(), key=KEY, order=ORDER, chunk=od.AUTO):
     """Forecast starts in the last ``seq_len + max_h`` rows of each track, paired with the fixes k = 1..max_h later."""
+    width = od.chunk_width(df, key, order, chunk)
     cols = [*key, *order, "latitude", "longitude", *env]
-    n = od.row_numbers(df.select(*cols), key, order, od.time_chunk(order[0], chunk_days), "_rn", "_n")
+    n = od.row_numbers(df.select(*cols), key, order, width, "_rn", "_n")
     n = n.filter(F.col("_n") >= seq_len + max_h)
-    h = _halo(n, key, order, before=seq_len - 1, after=max_h, chunk_days=chunk_days)
-    w = od.chunk_window(key, order)
+    h = od.with_halo(n, key, order, width, before=seq_len - 1, after=max_h)
+    w = od.window(key, order, width)
     ok = F.lit(True)
     for c in env:
         ok = ok & (F.count(c).over(w.rowsBetween(-(seq_len - 1), 0)) == seq_len)
@@ -286,25 +291,26 @@ def tail_trials(df, seq_len=5, max_h=12, env=(), key=KEY, order=ORDER, chunk_day
                       F.col("_f.lat").alias("act_lat"), F.col("_f.lon").alias("act_lon"))
 
 
-def trailing_mean(df, cols, seq_len=5, key=KEY, order=ORDER, chunk_days=30.0):
+def trailing_mean(df, cols, seq_len=5, key=KEY, order=ORDER, chunk=od.AUTO):
     """Mean over the last ``seq_len`` fixes, NULLs skipped; adds ``<col>_mean``."""
-    h = _halo(df, key, order, before=seq_len - 1, chunk_days=chunk_days)
-    w = od.chunk_window(key, order).rowsBetween(-(seq_len - 1), 0)
+    width = od.chunk_width(df, key, order, chunk)
+    h = od.with_halo(df, key, order, width, before=seq_len - 1)
+    w = od.window(key, order, width).rowsBetween(-(seq_len - 1), 0)
     for c in cols:
         h = h.withColumn(f"{c}_mean", F.avg(c).over(w))
     return od.drop_halo(h)
 
 
-def interval_pairs(df, hours=2.0, tol=0.25, key=KEY, order=ORDER, chunk_days=30.0):
+def interval_pairs(df, hours=2.0, tol=0.25, key=KEY, order=ORDER, chunk=od.AUTO):
     """Consecutive fixes whose gap is within ``tol`` of ``hours``."""
-    h = with_lags(df, [order[0], "latitude", "longitude"], key, order, "prev_", chunk_days)
+    h = with_lags(df, [order[0], "latitude", "longitude"], key, order, "prev_", chunk)
     gap = geo.hours_between(order[0], f"prev_{order[0]}")
     return h.withColumn("gap_hours", gap).filter(F.abs(F.col("gap_hours") - hours) <= tol)
 
 
-def drop_speed_outliers(df, max_kmh=200.0, key=KEY, order=ORDER, chunk_days=30.0):
+def drop_speed_outliers(df, max_kmh=200.0, key=KEY, order=ORDER, chunk=od.AUTO):
     """Remove rows faster than ``max_kmh`` from the previous fix or not later than it."""
-    h = with_lags(df, [order[0], "latitude", "longitude"], key, order, "_p_", chunk_days)
+    h = with_lags(df, [order[0], "latitude", "longitude"], key, order, "_p_", chunk)
     dt = geo.hours_between(order[0], f"_p_{order[0]}")
     km = geo.haversine("_p_latitude", "_p_longitude", "latitude", "longitude", R_KM_ROUND)
     bad = F.col(f"_p_{order[0]}").isNotNull() & ((dt <= 0) | (F.try_divide(km, dt) > max_kmh))

@@ -120,8 +120,10 @@ from (select *, first_value(obs_time) over f as start_time, lead(obs_time,4) ove
     f as (partition by iceberg_id order by obs_time, event_id rows between 4 preceding and current row)) q
 where c = 5 and n >= 10 and tx is not null""")
 def w06(v):
-    p = tr.project_tracks(v.tracks)
-    out = tr.track_windows(p, ["x_km", "y_km", "length_km", "width_km"])
+    t = v.tracks
+    width = tr.od.chunk_width(t, tr.KEY, tr.ORDER)
+    p = tr.project_tracks(t, chunk=width)
+    out = tr.track_windows(p, ["x_km", "y_km", "length_km", "width_km"], chunk=width)
     total = F.aggregate("window", F.lit(0.0), lambda a, r: a + r["x_km"])
     return out.select("iceberg_id", "event_id", "start_time", "target_time", rnd("target_x_km", 6).alias("target_x_km"),
                       rnd("target_y_km", 6).alias("target_y_km"), rnd(total, 4).alias("window_sum"))
