@@ -8,33 +8,31 @@ join, and sites sharing one position collapse to one before the walk.
 """
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from floetrack.functions.geo import _c, haversine
+from floetrack.functions.geo import haversine
+from floetrack.session import checkpoint
 
 MAX_LEVEL = 10
 LEAF_TARGET = 512
 EPS = 1e-9
-INF = float("inf")
 
 
 def _axes(lat, lon, metric):
-    lat, lon = _c(lat), _c(lon)
+    """SQL text of the three coordinates of a position: on the unit sphere, or scaled degrees."""
     if metric == "plane":
-        return lat / 180.0, lon / 180.0, F.lit(0.0)
-    la, lo = F.radians(lat), F.radians(lon)
-    return F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)
+        return f"{lat}/180D", f"{lon}/180D", "0D"
+    return (f"cos(radians({lat}))*cos(radians({lon}))", f"cos(radians({lat}))*sin(radians({lon}))", f"sin(radians({lat}))")
 
 
 def _cell(x, level):
     k = 4 ** level
-    return F.least(F.greatest(F.floor((x + 1.0) * (k / 2.0)), F.lit(0)), F.lit(k - 1)).cast("long")
+    return f"cast(least(greatest(floor(({x}+1D)*{k / 2!r}D), 0), {k - 1}) as bigint)"
 
 
 def _node(cx, cy, cz, level):
-    k = F.lit(4 ** level).cast("long")
-    return (cx * k + cy) * k + cz
+    k = 4 ** level
+    return f"(({cx})*{k}L+({cy}))*{k}L+({cz})"
 
 
 def depth_of(sites, lat, lon, metric="sphere"):
@@ -46,10 +44,10 @@ def depth_of(sites, lat, lon, metric="sphere"):
 def pyramid_depth(positions, metric="sphere"):
     """Smallest depth whose fullest leaf stays small, checked by counting (one job in the usual case)."""
     x, y, z = _axes("_lat", "_lon", metric)
-    base = positions.select(x.alias("x"), y.alias("y"), z.alias("z"))
+    base = positions.selectExpr(f"{x} as x", f"{y} as y", f"{z} as z")
 
     def look(level):
-        leaf = base.groupBy(*[_cell(F.col(c), level).alias(c) for c in "xyz"]).agg(F.count(F.lit(1)).alias("n"))
+        leaf = base.selectExpr(*[f"{_cell(c, level)} as {c}" for c in "xyz"]).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
         r = leaf.agg(F.sum("n").alias("n"), F.max("n").alias("m")).first()
         return r["n"] or 0, r["m"] or 0
 
@@ -80,64 +78,56 @@ def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(),
                      *[F.col(c).alias(f"_p_{c}") for c in keep]).filter("_lat is not null and _lon is not null")
     pos = s.groupBy("_lat", "_lon").agg(
         F.min_by(F.struct(*[f"_p_{c}" for c in keep]), F.struct(*[f"_p_{c}" for c in ties])).alias("_p"))
+    # one row per distinct site position; every level below reads it, so its lineage is cut here
+    pos = checkpoint(pos)
     if levels is None:
-        levels = pyramid_depth(s.select("_lat", "_lon").distinct(), metric)
+        levels = pyramid_depth(pos, metric)
     x, y, z = _axes("_lat", "_lon", metric)
-    pos = pos.withColumn("_x", x).withColumn("_y", y).withColumn("_z", z)
-    for c in "xyz":
-        pos = pos.withColumn(f"_c{c}", _cell(F.col(f"_{c}"), levels))
+    pos = pos.selectExpr("*", f"{x} as _x", f"{y} as _y", f"{z} as _z").selectExpr(
+        "*", *[f"{_cell(f'_{c}', levels)} as _c{c}" for c in "xyz"])
 
+    # boxes per level, finest first: the bounds of a cell come from the bounds of its children
+    lohi = [(f"_{n}{c}", f) for c in ("x", "y", "z", "lon") for n, f in (("lo", "min"), ("hi", "max"))]
+    node = pos.groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}(_{n[3:]}) as {n}") for n, f in lohi])
     boxes = []
-    node = pos.groupBy("_cx", "_cy", "_cz").agg(
-        *[f(f"_{c}").alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))],
-        F.min("_lon").alias("_lolon"), F.max("_lon").alias("_hilon"))
     for level in range(levels, 0, -1):
-        up = [F.floor(F.col(f"_c{c}") / 4).cast("long") for c in "xyz"]
-        boxes.append(node.select(
-            (F.lit(0).cast("long") if level == 1 else _node(*up, level - 1)).alias("_parent"),
-            _node(F.col("_cx"), F.col("_cy"), F.col("_cz"), level).alias("_node"),
-            *[F.col(f"_{n}{c}") for c in "xyz" for n in ("lo", "hi")], "_lolon", "_hilon"))
-        node = node.groupBy(*[u.alias(f"_c{c}") for u, c in zip(up, "xyz")]).agg(
-            *[f(f"_{n}{c}").alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))],
-            F.min("_lolon").alias("_lolon"), F.max("_hilon").alias("_hilon"))
+        up = [f"cast(floor(_c{c}/4) as bigint)" for c in "xyz"]
+        parent = "0L" if level == 1 else _node(*up, level - 1)
+        boxes.append(node.selectExpr(f"{parent} as _at", f"{_node('_cx', '_cy', '_cz', level)} as _node", *[n for n, _ in lohi]))
+        if level > 1:
+            node = (node.selectExpr(*[f"{u} as _c{c}" for u, c in zip(up, "xyz")], *[n for n, _ in lohi])
+                    .groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}({n}) as {n}") for n, f in lohi]))
     boxes.reverse()
 
-    qx, qy, qz = _axes(F.col(qlat).cast("double"), F.col(qlon).cast("double"), metric)
-    q = queries.filter(F.col(qlat).isNotNull() & F.col(qlon).isNotNull()).select(
-        F.col(qid).alias("_qid"), F.col(qlat).cast("double").alias("_qlat"), F.col(qlon).cast("double").alias("_qlon"),
-        qx.alias("_qx"), qy.alias("_qy"), qz.alias("_qz"),
-        *([F.col(window[0]).alias("_wlo"), F.col(window[1]).alias("_whi")] if window else []))
-    cand = q.withColumn("_at", F.lit(0).cast("long"))
-    wq = Window.partitionBy("_qid")
+    qx, qy, qz = _axes("_qlat", "_qlon", metric)
+    q = (queries.select(F.col(qid).alias("_qid"), F.col(qlat).cast("double").alias("_qlat"), F.col(qlon).cast("double").alias("_qlon"),
+                        *([F.col(window[0]).alias("_wlo"), F.col(window[1]).alias("_whi")] if window else []))
+         .filter("_qlat is not null and _qlon is not null")
+         .selectExpr("*", f"{qx} as _qx", f"{qy} as _qy", f"{qz} as _qz", "0L as _at"))
+    own = [c for c in q.columns if c != "_at"]
+    gap = "+".join(f"pow(greatest(0D,_lo{c}-_q{c},_q{c}-_hi{c}),2)" for c in "xyz")
+    far = "+".join(f"pow(greatest(abs(_q{c}-_lo{c}),abs(_q{c}-_hi{c})),2)" for c in "xyz")
+    ub = f"sqrt({far})"
+    if window:      # only cells wholly inside the window bound the distance
+        ub = f"case when _lolon>=_wlo and _hilon<=_whi then {ub} else double('Infinity') end"
+    cand = q
     for level, box in enumerate(boxes, start=1):
-        b = box.withColumnRenamed("_parent", "_at")
-        if level == 1:
-            b = F.broadcast(b)          # at most 4**3 rows whatever the data
-        cand = cand.drop("_node").join(b, "_at")
-        gap = [F.greatest(F.lit(0.0), F.col(f"_lo{c}") - F.col(f"_q{c}"), F.col(f"_q{c}") - F.col(f"_hi{c}")) for c in "xyz"]
-        far = [F.greatest(F.abs(F.col(f"_q{c}") - F.col(f"_lo{c}")), F.abs(F.col(f"_q{c}") - F.col(f"_hi{c}"))) for c in "xyz"]
-        lb = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
-        ub = F.sqrt(far[0] * far[0] + far[1] * far[1] + far[2] * far[2])
+        # the top level has at most 4**3 cells whatever the data
+        cand = cand.join(F.broadcast(box) if level == 1 else box, "_at")
         if window:
-            cand = cand.filter((F.col("_hilon") >= F.col("_wlo")) & (F.col("_lolon") <= F.col("_whi")))
-            ub = F.when((F.col("_lolon") >= F.col("_wlo")) & (F.col("_hilon") <= F.col("_whi")), ub).otherwise(F.lit(INF))
-        cand = (cand.withColumn("_lb", lb).withColumn("_ub", ub)
-                .withColumn("_best", F.min("_ub").over(wq)).filter(F.col("_lb") <= F.col("_best") + EPS)
-                .select(*q.columns, F.col("_node").alias("_at")))
-    leaf = pos.select(_node(F.col("_cx"), F.col("_cy"), F.col("_cz"), levels).alias("_at"), "_lat", "_lon", "_p")
+            cand = cand.filter("_hilon>=_wlo and _lolon<=_whi")
+        cand = (cand.selectExpr(*own, "_node as _at", f"sqrt({gap}) as _lb", f"min({ub}) over (partition by _qid) as _best")
+                .filter(f"_lb <= _best + {EPS!r}D").select(*own, "_at"))
+    leaf = pos.selectExpr(f"{_node('_cx', '_cy', '_cz', levels)} as _at", "_lat", "_lon", "_p")
     hit = cand.join(leaf, "_at")
     if window:
-        hit = hit.filter(F.col("_lon").between(F.col("_wlo"), F.col("_whi")))
+        hit = hit.filter("_lon between _wlo and _whi")
     if metric == "plane":
-        dx, dy = F.col("_lat") - F.col("_qlat"), F.col("_lon") - F.col("_qlon")
-        d = F.sqrt(dx * dx + dy * dy)
+        d = "sqrt(pow(_lat-_qlat,2)+pow(_lon-_qlon,2))"
+        hit = hit.selectExpr("_qid", "_lat", "_lon", "_p", f"{d} as _d")
     else:
-        d = haversine("_qlat", "_qlon", "_lat", "_lon", *([radius] if radius else []))
-    hit = hit.withColumn("_d", d)
-    best = hit.groupBy("_qid").agg(F.min_by(
-        F.struct("_d", "_lat", "_lon", "_p"),
-        F.struct(F.round("_d", digits).alias("r"), *[F.col(f"_p._p_{c}").alias(f"t{i}") for i, c in enumerate(ties)])
-    ).alias("_m"))
-    cols = [F.col("_qid").alias(qid), F.col("_m._lat").alias("site_lat"), F.col("_m._lon").alias("site_lon"),
-            F.col("_m._d").alias(dist)]
-    return best.select(*cols, *[F.col(f"_m._p._p_{c}").alias(c) for c in keep])
+        hit = hit.select("_qid", "_lat", "_lon", "_p", haversine("_qlat", "_qlon", "_lat", "_lon", *([radius] if radius else [])).alias("_d"))
+    order = ", ".join([f"round(_d, {digits})"] + [f"_p._p_{c}" for c in ties])
+    best = hit.groupBy("_qid").agg(F.expr(f"min_by(struct(_d, _lat, _lon, _p), struct({order})) as _m"))
+    return best.select(F.col("_qid").alias(qid), F.col("_m._lat").alias("site_lat"), F.col("_m._lon").alias("site_lon"),
+                       F.col("_m._d").alias(dist), *[F.col(f"_m._p._p_{c}").alias(c) for c in keep])

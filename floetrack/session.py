@@ -1,4 +1,6 @@
 """Session factory: UTC, ANSI, AQE."""
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,16 +18,19 @@ def get_session(master=None, **conf):
     return b.getOrCreate()
 
 
-def checkpoint(df, fallback_dir=None):
-    """Cut lineage through the cluster's shared checkpoint folder.
+def checkpoint(df):
+    """Cut lineage through the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The folder comes from ``spark.checkpoint.dir``. ``fallback_dir`` is used only where neither the
-    setting nor the context has one (tests); without any folder the frame is returned unchanged.
+    A folder of its own is made only in local mode, where the setting is unset (tests). On a cluster without the
+    setting the frame is returned unchanged: recomputing is safe, a machine-local folder is not.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback_dir
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
-            return df
+            if not sc.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
