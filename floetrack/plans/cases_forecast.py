@@ -56,14 +56,25 @@ def m03(v):
     return fc.current_drift(d, 3, chunk=width).select("event_id", "k", rnd("pred_lat", 6).alias("pred_lat"), rnd("pred_lon", 6).alias("pred_lon"))
 
 
-@case("m04_recursive_forecast")
+shared_cte("o_tail", """
+select p.*, (x-px)/((epoch_us(obs_time)-epoch_us(t0))/3.6e9D) as vx, (y-py)/((epoch_us(obs_time)-epoch_us(t0))/3.6e9D) as vy, 6D/d.m as q, d.m from (
+ select *, lag(x) over w as px, lag(y) over w as py from o_plane window w as (partition by iceberg_id order by obs_time, event_id)) p
+join (select iceberg_id, median(floor(epoch_us(obs_time)/3.6e9D)-floor(epoch_us(t0)/3.6e9D))::double as m from o_lag where t0 is not null group by 1) d using(iceberg_id) where rn = n""")
+
+
+@case("m04_recursive_forecast", """
+select iceberg_id, cast(k as int) as step, obs_time + to_microseconds(cast(k*m*3.6e9D as bigint)) as forecast_time, round(k*m,3)+0.0D as hours_ahead, round(x+vx*6D*g,4)+0.0D as x_km,
+ round(lat_o + (y+vy*6D*g)/(pi()*6371.0088D/180D),6)+0.0D as latitude
+from (select *, case k when 1 then 1D when 2 then 1+q when 3 then 1+q+q*q else 1+q+q*q+q*q*q end as g from o_tail, (select unnest([1,2,3,4]) as k))""")
 def m04(v):
     def advance(window):
         # constant-velocity predictor: last position plus the last velocity over six hours
         x, y, vx, vy = window[-1][:4]
         return x + vx * 6.0, y + vy * 6.0
     d, width = _env_tracks(v)
-    return fc.recursive_forecast(d, advance, 4, chunk=width)
+    out = fc.recursive_forecast(d, advance, 4, chunk=width)
+    return out.select("iceberg_id", "step", "forecast_time", rnd("hours_ahead", 3).alias("hours_ahead"), rnd("x_km", 4).alias("x_km"),
+                      rnd("latitude", 6).alias("latitude"))
 
 
 @case("m05_track_forest")

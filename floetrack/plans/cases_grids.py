@@ -126,12 +126,23 @@ def j04(v):
     return g.nearest_point(nav(v), v.places, "place_id", ["name"]).select("cell_id", "place_id", rnd("dist_deg", 5).alias("dist_deg"))
 
 
-@case("j05_polar_regrid")
+_PG = POLAR_GRIDS["3125m"]
+_E = (1 - _PG["b"] ** 2 / _PG["a"] ** 2) ** 0.5
+
+
+@case("j05_polar_regrid", f"""
+with src as (select l_orderkey % 2656 as iy, l_partkey % 2528 as ix, avg(l_quantity) as value from lineitem group by 1,2),
+k as (select {_E!r}D as e, radians(70D) as pc), kk as (select e, pi()/4 as q, {_PG['a']}D*(cos(pc)/sqrt(1-pow(e*sin(pc),2)))/(tan(pi()/4-pc/2)/pow((1-e*sin(pc))/(1+e*sin(pc)),e/2)) as f from k),
+t as (select event_id, f*tan(q-radians(-latitude)/2)/pow((1-e*sin(radians(-latitude)))/(1+e*sin(radians(-latitude))),e/2) as rho, radians(longitude) as lam from v_tracks, kk),
+i as (select event_id, round_even((rho*sin(lam)+3950000D)/3125D,0) as ix, round_even((rho*cos(lam)-4350000D)/-3125D,0) as iy from t)
+select event_id, case when ix between 0 and 2527 and iy between 0 and 2655 then cast(ix as bigint) end as ix, case when ix between 0 and 2527 and iy between 0 and 2655 then cast(iy as bigint) end as iy, round(value,6) as value
+from i left join src using(ix,iy)""")
 def j05(v):
     gd = POLAR_GRIDS["3125m"]
     src = v.table("lineitem").select((F.col("l_orderkey") % gd["ny"]).cast("long").alias("iy"), (F.col("l_partkey") % gd["nx"]).cast("long").alias("ix"),
                                      F.col("l_quantity").alias("value")).groupBy("iy", "ix").agg(F.avg("value").alias("value"))
-    return g.polar_regrid(v.tracks.select("event_id", "latitude", "longitude"), src, gd)
+    out = g.polar_regrid(v.tracks.select("event_id", "latitude", "longitude"), src, gd)
+    return out.select("event_id", "ix", "iy", rnd("value", 6).alias("value"))
 
 
 @case("w07_cell_diff", """

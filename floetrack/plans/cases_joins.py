@@ -129,7 +129,16 @@ def j09(v):
     return j.route_distance(w, ids, "iceberg_id", pairs=pairs).select("route_id", "iceberg_id", rnd("distance_km", 6).alias("distance_km"), "status")
 
 
-@case("j10_nearest_berg_per_route")
+shared_cte("o_pos", "select distinct latitude, longitude from o_s5")
+shared_cte("o_posberg", f"""
+select p.latitude, p.longitude, arg_min({{'id': b.iceberg_id, 'km': d, 'la': b.bla, 'lo': b.blo}}, (round(d,6), b.iceberg_id)) as m from (
+ select p.latitude, p.longitude, b.iceberg_id, b.latitude as bla, b.longitude as blo, {hav('p.latitude', 'p.longitude', 'b.latitude', 'b.longitude')} as d from o_pos p, o_latest b) p,
+ lateral (select p.iceberg_id, p.bla, p.blo) b group by 1,2""")
+shared_cte("o_routeberg", """
+select route_id, arg_min(m, (round(m.km,6), m.id)) as m from o_s5 join o_posberg using(latitude, longitude) group by 1""")
+
+
+@case("j10_nearest_berg_per_route", "select route_id, m.id as iceberg_id, round(m.km,5)+0.0D as distance_km from o_routeberg")
 def j10(v):
     return j.nearest_hazard(j.route_samples(v.waypoints, 5), latest(v), ["iceberg_id"]).select("route_id", "iceberg_id", rnd("distance_km", 5).alias("distance_km"))
 

@@ -301,7 +301,9 @@ def a34(v):
         "dataset", "rows", "latitude_min", "latitude_max", "n_flag", "n_geartype", "duplicate_cells", "status")
 
 
-@case("a40_readiness")
+@case("a40_readiness", """
+select 'events' as resource, count(*) > 0 as ready, 'degraded' as overall from events union all select 'lineitem', count(*) > 0, 'degraded' from lineitem
+union all select 'empty', count(*) > 0, 'degraded' from events where event_id < 0""")
 def a40(v):
     return q.readiness({"events": v.table("events"), "lineitem": v.table("lineitem"), "empty": v.table("events").filter("event_id < 0")})
 

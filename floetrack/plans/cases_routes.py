@@ -139,9 +139,19 @@ def f17r(v):
 
 
 
-@case("t06_nearest_hazard")
+shared_cte("o_posice", f"""
+select p.latitude, p.longitude, arg_min({{'sic': p.sic, 'km': d, 'la': p.cla, 'lo': p.clo}}, (round(d,6), p.cla, p.clo)) as m from (
+ select p.latitude, p.longitude, c.sic, c.latitude as cla, c.longitude as clo, {hav('p.latitude', 'p.longitude', 'c.latitude', 'c.longitude')} as d
+ from o_pos p, (select * from o_last where sic is not null) c) p group by 1,2""")
+shared_cte("o_routeice", """
+select route_id, arg_min(m, (round(m.km,6), m.la, m.lo)) as m from o_s5 join o_posice using(latitude, longitude) group by 1""")
+
+
+@case("t06_nearest_hazard", "select route_id, m.la as cell_lat, m.lo as cell_lon, m.sic as sic, round(m.km,5)+0.0D as km from o_routeice")
 def t06(v):
-    return j.nearest_hazard(j.route_samples(v.waypoints, 5), latest(v), ["iceberg_id"]).select("route_id", "iceberg_id", rnd("distance_km", 5).alias("km"))
+    ice = g.latest_snapshot(v.grid, value="sic").select("latitude", "longitude", "sic", F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    out = j.nearest_hazard(j.route_samples(v.waypoints, 5), ice, ["la", "lo"], ["sic"])
+    return out.select("route_id", F.col("la").alias("cell_lat"), F.col("lo").alias("cell_lon"), "sic", rnd("distance_km", 5).alias("km"))
 
 
 def alerts(v, cfg=None):
@@ -151,9 +161,16 @@ def alerts(v, cfg=None):
     return r.route_alerts(routes, v.waypoints, ice, latest(v).select("iceberg_id", "latitude", "longitude"), cfg)
 
 
-@case("j28_route_alerts")
+@case("j28_route_alerts", """
+select 'iceberg-' || route_id || '-main-' as alert_key, route_id, 'iceberg' as type,
+ case when m.km<5D then 'critical' when m.km<=15D then 'high' when m.km<=30D then 'medium' else 'low' end as severity, round(m.km,5)+0.0D as distance_km,
+ round(m.km*0.5399568D,5)+0.0D as distance_nm, m.id as iceberg_id from o_routeberg
+union all select 'sea-ice-' || route_id || '-main-', route_id, 'sea-ice',
+ case when m.sic>=0.8D then 'critical' when m.sic>=0.6D then 'high' when m.sic>=0.3D then 'medium' else 'low' end, round(m.km,5)+0.0D,
+ round(m.km*0.5399568D,5)+0.0D, null from o_routeice""")
 def j28(v):
-    return alerts(v)
+    return alerts(v).select(F.regexp_extract("alert_id", "^[a-z-]+[0-9]+-main-", 0).alias("alert_key"), "route_id", "type", "severity", rnd("distance_km", 5).alias("distance_km"),
+                            rnd("distance_nm", 5).alias("distance_nm"), "iceberg_id")
 
 
 @case("j28_alerts_without_sources", """

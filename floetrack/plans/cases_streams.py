@@ -1,22 +1,14 @@
 """Streaming queries: the tables are replayed as streams to completion and the result is read back."""
-import tempfile
-
 from pyspark.sql import functions as F
 
 from floetrack.functions.values import rnd
 from floetrack.operators import grids as g
 from floetrack.operators.axes import grid_axes
 from floetrack.plans.registry import case
+from floetrack.plans.scratch import scratch
 from floetrack.streaming import jobs
 
 
-def _folder(v):
-    """Shared scratch folder: beside the cluster's checkpoint folder, a temporary one only where none is set."""
-    import uuid
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
-
-
 def _events(v):
     """The events table as a stream."""
     static = v.table("events")
@@ -32,7 +24,7 @@ def _tracks(ev):
 
 def _run(v, df, mode="append"):
     """Run a streaming frame over all available input and return what it wrote."""
-    out = _folder(v)
+    out = scratch(v.spark)
     q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/cp")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -42,7 +34,7 @@ def _run(v, df, mode="append"):
 @case("r01_stream_latest", """
 select iceberg_id, arg_max(event_id,(obs_time,-event_id)) as event_id, max(obs_time) as obs_time from v_tracks group by 1""")
 def r01(v):
-    out = _folder(v)
+    out = scratch(v.spark)
     jobs.stream_latest(_tracks(_events(v)), f"{out}/t", f"{out}/cp").awaitTermination()
     d = v.spark.read.parquet(f"{out}/t")
     newest = d.agg(F.max("v").alias("m")).first()["m"]
@@ -65,9 +57,12 @@ def r02(v):
     return out.select("iceberg_id", "event_id", rnd("time_diff_hours", 4).alias("time_diff_hours"), rnd("displacement_nm", 4).alias("displacement_nm"))
 
 
-@case("r03_stream_monitor")
+@case("r03_stream_monitor", """
+select w as window_start, w + interval 2 hour as window_end, count(*) as n, round(avg(value),6)+0.0D as mean_value from (
+ select value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events) where w + interval 2 hour <= (select max(ts) - interval 1 day from events) group by 1""")
 def r03(v):
-    return _run(v, jobs.stream_monitor(_tracks(_events(v)), "2 hours", "1 hour", value="value"))
+    out = _run(v, jobs.stream_monitor(_tracks(_events(v)), "2 hours", "1 hour", value="value"))
+    return out.withColumn("mean_value", rnd("mean_value", 6))
 
 
 @case("r03_monitor_batch", """
@@ -76,9 +71,12 @@ def r03b(v):
     return jobs.stream_monitor(_tracks(v.table("events"))).select("window_start", "n")
 
 
-@case("r04_stream_gaps")
+@case("r04_stream_gaps", """
+select iceberg_id, min(obs_time) as first_fix, max(obs_time) as last_fix, count(*) as n from (select *, sum(s) over (partition by iceberg_id order by obs_time, event_id) as k from (
+ select *, case when t0 is null or obs_time > t0 + interval 12 hour then 1 else 0 end as s from o_lag)) group by iceberg_id, k
+having max(obs_time) + interval 12 hour <= (select max(obs_time) - interval 1 day from v_tracks)""")
 def r04(v):
-    return _run(v, jobs.stream_gaps(_tracks(_events(v)), "12 hours"))
+    return _run(v, jobs.stream_gaps(_tracks(_events(v)), "12 hours")).select("iceberg_id", "first_fix", "last_fix", "n")
 
 
 @case("r04_gaps_batch", """

@@ -3,7 +3,7 @@ import importlib
 
 from floetrack.plans.fixtures import Views, oracle
 
-MODULES = ["tracks", "functions", "quality", "grids", "joins", "routes", "forecast", "status", "streams"]
+MODULES = ["tracks", "functions", "quality", "grids", "joins", "routes", "forecast", "status", "sources", "streams"]
 CASES = {}
 CTES = {}
 

@@ -52,13 +52,12 @@ def read_tracks_csv(spark, path):
 GEOJSON = ("features array<struct<properties:map<string,string>,geometry:struct<coordinates:array<double>>>>")
 
 
-def read_tracks_geojson(spark, path):
-    """GeoJSON points: property fallbacks for id, time and size; features without coordinates or readable time are left out."""
-    f = (spark.read.schema(GEOJSON).option("multiLine", True).json(path)
-         .select(F.explode("features").alias("f")).select("f.properties", "f.geometry.coordinates"))
+def tracks_from_features(docs):
+    """Rows of FeatureCollection documents: property fallbacks for id, time and size; features without coordinates or
+    readable time are left out."""
+    f = docs.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.coordinates")
     p = lambda *names: F.coalesce(*[F.try_element_at("properties", F.lit(n)) for n in names])
-    num = lambda n: to_number(p(n))
-    size = lambda s: F.coalesce(num(f"{s}_nm"), num(f"{s}_km") * KM_TO_NM_IMPORT)
+    size = lambda s: F.coalesce(to_number(p(f"{s}_nm")), to_number(p(f"{s}_km")) * KM_TO_NM_IMPORT)
     return f.filter(F.size("coordinates") >= 2).select(
         F.coalesce(p("iceberg_id", "id"), F.lit("unknown")).alias("iceberg_id"),
         parse_time(p("timestamp", "time", "observation_time")).alias("timestamp"),
@@ -66,9 +65,14 @@ def read_tracks_geojson(spark, path):
         size("length").alias("length_nm"), size("width").alias("width_nm")).filter("timestamp is not null")
 
 
-def read_tracks_json(spark, path):
-    """JSON array (or lines) of records."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+def read_tracks_geojson(spark, path):
+    """GeoJSON points; one document per file."""
+    return tracks_from_features(spark.read.schema(GEOJSON).option("multiLine", True).json(path))
+
+
+def read_tracks_json(spark, path, multiline=True):
+    """JSON array of records per file, or one record per line (splittable) with ``multiline=False``."""
+    raw = spark.read.option("multiLine", multiline).option("primitivesAsString", True).json(path)
     return normalize_tracks(raw)
 
 
