@@ -30,7 +30,8 @@ def haversine(lat1, lon1, lat2, lon2, radius=R_KM):
     s1 = F.sin(F.radians(lat2 - lat1) / 2)
     s2 = F.sin(F.radians(lon2 - lon1) / 2)
     a = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(clamp(a, 0.0, 1.0)))
+    # rounding may push a past 1 for antipodes: asin gives NaN there, a quarter turn is meant; NULL stays NULL
+    return F.lit(2.0 * radius) * F.nanvl(F.asin(F.sqrt(a)), F.lit(1.5707963267948966))
 
 
 def bearing(lat1, lon1, lat2, lon2):

@@ -136,19 +136,9 @@ def route_distance(waypoints, points, point_id, samples=50, pairs=None, route="r
 
 
 def nearest_hazard(samples, hazards, ties, payload=(), route="route_id", levels=None):
-    """Nearest hazard of each route given the route's sample points: position, ids, ``distance_km``.
-
-    Sample positions shared by many routes are looked up once.
-    """
-    keys = samples.select("latitude", "longitude").distinct().withColumn(
-        "_sid", F.concat_ws(",", F.col("latitude").cast("string"), F.col("longitude").cast("string")))
-    hit = nearest_join(keys, "_sid", "latitude", "longitude", hazards, "latitude", "longitude", ties, payload,
-                       dist="distance_km", levels=levels)
-    at = keys.join(hit, "_sid").drop("_sid")
-    j = samples.select(route, "latitude", "longitude").join(at, ["latitude", "longitude"])
-    cols = list(dict.fromkeys(list(ties) + list(payload)))
-    best = F.min_by(F.struct("distance_km", "site_lat", "site_lon", *cols), F.struct(F.round("distance_km", 6), *ties))
-    return j.groupBy(route).agg(best.alias("_b")).select(route, "_b.*")
+    """Nearest hazard of each route given the route's sample points: position, ids, ``distance_km``."""
+    return nearest_join(samples, route, "latitude", "longitude", hazards, "latitude", "longitude", ties, payload,
+                        dist="distance_km", levels=levels)
 
 
 def match_place(points, point_id, places, km=5.0, levels=None):

@@ -130,12 +130,7 @@ def position_metrics(df, by=()):
         F.avg("_km").alias("mean_km"), F.max("_km").alias("max_km"), F.sqrt(F.avg(F.col("_km") * F.col("_km"))).alias("rmse_km"),
         (F.avg("_km") / NM_TO_KM).alias("mean_nm"))
     med = exact_median(d, "_km", keys, "median_km")
-    return out.join(med, keys, "left") if keys else attach_left(out, med)
-
-
-def attach_left(one, maybe):
-    """One-row frame plus the columns of a frame with at most one row."""
-    return (one.withColumn("_k", F.lit(0)).join(F.broadcast(maybe.withColumn("_k", F.lit(0))), "_k", "left").drop("_k"))
+    return out.join(med, keys, "left") if keys else attach(out, med)
 
 
 def per_track_errors(df, key=tr.KEY, order=tr.ORDER, chunk=tr.od.AUTO):
@@ -175,7 +170,7 @@ def two_hour_eval(tracks, predictor=None, hours=2.0, tol=0.25, error_km=20.0, ke
     h = h.withColumn("_err", F.when(hit, geo.haversine(pred[0], pred[1], "latitude", "longitude")))
     agg = h.agg(F.count_distinct(*key).alias("tracks"), F.count("_err").alias("pairs"), F.avg("_err").alias("_mean"),
                 F.avg(F.when(F.col("_err").isNotNull(), distance_score("_err", error_km))).alias("_score"))
-    out = attach_left(attach(agg, counts), exact_median(h, "gap_hours", name="median_gap_hours"))
+    out = attach(attach(agg, counts), exact_median(h, "gap_hours", name="median_gap_hours"))
     return out.select(
         "records", "tracks", "pairs", "duplicate_records", (F.col("_inv") + F.col("duplicate_records")).alias("missing_or_invalid"),
         rnd("median_gap_hours", 6).alias("median_gap_hours"), rnd("_mean", 4).alias("mean_error_km"),

@@ -1,21 +1,25 @@
 """Exact nearest-neighbour join without comparing every pair.
 
-Sites are summarised in a pyramid of cells, each four times finer per axis than the one above, with the
-bounding box of its sites. Queries walk down the pyramid: a level's cells are joined by cell id, and a query
-keeps only cells that can still hold its nearest site (lower bound not above the best upper bound). Only the
-sites of the surviving finest cells are measured. Work is spread by query, so hot cells split like any skewed
-join, and sites sharing one position collapse to one before the walk.
+Sites are summarised in a pyramid of cells, each four times finer per axis than the one above, with the bounding
+box of its sites. Queries are grouped into small cells as well, and only these cells walk down the pyramid: a level
+is joined by cell id, and a query cell keeps the site cells that can still hold the nearest site of one of its
+queries (lower bound of the box distance not above the best upper bound). The walk ends with a short list of sites
+per query cell; the queries themselves take part in one equi-join with that list and one map-side combined
+aggregate. A hot query cell splits like any skewed join, and sites sharing one position collapse to one first.
 """
 import math
 
 from pyspark.sql import functions as F
 
 from floetrack.functions.geo import haversine
-from floetrack.session import checkpoint
+from floetrack.operators.stats import attach
+from floetrack.session import materialize
 
 MAX_LEVEL = 10
 LEAF_TARGET = 512
 EPS = 1e-9
+RANKED_SITES = 250_000
+RANK_SPAN = 2 ** 28
 
 
 def _axes(lat, lon, metric):
@@ -38,11 +42,11 @@ def _node(cx, cy, cz, level):
 def depth_of(sites, lat, lon, metric="sphere"):
     """Pyramid depth for a site table, to share between several joins on the same sites."""
     return pyramid_depth(sites.select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
-                         .dropna().distinct(), metric)
+                         .dropna().distinct(), metric)[0]
 
 
 def pyramid_depth(positions, metric="sphere"):
-    """Smallest depth whose fullest leaf stays small, checked by counting (one job in the usual case)."""
+    """(depth whose fullest leaf stays small, number of positions), by counting: one job in the usual case."""
     x, y, z = _axes("_lat", "_lon", metric)
     base = positions.selectExpr(f"{x} as x", f"{y} as y", f"{z} as z")
 
@@ -55,19 +59,21 @@ def pyramid_depth(positions, metric="sphere"):
     n, m = look(level)
     want = min(MAX_LEVEL, max(2, math.ceil(math.log(max(n, 1), 16))))
     if m <= LEAF_TARGET:
-        return min(level, want)
+        return min(level, want), n
     while level < MAX_LEVEL:
         level = min(MAX_LEVEL, max(level + 2, want))
         n, m = look(level)
         if m <= LEAF_TARGET:
             break
-    return level
+    return level, n
 
 
 def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(), metric="sphere",
                  levels=None, window=None, dist="dist_km", digits=6, radius=None):
     """Nearest site of every query: ``qid``, site position, ``ties`` and ``payload`` columns, ``dist``.
 
+    ``qid`` may repeat (the sample points of a route): then the nearest site over all rows of the id is found.
+
     Distances equal to ``digits`` decimals count as ties, resolved by the ``ties`` columns in ascending order.
     ``window=(lo, hi)`` names query columns bounding the site longitude. Queries without any admissible site
     return no row. ``metric`` is ``sphere`` (kilometres) or ``plane`` (degrees).
@@ -79,9 +85,16 @@ def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(),
     pos = s.groupBy("_lat", "_lon").agg(
         F.min_by(F.struct(*[f"_p_{c}" for c in keep]), F.struct(*[f"_p_{c}" for c in ties])).alias("_p"))
     # one row per distinct site position; every level below reads it, so its lineage is cut here
-    pos = checkpoint(pos)
+    pos = materialize(pos)
     if levels is None:
-        levels = pyramid_depth(pos, metric)
+        levels, n = pyramid_depth(pos, metric)
+    else:
+        n = pos.count()
+    if n <= RANKED_SITES:
+        order = ", ".join([f"_p._p_{c}" for c in ties] + ["_lat", "_lon"])
+        pos = pos.withColumn("_rank", F.expr(f"row_number() over (order by {order}) - 1L"))     # counted, few
+    else:
+        n = None
     x, y, z = _axes("_lat", "_lon", metric)
     pos = pos.selectExpr("*", f"{x} as _x", f"{y} as _y", f"{z} as _z").selectExpr(
         "*", *[f"{_cell(f'_{c}', levels)} as _c{c}" for c in "xyz"])
@@ -99,35 +112,60 @@ def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(),
                     .groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}({n}) as {n}") for n, f in lohi]))
     boxes.reverse()
 
-    qx, qy, qz = _axes("_qlat", "_qlon", metric)
+    # queries are grouped into small cells; the walk compares boxes of queries with boxes of sites
+    fine = min(MAX_LEVEL, levels + 1)
     q = (queries.select(F.col(qid).alias("_qid"), F.col(qlat).cast("double").alias("_qlat"), F.col(qlon).cast("double").alias("_qlon"),
                         *([F.col(window[0]).alias("_wlo"), F.col(window[1]).alias("_whi")] if window else []))
-         .filter("_qlat is not null and _qlon is not null")
-         .selectExpr("*", f"{qx} as _qx", f"{qy} as _qy", f"{qz} as _qz", "0L as _at"))
-    own = [c for c in q.columns if c != "_at"]
-    gap = "+".join(f"pow(greatest(0D,_lo{c}-_q{c},_q{c}-_hi{c}),2)" for c in "xyz")
-    far = "+".join(f"pow(greatest(abs(_q{c}-_lo{c}),abs(_q{c}-_hi{c})),2)" for c in "xyz")
-    ub = f"sqrt({far})"
-    if window:      # only cells wholly inside the window bound the distance
-        ub = f"case when _lolon>=_wlo and _hilon<=_whi then {ub} else double('Infinity') end"
-    cand = q
+         .filter("_qlat is not null and _qlon is not null"))
+    base = q.columns
+    q = (q.selectExpr("*", *[f"{e} as _q{c}" for e, c in zip(_axes("_qlat", "_qlon", metric), "xyz")])
+         .selectExpr("*", _node(*[_cell(f"_q{c}", fine) for c in "xyz"], fine) + " as _k"))
+    bounds = [f"{f}(_q{c}) as _q{n}{c}" for c in "xyz" for n, f in (("lo", "min"), ("hi", "max"))]
+    if window:
+        bounds += ["min(_wlo) as _wlo0", "max(_wlo) as _wlo1", "min(_whi) as _whi0", "max(_whi) as _whi1"]
+    cells = q.groupBy("_k").agg(*[F.expr(b) for b in bounds])
+    own = cells.columns
+    cand = cells.selectExpr("*", "0L as _at")
+
+    def prune(df, keep, lo, hi, lon_lo, lon_hi):
+        """Drop pairs that cannot hold the nearest site of any query of the cell."""
+        gap = "+".join(f"pow(greatest(0D,{lo}{c}-_qhi{c},_qlo{c}-{hi}{c}),2)" for c in "xyz")
+        far = "+".join(f"pow(greatest(abs(_qhi{c}-{lo}{c}),abs({hi}{c}-_qlo{c})),2)" for c in "xyz")
+        ub = f"sqrt({far})"
+        if window:      # a pair is possible for some query, and bounds the distance only when admissible for all
+            df = df.filter(f"{lon_hi}>=_wlo0 and {lon_lo}<=_whi1")
+            ub = f"case when {lon_lo}>=_wlo1 and {lon_hi}<=_whi0 then {ub} else double('Infinity') end"
+        return (df.selectExpr(*keep, f"sqrt({gap}) as _lb", f"min({ub}) over (partition by _k) as _best")
+                .filter(f"_lb <= _best + {EPS!r}D").select(*[k.split(" as ")[-1] for k in keep]))
+
     for level, box in enumerate(boxes, start=1):
-        # the top level has at most 4**3 cells whatever the data
-        cand = cand.join(F.broadcast(box) if level == 1 else box, "_at")
-        if window:
-            cand = cand.filter("_hilon>=_wlo and _lolon<=_whi")
-        cand = (cand.selectExpr(*own, "_node as _at", f"sqrt({gap}) as _lb", f"min({ub}) over (partition by _qid) as _best")
-                .filter(f"_lb <= _best + {EPS!r}D").select(*own, "_at"))
-    leaf = pos.selectExpr(f"{_node('_cx', '_cy', '_cz', levels)} as _at", "_lat", "_lon", "_p")
-    hit = cand.join(leaf, "_at")
+        if level == 1:      # at most 4**3 boxes whatever the data: one array for all cells
+            top = box.drop("_at").agg(F.expr("collect_list(struct(*)) as _top"))
+            pairs = attach(cand.drop("_at"), top).selectExpr(*own, "explode(_top) as _b").selectExpr(*own, "_b.*")
+        else:
+            pairs = cand.join(box, "_at")
+        cand = prune(pairs, own + ["_node as _at"], "_lo", "_hi", "_lolon", "_hilon")
+    pick = ["_k", "_lat", "_lon", "_rank" if n is not None else "_p"]
+    leaf = pos.selectExpr(f"{_node('_cx', '_cy', '_cz', levels)} as _at", *pick[1:], "_x", "_y", "_z")
+    near = prune(cand.join(leaf, "_at"), pick, "_", "_", "_lon", "_lon")
+    # Query cells keep few sites each, so the list of a partition fits a hash table; neither side is broadcast on an
+    # estimate, and partitions skewed by a hot query cell are split at run time.
+    hit = q.select(*base, "_k").join(near.hint("shuffle_hash"), "_k")
     if window:
         hit = hit.filter("_lon between _wlo and _whi")
     if metric == "plane":
-        d = "sqrt(pow(_lat-_qlat,2)+pow(_lon-_qlon,2))"
-        hit = hit.selectExpr("_qid", "_lat", "_lon", "_p", f"{d} as _d")
+        hit = hit.selectExpr("_qid", *pick[1:], "sqrt(pow(_lat-_qlat,2)+pow(_lon-_qlon,2)) as _d")
     else:
-        hit = hit.select("_qid", "_lat", "_lon", "_p", haversine("_qlat", "_qlon", "_lat", "_lon", *([radius] if radius else [])).alias("_d"))
+        hit = hit.select("_qid", *pick[1:], haversine("_qlat", "_qlon", "_lat", "_lon", *([radius] if radius else [])).alias("_d"))
+    if n is not None:
+        # rounded distance and site rank packed into one number: a plain hash aggregate finds the nearest
+        best = (hit.selectExpr("_qid", "_d", f"cast(round(_d*1e{digits}) as bigint)*{RANK_SPAN}L + _rank as _o")
+                .groupBy("_qid").agg(F.expr("min(_o) as _o"), F.expr("min_by(_d, _o) as _d"))
+                .selectExpr("_qid", "_d", f"_o % {RANK_SPAN}L as _rank").join(pos.select("_rank", "_lat", "_lon", "_p"), "_rank"))
+        return best.select(F.col("_qid").alias(qid), F.col("_lat").alias("site_lat"), F.col("_lon").alias("site_lon"),
+                           F.col("_d").alias(dist), *[F.col(f"_p._p_{c}").alias(c) for c in keep])
     order = ", ".join([f"round(_d, {digits})"] + [f"_p._p_{c}" for c in ties])
     best = hit.groupBy("_qid").agg(F.expr(f"min_by(struct(_d, _lat, _lon, _p), struct({order})) as _m"))
+    # more sites than a rank may number: compare the tie columns themselves
     return best.select(F.col("_qid").alias(qid), F.col("_m._lat").alias("site_lat"), F.col("_m._lon").alias("site_lon"),
                        F.col("_m._d").alias(dist), *[F.col(f"_m._p._p_{c}").alias(c) for c in keep])

@@ -1,11 +1,13 @@
 """Coverage, missing data, ranges, validation issues, cadence and freshness."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from floetrack.config import VARIABLE_SPEC
 from floetrack.functions import geo
 from floetrack.functions.values import is_synthetic_row, rnd, to_number
 from floetrack.operators import ordered as od
-from floetrack.operators.stats import exact_median
+from floetrack.operators.stats import attach, exact_median
 
 
 def coverage(df, time_col="obs_time", entity=None):
@@ -123,7 +125,6 @@ def validate_grid(df, dataset, variables, time_col="obs_time", lat_band=(-90.0,
     one = df.agg(*aggs)
     dup = df.groupBy(time_col, "latitude", "longitude").count().agg(
         F.coalesce(F.bool_or(F.col("count") > 1), F.lit(False)).alias("time_dup"))
-    from floetrack.operators.stats import attach
     one = attach(one, dup)
     items = []
     if classification == "synthetic_demo":
@@ -231,13 +232,11 @@ def cadence(df, time_col="obs_time", chunk_days=365.0):
     h = od.with_halo(t, ["_k"], ["_h"], width, before=1)
     h = od.drop_halo(h.withColumn("_p", F.lag("_h").over(od.window(["_k"], ["_h"], width))))
     med = exact_median(h.withColumn("_step", F.col("_h") - F.col("_p")).filter("_step > 0"), "_step", name="cadence_hours")
-    return df.limit(0).agg(F.count(F.lit(1)).alias("_z")).join(
-        med.withColumn("_z", F.lit(0).cast("long")), "_z", "left").select("cadence_hours")
+    return med.agg(F.max("cadence_hours").alias("cadence_hours"))
 
 
 def freshness(df, now, dataset="dataset", time_col="obs_time"):
     """One row: newest time, its age at ``now``, cadence and a note on two-hour use."""
-    from floetrack.operators.stats import attach
     last = df.agg(F.max(time_col).alias("last_time"))
     out = attach(last, cadence(df, time_col))
     nowc = F.lit(now).cast("timestamp_ntz")
@@ -273,7 +272,6 @@ def verify_dataset(df, dataset, required, label=None, key=("latitude", "longitud
             aggs.append(F.count_distinct(c).alias(f"n_{c}"))
     one = df.agg(*aggs)
     if len(key) == 2:
-        from floetrack.operators.stats import attach
         dup = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
                .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_cells")))
         one = attach(one, dup)
@@ -295,7 +293,6 @@ def check_tabular(df, dataset, required, lat_bounds):
     one = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(lat.isNull()).alias("miss"),
                  F.count_if(lat.isNotNull() & ~ok).alias("bad"),
                  F.count_if(ok & ((lat < lat_bounds[0]) | (lat > lat_bounds[1]))).alias("band"))
-    from floetrack.operators.stats import attach
     dup = (df.filter(F.coalesce(ok, F.lit(False))).groupBy(*req).agg(F.count(F.lit(1)).alias("_n"))
            .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("dup")))
     one = attach(one, dup)
@@ -323,8 +320,6 @@ def readiness(tables):
     """Per resource: present and non-empty, with the overall status (``ok`` or ``degraded``)."""
     parts = [df.limit(1).agg((F.count(F.lit(1)) > 0).alias("ready")).select(F.lit(n).alias("resource"), "ready")
              for n, df in tables.items()]
-    from functools import reduce
-    from floetrack.operators.stats import attach
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     overall = rows.agg(F.when(F.bool_and("ready"), "ok").otherwise("degraded").alias("overall"))
     return attach(rows, overall)

@@ -11,7 +11,7 @@ from floetrack.operators.grids import regrid_nearest
 from floetrack.operators.joins import iceberg_positions, nearest_hazard, route_samples, sample_grid
 from floetrack.operators.nearest import nearest_join
 from floetrack.operators.stats import attach
-from floetrack.session import checkpoint
+from floetrack.session import materialize
 
 CELL = ["latitude", "longitude"]
 
@@ -133,7 +133,7 @@ def score_waypoints(waypoints, grid, routes, vessels, cfg=DEPLOYED, axes=None, c
     A vessel's own concentration limit is applied to the sampled cell. The grid is joined last, once for the waypoint
     and once for its predecessor, so the window work never carries it.
     """
-    grid = checkpoint(grid)            # read twice below; bounded by the navigation cells
+    grid = materialize(grid)            # read twice below; bounded by the navigation cells
     ax = axes or grid_axes(grid, ("latitude", "longitude"))
     v = vessels.select("vessel_id", F.coalesce("cruise_speed_knots", F.lit(12.0)).alias("speed_knots"), "rate",
                        "max_concentration", "clearance_km")

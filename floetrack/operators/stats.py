@@ -40,9 +40,10 @@ def exact_median(df, value, by=(), name="median", levels=2, bins=2048):
 
 
 def attach(df, one_row):
-    """Add the columns of a one-row frame (a global aggregate) to every row."""
-    return (df.withColumn("_k", F.lit(0))
-            .join(F.broadcast(one_row.withColumn("_k", F.lit(0))), "_k").drop("_k"))
+    """Add the columns of a frame of at most one row (a global aggregate) to every row, as a scalar subquery."""
+    names = one_row.columns
+    out = df.withColumn("_one", one_row.select(F.struct(*names)).scalar())
+    return out.select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in names])
 
 
 def global_cuts(df, order_ts, ties, ranks):

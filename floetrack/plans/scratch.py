@@ -1,13 +1,12 @@
 """Scratch folders for queries that write and read back."""
-import tempfile
 import uuid
 
+from floetrack.session import shared_folder
+
 
 def scratch(spark):
-    """Folder beside the cluster's checkpoint folder; a temporary one only in local mode without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    """A new folder beside the cluster's checkpoint folder."""
+    base = shared_folder(spark)
+    if base is None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="scratch-")
+    return f"{base}/scratch-{uuid.uuid4().hex}"

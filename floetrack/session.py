@@ -1,5 +1,6 @@
 """Session factory: UTC, ANSI, AQE."""
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,19 +19,26 @@ def get_session(master=None, **conf):
     return b.getOrCreate()
 
 
-def checkpoint(df):
-    """Cut lineage through the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+def shared_folder(spark):
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    A folder of its own is made only in local mode, where the setting is unset (tests). On a cluster without the
-    setting the frame is returned unchanged: recomputing is safe, a machine-local folder is not.
+    A folder of its own is made only in local mode, where the setting is unset (tests); elsewhere None.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/") if folder else None
+
+
+def materialize(df):
+    """Cut lineage: write the frame once to the shared folder and read it back (its size is then known to the planner).
+
+    Without a shared folder the frame is returned unchanged: recomputing is safe, a machine-local folder is not.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
