@@ -224,9 +224,9 @@ def j17(v):
 
 @case("j20_align_channels", """
 select r.obs_time, r.latitude, r.longitude, g.u10, g.t2m from v_grid r left join v_grid g on g.latitude = r.latitude and g.obs_time=r.obs_time
- and g.longitude = (select arg_min(o,(abs(o-r.longitude),o)) from (select distinct longitude as o from v_grid where longitude % 20 = 0))""")
+ and g.longitude = (select arg_min(o,(abs(o+4D-r.longitude),o)) from (select distinct longitude as o from v_grid))""")
 def j20(v):
-    wx = v.grid.filter(F.col("longitude") % 20 == 0)
+    wx = v.grid.withColumn("longitude", F.col("longitude") + 4.0)
     return j.align_channels(v.grid.select("obs_time", "latitude", "longitude", "sic"), [(wx, ["u10", "t2m"])]).select(
         "obs_time", "latitude", "longitude", "u10", "t2m")
 

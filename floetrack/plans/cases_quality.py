@@ -360,10 +360,11 @@ def u03(v):
     return cl.unseen(e.select("event_id"), e.filter("event_type = 'click'"), "event_id")
 
 
-@case("u04_keep_dates", "select event_id from events where cast(ts as date) in (select cast(ts as date) from events where event_id % 1000 = 0)")
+@case("u04_keep_dates", "select event_id from events where cast(ts as date) in (select cast(o_orderdate as date) from orders) or cast(ts as date) in (select cast(ts as date) from events where event_type = 'signup')")
 def u04(v):
     e = v.table("events")
-    return cl.keep_dates(e, e.filter("event_id % 1000 = 0").select(F.to_date("ts").alias("date")), "ts").select("event_id")
+    return cl.keep_dates(e, e.filter("event_type = 'signup'").select(F.to_date("ts").alias("date")).unionByName(
+        v.table("orders").select(F.to_date("o_orderdate").alias("date"))), "ts").select("event_id")
 
 
 @case("j26_select_ids", "select s_suppkey from supplier where s_suppkey in (select o_custkey from orders)")

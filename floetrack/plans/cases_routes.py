@@ -19,7 +19,7 @@ select ci as i, cj as j, c.latitude, c.longitude, c.is_land, min({hav('c.latitud
 from o_navc c, o_latest b group by 1,2,3,4,5""")
 shared_cte("o_wx", """
 select c.latitude, c.longitude, arg_min(w.ws,(round(sqrt(pow(w.la-c.latitude,2)+pow(w.lo-c.longitude,2)),6),w.wx_id)) as ws from v_cells c,
- (select latitude-0.2D as la, longitude+3.0D as lo, cast((latitude+74.5D)*1000 + (longitude+180D) as bigint) as wx_id, sqrt(u10*u10+v10*v10) as ws from o_last where cast(latitude+74.5D as int) % 2 = 0) w group by 1,2""")
+ (select latitude-0.2D as la, longitude+3.0D as lo, cast((latitude+74.5D)*1000 + (longitude+180D) as bigint) as wx_id, sqrt(u10*u10+v10*v10) as ws from o_last) w group by 1,2""")
 shared_cte("o_layers", f"""
 select b.*, least(greatest(s.sic,0D),1D) as conc, s.sic is null as nosic, least(1D,greatest(0D,w.ws/30D)) as wx, coalesce(s.sic > 0.85D,false) or coalesce(bkm < 20D,false) as blocked
 from o_berg_cell b left join o_last s using(latitude, longitude) left join o_wx w using(latitude, longitude)""")
@@ -29,7 +29,7 @@ select *, case when nosic then null else conc end as concentration, case when is
 
 
 def weather(v):
-    s = g.latest_snapshot(v.grid).filter((F.col("latitude") + 74.5).cast("int") % 2 == 0)
+    s = g.latest_snapshot(v.grid)
     return s.select((F.col("latitude") - 0.2).alias("latitude"), (F.col("longitude") + 3.0).alias("longitude"),
                     ((F.col("latitude") + 74.5) * 1000 + (F.col("longitude") + 180.0)).cast("long").alias("wx_id"),
                     F.hypot("u10", "v10").alias("wind_speed"))
@@ -212,13 +212,11 @@ def t02(v):
 
 
 @case("t03_order_alerts", """
-select event_id as alert_id, s as severity, row_number() over (order by case s when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, value, event_id) as pos
-from (select *, case when value<5D then 'critical' when value<=15D then 'high' when value<=30D then 'medium' else 'low' end as s from events) order by pos limit 100""")
+select event_id as alert_id, s as severity, value as distance_km, case s when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end as sort_rank
+from (select *, case when value<5D then 'critical' when value<=15D then 'high' when value<=30D then 'medium' else 'low' end as s from events) order by 4, 3, 1""")
 def t03(v):
     d = v.table("events").select(F.col("event_id").alias("alert_id"), risk.alert_severity("iceberg", "value").alias("severity"), F.col("value").alias("distance_km"))
-    top = r.order_alerts(d).limit(100).withColumn("_m", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-    return top.withColumn("pos", F.row_number().over(Window.orderBy("_m")).cast("long")).select("alert_id", "severity", "pos")
+    return r.order_alerts(d).withColumn("sort_rank", risk.severity_rank("severity"))
 
 
 @case("t05_distinct_topk", """

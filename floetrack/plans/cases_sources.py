@@ -72,7 +72,7 @@ def s07(v):
     p = v.presence.select(F.col("obs_time").cast("date").alias("date"), "cell_ll_lat", "cell_ll_lon", "flag")
     p.filter(F.month("date") <= 6).write.option("header", True).csv(base + "/a.csv")
     p.filter(F.month("date") > 6).write.option("header", True).csv(base + "/b.csv")
-    p.select("flag").limit(5).write.option("header", True).csv(base + "/notes.csv")
+    p.select("flag").distinct().write.option("header", True).csv(base + "/notes.csv")
     return rd.read_fleet_presence(v.spark, [base + "/a.csv", base + "/b.csv", base + "/notes.csv"])
 
 
