@@ -19,15 +19,21 @@ def get_session(master=None, **conf):
     return b.getOrCreate()
 
 
+_LOCAL_FOLDERS = {}
+
+
 def shared_folder(spark):
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir`` (or the context's checkpoint folder).
 
-    A folder of its own is made only in local mode, where the setting is unset (tests); elsewhere None.
+    A folder of its own is made only in local mode, where neither is set (tests); elsewhere None.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    sc = spark.sparkContext
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+              or sc.getCheckpointDir())
+    if folder is None and sc.master.startswith("local"):
+        folder = _LOCAL_FOLDERS.get(sc.applicationId)
+        if folder is None:
+            folder = _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="shared-")
     return folder.rstrip("/") if folder else None
 
 
