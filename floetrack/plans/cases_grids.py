@@ -87,7 +87,7 @@ def p24(v):
 
 
 @case("p34_mark_land", """
-with pts as (select distinct cast(least(19,greatest(0,ceil((latitude+74.5D)-0.5D))) as int) as i, cast(least(35,greatest(0,ceil((longitude+180D)/10D-0.5D))) as int) as j from v_places)
+with pts as (select distinct cast(least((select mi from o_b),greatest(0,ceil((latitude+74.5D)-0.5D))) as int) as i, cast(least(35,greatest(0,ceil((longitude+180D)/10D-0.5D))) as int) as j from v_places)
 select latitude, longitude, (is_land or (latitude between -60D and -58D and longitude between 0D and 50D)
   or exists (select 1 from pts where pts.i = latitude+74.5D and pts.j = (longitude+180D)/10D)) as is_land from v_cells""")
 def p34(v):

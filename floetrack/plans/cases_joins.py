@@ -150,9 +150,10 @@ def j11(v):
     return j.match_place(latest(v).withColumnRenamed("iceberg_id", "pid"), "pid", v.places, 500.0).select("pid", "place_id", "kind")
 
 
+shared_cte("o_b", "select max(latitude) as mla, cast(max(latitude)+74.5D as int) as mi from v_cells")
 shared_cte("o_navq", """
-select p.*, cast(least(19,greatest(0,ceil((la+74.5D)-0.5D))) as int) as i, cast(least(35,greatest(0,ceil((lo+180D)/10D-0.5D))) as int) as j from (
- select place_id, name, kind, least(greatest(latitude,-74.5D),-55.5D) as la, least(greatest(longitude,-180D),170D) as lo, latitude, longitude from v_places) p""")
+select p.*, cast(least((select mi from o_b),greatest(0,ceil((la+74.5D)-0.5D))) as int) as i, cast(least(35,greatest(0,ceil((lo+180D)/10D-0.5D))) as int) as j from (
+ select place_id, name, kind, least(greatest(latitude,-74.5D),(select mla from o_b)) as la, least(greatest(longitude,-180D),170D) as lo, latitude, longitude from v_places) p""")
 shared_cte("o_navc", "select *, cast(latitude+74.5D as int) as ci, cast((longitude+180D)/10D as int) as cj from v_cells")
 shared_cte("o_nearnav", f"""
 select q.place_id, arg_min({{'la': c.latitude, 'lo': c.longitude, 'km': d}}, (tier, round(d,6), c.latitude, c.longitude)) as m from (
@@ -182,7 +183,7 @@ def j13(v):
 
 @case("j13_rejected", """
 select count(*) filter (where o.is_land) as rejected, count(*) filter (where not o.is_land) as navigable from o_latest b
-join o_navc o on o.ci=cast(least(19,greatest(0,ceil((least(greatest(b.latitude,-74.5D),-55.5D)+74.5D)-0.5D))) as int) and o.cj=cast(least(35,greatest(0,ceil((least(greatest(b.longitude,-180D),170D)+180D)/10D-0.5D))) as int)""")
+join o_navc o on o.ci=cast(least((select mi from o_b),greatest(0,ceil((least(greatest(b.latitude,-74.5D),(select mla from o_b))+74.5D)-0.5D))) as int) and o.cj=cast(least(35,greatest(0,ceil((least(greatest(b.longitude,-180D),170D)+180D)/10D-0.5D))) as int)""")
 def j13b(v):
     far = v.places.withColumn("latitude", F.lit(10.0))
     out = j.resolve_endpoints(latest(v), "iceberg_id", v.cells, far)
@@ -190,7 +191,7 @@ def j13b(v):
 
 
 @case("j14_sample_grid", """
-select w.route_id, w.wp_index, c.is_land, c.z from v_waypoints w join o_navc c on c.ci=cast(least(19,greatest(0,ceil((w.latitude+74.5D)-0.5D))) as int)
+select w.route_id, w.wp_index, c.is_land, c.z from v_waypoints w join o_navc c on c.ci=cast(least((select mi from o_b),greatest(0,ceil((w.latitude+74.5D)-0.5D))) as int)
  and c.cj=cast(least(35,greatest(0,ceil((w.longitude+180D)/10D-0.5D))) as int)""")
 def j14(v):
     return j.sample_grid(v.waypoints, v.cells, ["is_land", "z"]).select("route_id", "wp_index", "is_land", "z")
@@ -205,7 +206,7 @@ def j15(v):
 
 @case("j16_is_ocean", """
 select event_id, case when t.longitude between 20 and 120 then not c.is_land end as is_ocean from v_tracks t
- join o_navc c on c.ci=cast(least(19,greatest(0,ceil((t.latitude+74.5D)-0.5D))) as int) and c.cj=cast(least(35,greatest(0,ceil((t.longitude+180D)/10D-0.5D))) as int)
+ join o_navc c on c.ci=cast(least((select mi from o_b),greatest(0,ceil((t.latitude+74.5D)-0.5D))) as int) and c.cj=cast(least(35,greatest(0,ceil((t.longitude+180D)/10D-0.5D))) as int)
 where not (t.longitude between 20 and 120 and c.is_land)""")
 def j16(v):
     return j.drop_known_land(j.is_ocean(v.tracks, v.cells)).select("event_id", "is_ocean")
@@ -214,9 +215,9 @@ def j16(v):
 @case("j17_score_land_mask", f"""
 select count(*) as total_points, count(*) filter (where ok and not land) as ocean_points, count(*) filter (where ok and land) as land_points, count(*) filter (where not ok) as invalid_points,
   round(count(*) filter (where ok and not land)*100D/count(*),4)+0.0D as accuracy_percent from (
- select b.iceberg_id, (b.latitude between -74.5D and -55.5D and b.longitude between -180D and 170D) as ok,
+ select b.iceberg_id, (b.latitude between -74.5D and (select mla from o_b) and b.longitude between -180D and 170D) as ok,
   (own.is_land or (select min({hav('b.latitude', 'b.longitude', 'c.latitude', 'c.longitude')}) from v_cells c where c.is_land) <= 250D) as land
- from o_latest b join o_navc own on own.ci=cast(least(19,greatest(0,ceil((least(greatest(b.latitude,-74.5D),-55.5D)+74.5D)-0.5D))) as int)
+ from o_latest b join o_navc own on own.ci=cast(least((select mi from o_b),greatest(0,ceil((least(greatest(b.latitude,-74.5D),(select mla from o_b))+74.5D)-0.5D))) as int)
   and own.cj=cast(least(35,greatest(0,ceil((least(greatest(b.longitude,-180D),170D)+180D)/10D-0.5D))) as int))""")
 def j17(v):
     return j.score_land_mask(latest(v), "iceberg_id", v.cells, 250.0)[1].drop("status")

@@ -46,7 +46,7 @@ def p06(v):
     return cl.valid_coords(_typed(v), "la", "lo").groupBy("la", "lo").agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("p07_clip_region", "select cell_ll_lat, count(*) as n from v_presence where cell_ll_lat between -75 and -55 group by 1")
+@case("p07_clip_region", "select cell_ll_lat, count(*) as n from v_presence where cell_ll_lat between -75 and -55 or not (select bool_or(cell_ll_lat between -75 and -55) from v_presence) group by 1")
 def p07(v):
     return cl.clip_region(v.presence, -75.0, -55.0, "cell_ll_lat").groupBy("cell_ll_lat").agg(F.count(F.lit(1)).alias("n"))
 

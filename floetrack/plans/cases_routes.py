@@ -90,9 +90,9 @@ shared_cte("o_wps", """
 select w.route_id, w.wp_index, w.latitude, w.longitude, x.vessel_id, coalesce(q.cruise_speed_knots,12D) as spd, q.tons_per_day as rate, q.safety_distance_nm,
  case q.ice_class when 'PC3' then 1D when 'PC5' then 0.6D when 'PC7' then 0.3D when 'NO' then 0.2D end as lim, k.concentration, k.bkm, k.is_land,
  case when coalesce(k.concentration > (case q.ice_class when 'PC3' then 1D when 'PC5' then 0.6D when 'PC7' then 0.3D when 'NO' then 0.2D else 0.6D end),false) then 1D else coalesce(k.total_risk,0) end as risk,
- (w.latitude between -74.5D and -55.5D and w.longitude between -180D and 170D) as inside
+ (w.latitude between -74.5D and (select mla from o_b) and w.longitude between -180D and 170D) as inside
 from v_waypoints w join v_routes x using(route_id) left join v_vessels q using(vessel_id)
-left join o_risk k on k.i=cast(least(19,greatest(0,ceil((w.latitude+74.5D)-0.5D))) as int) and k.j=cast(least(35,greatest(0,ceil((w.longitude+180D)/10D-0.5D))) as int)""")
+left join o_risk k on k.i=cast(least((select mi from o_b),greatest(0,ceil((w.latitude+74.5D)-0.5D))) as int) and k.j=cast(least(35,greatest(0,ceil((w.longitude+180D)/10D-0.5D))) as int)""")
 shared_cte("o_seg", f"""
 select *, coalesce(km0,0) as km, case when km0 is not null then greatest(risk, prisk) end as srisk from (
  select *, {hav('lag(latitude) over w', 'lag(longitude) over w', 'latitude', 'longitude')} as km0, lag(risk) over w as prisk,
@@ -125,7 +125,10 @@ def a37(v):
 select route_id, (count(*) >= 2 and bool_and(inside) and not bool_or(is_land)) as valid from o_wps group by 1""")
 def f21(v):
     c = v.cells
-    s = j.sample_grid(v.waypoints, c, ["is_land"]).withColumn("inside", F.col("latitude").between(-74.5, -55.5) & F.col("longitude").between(-180.0, 170.0))
+    ax = grid_axes(c, ("latitude", "longitude"))
+    la, lo = ax["latitude"].values, ax["longitude"].values
+    s = j.sample_grid(v.waypoints, c, ["is_land"], ax).withColumn(
+        "inside", F.col("latitude").between(la[0], la[-1]) & F.col("longitude").between(lo[0], lo[-1]))
     a = s.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("inside").alias("i"), F.bool_or("is_land").alias("l"))
     return a.select("route_id", risk.route_valid("n", F.col("i"), F.col("l"), F.lit(False)).alias("valid"))
 

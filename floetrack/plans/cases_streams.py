@@ -93,7 +93,7 @@ def r05(v):
 
 
 @case("r06_stream_hazard", """
-select t.event_id, c.is_land, round(c.z,3)+0.0D as total_risk from v_tracks t join o_navc c on c.ci=cast(least(19,greatest(0,ceil((t.latitude+74.5D)-0.5D))) as int)
+select t.event_id, c.is_land, round(c.z,3)+0.0D as total_risk from v_tracks t join o_navc c on c.ci=cast(least((select mi from o_b),greatest(0,ceil((t.latitude+74.5D)-0.5D))) as int)
  and c.cj=cast(least(35,greatest(0,ceil((t.longitude+180D)/10D-0.5D))) as int)""")
 def r06(v):
     cells = v.cells.withColumn("total_risk", F.col("z"))
