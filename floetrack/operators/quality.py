@@ -129,11 +129,12 @@ def validate_grid(df, dataset, variables, time_col="obs_time", lat_band=(-90.0,
     items = []
     if classification == "synthetic_demo":
         items.append((F.lit(True), "warning", "DEMO_DATA", F.lit("Synthetic demo data; not real measurements."), F.lit(1)))
-    items += [
-        ((F.col("latitude_lo") < lat_band[0]) | (F.col("latitude_hi") > lat_band[1]), "error", "REGION",
-         F.lit(f"Latitudes outside region [{lat_band[0]:g},{lat_band[1]:g}]"), F.lit(1)),
-        ((F.col("longitude_lo") < -180) | (F.col("longitude_hi") > 180), "error", "REGION",
-         F.lit("Longitudes outside [-180,180]"), F.lit(1))]
+    if lat_band is not None:
+        items += [
+            ((F.col("latitude_lo") < lat_band[0]) | (F.col("latitude_hi") > lat_band[1]), "error", "REGION",
+             F.lit(f"Latitudes outside region [{lat_band[0]:g},{lat_band[1]:g}]"), F.lit(1)),
+            ((F.col("longitude_lo") < -180) | (F.col("longitude_hi") > 180), "error", "REGION",
+             F.lit("Longitudes outside [-180,180]"), F.lit(1))]
     for c in variables:
         if c not in have:
             items.append((F.lit(True), "error", "VARIABLE_MISSING", F.lit(f"Missing variable {c}"), F.lit(1)))
@@ -150,6 +151,21 @@ def validate_grid(df, dataset, variables, time_col="obs_time", lat_band=(-90.0,
     return _issues(one, *items).select(F.lit(dataset).alias("dataset"), "*")
 
 
+def validate(df, dataset, units=None, time_col="obs_time", classification=None):
+    """Validation issues of a dataset by its specification (see ``config.VARIABLE_SPEC``; ``icebergs`` for tracks).
+
+    ``units`` maps variable -> unit text found in the source; sea ice is also checked against its region.
+    """
+    if dataset == "icebergs":
+        return validate_tracks(df, dataset, time_col=time_col)
+    spec = [(v, u, lo, hi) for d, v, u, lo, hi, _ in VARIABLE_SPEC if d == dataset]
+    if not spec:
+        raise ValueError(f"unknown dataset {dataset}")
+    found = {v: (u, units[v]) for v, u, _, _ in spec if units and v in units}
+    return validate_grid(df, dataset, {v: (lo, hi) for v, _, lo, hi in spec}, time_col,
+                         (-90.0, -50.0) if dataset == "sea_ice" else None, found, classification)
+
+
 def validate_tracks(df, dataset="icebergs", lat_band=(-90.0, 90.0), time_col="obs_time",
                     required=("iceberg_id", "obs_time", "latitude", "longitude", "length_nm", "width_nm")):
     """Validation issues of a track table: schema, empty, coordinates, times, sizes."""

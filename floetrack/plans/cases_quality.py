@@ -234,6 +234,30 @@ def a07(v):
                            lat_band=(-70.0, -50.0), units={"t2m": ("K", "degC")}).select("dataset", "severity", "code", "n")
 
 
+@case("a07_validate_sea_ice", """
+select 'sea_ice' as dataset, 'warning' as severity, 'DEMO_DATA' as code, 1 as n union all select 'sea_ice','error','UNITS',1
+union all select * from (select 'sea_ice','warning','NON_FINITE', count(*)-count(sic) as n from v_grid) where n > 0
+union all select * from (select 'sea_ice','warning','MISSING_VALUES', count(*)-count(sic) as n from v_grid) where n > (select count(*)*0.01D from v_grid)""")
+def a07c(v):
+    d = v.grid.withColumnRenamed("sic", "sea_ice_concentration")
+    return q.validate(d, "sea_ice", {"sea_ice_concentration": "percent"}, classification="synthetic_demo").select("dataset", "severity", "code", "n")
+
+
+@case("a07_validate_ocean", """
+select * from (select 'ocean_surface' as dataset, 'error' as severity, 'FIELD_OUT_OF_RANGE' as code, count(*) filter (where x<-5 or x>5) as n from (select uo*200 as x from v_grid)) where n > 0
+union all select 'ocean_surface','error','VARIABLE_MISSING',1 union all select 'ocean_surface','error','VARIABLE_MISSING',1""")
+def a07d(v):
+    return q.validate(v.grid.withColumn("uo", F.col("uo") * 200), "ocean_surface").select("dataset", "severity", "code", "n")
+
+
+@case("a08_dataset_status", """
+select 'sea_ice' as dataset, 'valid' as status from v_grid group by 1 union all select 'ocean_surface', 'invalid' from v_grid group by 1""")
+def a08b(v):
+    d = v.grid.withColumnRenamed("sic", "sea_ice_concentration")
+    issues = q.validate(d, "sea_ice").unionByName(q.validate(d, "ocean_surface"))
+    return q.status_of(issues)
+
+
 shared_cte("o_traw", "select id as iceberg_id, t as obs_time, la as latitude, lo as longitude, length_km::double as length_nm, width_km::double as width_nm from o_raw")
 
 

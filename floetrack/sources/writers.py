@@ -15,14 +15,15 @@ def lat_band_key(lat="latitude"):
 def write_partitioned(df, path, by, max_rows=5_000_000, fmt="parquet", mode="overwrite", spread=8, sort=("latitude",)):
     """Write by partition key with at most ``max_rows`` per file.
 
-    Rows of one key are spread over ``spread`` tasks by a hash of the row, so a key holding much of the data does not
-    fall on one task; within a task they are sorted for min/max skipping. ``by`` maps the key name to its expression.
+    Rows of one key are spread over ``spread`` tasks by row hash and input partition, so neither a key holding much of the
+    data nor a group of copies falls on one task (and a retried task repeats its choice); within a task rows are sorted
+    for min/max skipping. ``by`` maps the key name to its expression.
     """
     out = df
     for k, c in by.items():
         out = out.withColumn(k, c)
     keys = list(by)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    salt = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(spread))
     out = out.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
     cols = keys + [c for c in sort if c in df.columns]
     (out.sortWithinPartitions(*cols).write.mode(mode).format(fmt).option("maxRecordsPerFile", max_rows)
