@@ -176,6 +176,12 @@ def w09(v):
     return out.join(have, ["latitude", "longitude"], "left_semi").withColumn("uo", rnd("uo", 9))
 
 
+@case("w09_field_exact", """
+select latitude, longitude, vo, 'exact_match' as method, obs_time as bracket_start, obs_time as bracket_end from v_grid where obs_time = timestamp '2024-01-12'""")
+def w09d(v):
+    return g.field_at(v.grid, "vo", "2024-01-12", "linear").drop("interpolation_weight")
+
+
 @case("w09_field_nearest", """
 select latitude, longitude, uo, 'nearest_in_time' as method, timestamp '2024-01-10' as bracket_start, timestamp '2024-01-11' as bracket_end
 from v_grid where obs_time = timestamp '2024-01-11'""")
