@@ -22,3 +22,25 @@ def _table(spark, sf_dir, name):
 def op4(spark, sf_dir):
     from floetrack.llm import bytebpe
     return bytebpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_warc", """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as payload_bytes, sha256(body) as h, sha1(body) as x from p),
+b as (select *, max(page_id) over (partition by h) as top from d)
+select page_id, payload_bytes, (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31 as int), 1), '' order by i) from range(32) t(i)) as payload_digest,
+ case when page_id is not distinct from top then 'response' else 'revisit' end as record_type,
+ case when page_id is distinct from top then top end as refers_to
+from b""")
+def op1(spark, sf_dir):
+    from floetrack.llm import warc
+    return warc.listing(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
+
+
+@query("op10_exact_dedup", r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as n from documents),
+g as (select n, count(*) as group_size, arg_min(doc_id, struct_pack(a := -length(t), b := doc_id)) as keep_id from d group by n)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_sha256 from d join g using (n)""")
+def op10(spark, sf_dir):
+    from floetrack.llm import exact
+    return exact.dedup(_table(spark, sf_dir, "documents")).drop("locator")
