@@ -7,6 +7,7 @@ binary columns, so a key as frequent as the block count is the hottest there can
 and retries; numpy works inside the tasks.
 """
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from floetrack.llm.common import written
+from floetrack.llm.common import folder
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -56,7 +57,8 @@ def each_block(batches):
 def write_blocks(docs, key="doc_id", text="text", flag=None, block_bytes=BLOCK_BYTES):
     """Written table of blocks of ``docs``. NULL texts count as empty; a text longer than a block is a block of its own.
 
-    ``flag``: a boolean column to carry. Rows keep their order within an input partition; no shuffle.
+    ``flag``: a boolean column to carry. Rows keep their order within an input partition; no shuffle. The table is bucketed
+    by block, so that answers can be joined to it again and again without shuffling the texts.
     """
     d = docs.select(F.col(key).cast("bigint").alias("id"), (flag if flag is not None else F.lit(True)).alias("flag"),
                     F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -90,7 +92,12 @@ def write_blocks(docs, key="doc_id", text="text", flag=None, block_bytes=BLOCK_B
         if held:
             yield flush()
 
-    return written(d.mapInArrow(pack, SCHEMA), "blocks", "uncompressed")
+    spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    (d.mapInArrow(pack, SCHEMA).write.option("path", folder(spark, "blocks")).option("compression", "uncompressed")
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: files outside the warehouse stay, and the frame keeps reading them
+    return table
 
 
 def bucket_count(blocks, bucket_bytes=BUCKET_BYTES):
@@ -103,8 +110,8 @@ REPLY = "block bigint, bucket int, reply binary, stats array<bigint>"
 _reply = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("reply", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
-def exchange(asked, emit, answer, name):
-    """Written replies (block, bucket, reply, stats).
+def exchange(asked, emit, answer):
+    """Replies (block, bucket, reply, stats).
 
     ``emit(block, got)`` yields (bucket, payload) of a block; ``answer(payloads)`` returns one reply per payload of a bucket
     and a list of integers (the bucket's statistics, stored with its first reply; empty if none).
@@ -126,7 +133,7 @@ def exchange(asked, emit, answer, name):
                          pa.array([stats] + [[]] * (n - 1), pa.list_(pa.int64()))], schema=_reply)
 
     sent = asked.mapInArrow(send, "block bigint, bucket int, payload binary")
-    return written(sent.groupBy("bucket").applyInArrow(reply, REPLY), name, "uncompressed")
+    return sent.groupBy("bucket").applyInArrow(reply, REPLY)
 
 
 def attach(blocks, replies, column="got"):

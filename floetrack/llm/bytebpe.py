@@ -6,6 +6,7 @@ position. Decoding joins ids with the token-byte table (as long as the vocabular
 """
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from floetrack.llm import words as W
 
 # white space of the pattern that bytes.split() does not know; texts with it are matched as a whole
 ODD_SPACE = regex.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-CHUNK = regex.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _loaded = {}
 
 
@@ -46,6 +47,17 @@ def chunks(raw):
     return CHUNK.findall(raw)
 
 
+def pre_tokens(chunk, pattern):
+    """Matches of the pattern in one chunk; a word of letters after at most one space needs no matching."""
+    c = chunk.decode()
+    w = c[1:] if c[0] == " " else c
+    if w.isalpha():
+        return [chunk]
+    if w[-1:] in ("." , ",") and w[:-1].isalpha():
+        return [chunk[:-1], chunk[-1:]]
+    return [p.encode() for p in pattern.findall(c)]
+
+
 def encode(docs, path, pattern, key="doc_id", text="text", block_bytes=B.BLOCK_BYTES):
     """Rows (``key``, ids binary: little-endian uint32) of every whole text, as an encoder of the whole text gives them.
 
@@ -55,30 +67,31 @@ def encode(docs, path, pattern, key="doc_id", text="text", block_bytes=B.BLOCK_B
     t = B.write_blocks(docs, key, text, block_bytes=block_bytes)
     n = B.bucket_count(t)
 
-    def distinct(b, pat):
-        cut = [chunks(x) for x in b.texts()]
-        own = {c: [p.encode() for p in pat.findall(c.decode())] for c in dict.fromkeys(c for x in cut for c in x)}
-        return cut, own, dict.fromkeys(p for ps in own.values() for p in ps)
-
     def emit(b, got):
-        return W.send_words(distinct(b, _codec(path, pattern)[1])[2], n)
+        pat, cut = _codec(path, pattern)[1], {}
+        for x in b.texts():
+            cut.update(dict.fromkeys(chunks(x)))
+        return W.send_words(dict.fromkeys(p for c in cut for p in pre_tokens(c, pat)), n)
 
     def answer(payloads):
         enc = _codec(path, pattern)[0]
-        one = lambda ws: [np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes() for w in ws]
-        return W.answer_words(payloads, one)
+        return W.answer_words(payloads, lambda ws: [np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes() for w in ws])
 
     schema = pa.schema([(key, pa.int64()), ("ids", pa.binary())])
 
     def finish(batches):
         pat = _codec(path, pattern)[1]
         for b, got in B.each_block(batches):
-            cut, own, words = distinct(b, pat)
-            ids = W.read_words(words, got["got"], n)
-            whole = {c: b"".join(map(ids.__getitem__, ps)) for c, ps in own.items()}
-            yield W.table([b.ids, [b"".join(map(whole.__getitem__, x)) for x in cut]], schema)
-
-    r = B.exchange(t, emit, answer, "wordids")
+            number = W.Interned()
+            cut = [number.numbers(chunks(x)) for x in b.texts()]
+            own = [pre_tokens(c, pat) for c in number]
+            ids = W.read_words(dict.fromkeys(p for ps in own for p in ps), got["got"], n)
+            whole = [b"".join(map(ids.__getitem__, ps)) for ps in own]
+            del own, ids, number
+            for a in range(0, len(cut), 512):
+                yield W.table([b.ids[a:a + 512], [b"".join(map(whole.__getitem__, x.tolist())) for x in cut[a:a + 512]]], schema)
+
+    r = B.exchange(t, emit, answer)
     return B.attach(t, r).mapInArrow(finish, f"{key} bigint, ids binary")
 
 
@@ -88,7 +101,7 @@ def decode(encoded, path, pattern, ids="ids"):
 
     def run(batches):
         back = _codec(path, pattern)[2]
-        names = [str(i) for i in range(len(back))]
+        names = [str(i).encode() for i in range(len(back))]
         for rb in batches:
             n, sha, dec = [], [], []
             for x in rb.column(cols.index(ids)):
@@ -98,7 +111,7 @@ def decode(encoded, path, pattern, ids="ids"):
                     continue
                 a = np.frombuffer(raw, "<u4").tolist()
                 n.append(len(a))
-                sha.append(hashlib.sha256(" ".join(map(names.__getitem__, a)).encode()).hexdigest())
+                sha.append(hashlib.sha256(b" ".join(map(names.__getitem__, a))).hexdigest())
                 dec.append(b"".join(map(back.__getitem__, a)))
             keep = [rb.column(i) for i, c in enumerate(cols) if c != ids]
             yield pa.RecordBatch.from_arrays(keep + [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dec, pa.binary())],

@@ -44,3 +44,15 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_
 def op10(spark, sf_dir):
     from floetrack.llm import exact
     return exact.dedup(_table(spark, sf_dir, "documents")).drop("locator")
+
+
+@query("op2_packing")
+def op2(spark, sf_dir):
+    from floetrack.llm import packing
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    from floetrack.llm import centroid
+    return centroid.identify(_table(spark, sf_dir, "documents")).drop("distant")

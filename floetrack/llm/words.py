@@ -20,6 +20,17 @@ class Hashes(dict):
         return h
 
 
+class Interned(dict):
+    """Numbers distinct pieces in order of appearance."""
+
+    def __missing__(self, w):
+        n = self[w] = len(self)
+        return n
+
+    def numbers(self, pieces):
+        return np.fromiter(map(self.__getitem__, pieces), np.uint32, len(pieces))
+
+
 def lower_words(text):
     """Words of UTF-8 bytes: A-Z in lower case, split at ASCII white space."""
     return text.lower().split()
