@@ -139,7 +139,7 @@ def exchange(asked, emit, answer):
 def attach(blocks, replies, column="got"):
     """Blocks with their replies (an array bounded by the block's size) as ``column``."""
     g = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias(column))
-    return blocks.join(g, "block", "left")
+    return blocks.hint("merge").join(g, "block", "left")
 
 
 def stats(replies, n):
