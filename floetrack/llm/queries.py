@@ -56,3 +56,9 @@ def op2(spark, sf_dir):
 def op9(spark, sf_dir):
     from floetrack.llm import centroid
     return centroid.identify(_table(spark, sf_dir, "documents")).drop("distant")
+
+
+@query("op3_katz_lm")
+def op3(spark, sf_dir):
+    from floetrack.llm import katz
+    return katz.score_held_out(_table(spark, sf_dir, "documents"))
