@@ -62,3 +62,9 @@ def op9(spark, sf_dir):
 def op3(spark, sf_dir):
     from floetrack.llm import katz
     return katz.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    from floetrack.llm import crf
+    return crf.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "spans")
