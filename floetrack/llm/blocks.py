@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from floetrack.llm.common import folder
+from floetrack.llm.common import folder, written
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -211,3 +211,28 @@ def mix(x):
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def send_sorted(u, cols, n, bits=64):
+    """(bucket, payload) for sorted distinct keys and columns of small integers beside them."""
+    at = cuts(u, n, bits)
+    return [(i, join_parts([pack_sorted(u[a:z])] + [pack_ints(c[a:z]) for c in cols])) for i, (a, z) in enumerate(zip(at, at[1:])) if z > a]
+
+
+def tallied(payloads, fn):
+    """Replies for ``send_sorted`` payloads: ``fn(key index of each asked key, number of keys, first asker, columns)`` gives one integer per asked key."""
+    asked = [split_parts(p) for p in payloads]
+    keys = [unpack_sorted(a[0]) for a in asked]
+    u, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    owner = np.zeros(len(inv), bool)
+    owner[first] = True
+    cols = [np.concatenate([unpack_ints(a[j]) for a in asked]).astype(np.int64) for j in range(1, len(asked[0]))]
+    out = fn(inv, len(u), owner, *cols)
+    at = np.cumsum([0] + [len(k) for k in keys])
+    return [pack_ints(out[a:z]) for a, z in zip(at, at[1:])]
+
+
+def read_sorted(got, n):
+    """The replies' integers in the order of the sent keys."""
+    parts = [unpack_ints(got[i]) for i in range(n) if i in got]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)

@@ -68,3 +68,9 @@ def op3(spark, sf_dir):
 def op7(spark, sf_dir):
     from floetrack.llm import crf
     return crf.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    from floetrack.llm import pfp
+    return pfp.cut_repeats(_table(spark, sf_dir, "documents")).drop("spans")
