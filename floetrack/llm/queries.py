@@ -74,3 +74,9 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     from floetrack.llm import pfp
     return pfp.cut_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op8_ngram_jaccard")
+def op8(spark, sf_dir):
+    from floetrack.llm import jaccard
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
