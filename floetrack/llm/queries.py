@@ -80,3 +80,9 @@ def op5(spark, sf_dir):
 def op8(spark, sf_dir):
     from floetrack.llm import jaccard
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_vector_forest")
+def op6(spark, sf_dir):
+    from floetrack.llm import forest
+    return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
