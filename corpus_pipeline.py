@@ -1,11 +1,63 @@
-"""Corpus pipeline: language ID, exact de-duplication, near-duplicates, repeated passages, packing."""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus pipeline: language ID, exact de-duplication, near-duplicates, repeated passages, packing.
+
+A row is known within a stage by its doc_id and text, so NULL and repeated doc_ids are kept apart.
+"""
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from floetrack.llm import centroid, exact, jaccard, packing, pfp
+from floetrack.llm.common import crc_mod, written
+
+ROW = F.xxhash64("doc_id", F.col("text").isNull(), F.coalesce("text", F.lit("")))
+
+
+def language(spark, docs, sf_dir):
+    """Rejects texts without a letter and texts far from every language's centroids; the rest stays as it is."""
+    model = centroid.fit(docs, crc_mod("doc_id", 3) != 1)
+    return centroid.predict(docs, model, carry=True).where("not distant").select("row.*")
+
+
+def exact_copies(spark, docs, sf_dir):
+    """One row of each group of equal texts stays."""
+    kept = written(exact.dedup(docs).where("kept").groupBy("doc_id", "locator").agg(F.count("*").alias("times")), "kept")
+    same = docs.withColumn("__locator", F.xxhash64(F.coalesce("text", F.lit(""))))
+    k = kept.withColumnsRenamed({"doc_id": "__id", "locator": "__at"})
+    out = same.join(k, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__locator") == F.col("__at")), "left_semi")
+    if not kept.where("times > 1").isEmpty():  # whole rows repeated: one of them
+        out = out.dropDuplicates(["doc_id", "__locator"])
+    return out.select(docs.columns)
+
+
+def near_copies(spark, docs, sf_dir):
+    """One document of each group linked by five-word shingles at a similarity of 0.8 stays: the smallest doc_id."""
+    rows = docs.withColumn("__row", ROW)
+    found = written(jaccard.near_duplicates(rows, key="__row", k=5, percent=80), "near").select("__row", "component_id")
+    ids = rows.select("__row", "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")).alias("best")
+    kept = found.distinct().join(ids, "__row").groupBy("component_id").agg(best).select(F.col("best.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Cuts every byte of a 400-byte string that occurs twice; a character cut in half is dropped; n_chars follows the text."""
+    rows = docs.withColumn("__row", ROW).withColumn("__null", F.col("text").isNull())
+    cut = pfp.cut_repeats(rows, key="__row", keep_text=True).select("__row", "n_removed", "kept").dropDuplicates(["__row"])
+    out = rows.drop("text").join(cut, "__row").withColumn("text", F.when(~F.col("__null"), F.col("kept")))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(docs.columns)
+
+
+def packed(spark, docs, sf_dir):
+    """Packs the remaining texts into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeated_passages), ("packing", packed)]
+ORACLE_SQL = None  # a fitted classifier and a tokenizer are not SQL; tests hold every stage against brute force
 
 
 def run(spark, sf_dir):
     """Apply every stage to ``documents``; each stage's rows are written as Parquet and read again."""
-    from floetrack.llm.common import written
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -4,6 +4,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floetrack.llm.blocks import pack_ints, unpack_ints
 from floetrack.llm.common import crc_mod
@@ -80,14 +81,12 @@ def fit(docs, train, lang="lang", key="doc_id", text="text", per_lang=400, k=4):
     return {"names": names, "centroids": np.vstack(cents).astype(np.float32), "idf": idf, "floor": floor}
 
 
-def predict(docs, model, key="doc_id", text="text", step=256):
-    """Rows (key, lang_pred, score, distant) for every whole text.
+def predict(docs, model, key="doc_id", text="text", step=256, carry=False):
+    """Rows (key, lang_pred, score, distant) for every whole text; with ``carry`` also ``row``, a struct of the row's columns.
 
     ``und`` with score 0 if the text is NULL or has no letter, or there is no model. ``distant``: no centroid is near
     enough (half the fit's lowest cosine), or ``und``. Ties go to the language that sorts first.
     """
-    schema = pa.schema([(key, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("distant", pa.bool_())])
-
     def run(batches):
         for rb in batches:
             for a in range(0, rb.num_rows, step):
@@ -101,9 +100,12 @@ def predict(docs, model, key="doc_id", text="text", step=256):
                     for i, j, s in zip(has, best, sim[np.arange(len(has)), best]):
                         lang[i], score[i] = model["names"][j], min(1.0, max(0.0, float(s)))
                 limit = 0.5 * model["floor"] if model else 0.0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array([x == "und" or s < limit for x, s in zip(lang, score)])], schema=schema)
+                cols = [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([x == "und" or s < limit for x, s in zip(lang, score)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols + [part.column(2)] * carry, names=[key, "lang_pred", "score", "distant"] + ["row"] * carry)
 
-    return docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} bigint, lang_pred string, score double, distant boolean")
+    cols = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"), *[F.struct("*").alias("row")] * carry)
+    out = T.StructType().add(key, "long").add("lang_pred", "string").add("score", "double").add("distant", "boolean")
+    return cols.mapInArrow(run, out.add(cols.schema["row"]) if carry else out)
 
 
 def identify(docs, key="doc_id", text="text", lang="lang"):

@@ -142,7 +142,7 @@ def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32,
 
     Removed is each byte of a ``length``-byte string that starts in two or more places of the table, the same document
     included, overlapping or not; strings do not cross documents. ``spans``: (begin, end) byte offsets of the removed runs;
-    ``kept``: the remaining bytes. NULL texts are empty; repeated rows repeat each other's texts; NULL keys are kept; an
+    ``kept``: the remaining text, without characters that lost a byte. NULL texts are empty; repeated rows repeat each other's texts; NULL keys are kept; an
     empty table gives no rows.
     """
     t = B.write_blocks(docs, key, text, block_bytes=block_bytes)
@@ -175,7 +175,7 @@ def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32,
 
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)]
-                       + [("kept", pa.binary())] * keep_text)
+                       + [("kept", pa.string())] * keep_text)
 
     def finish(batches):
         for b, got in B.each_block(batches):
@@ -196,10 +196,10 @@ def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32,
             for i, (d, a, z) in enumerate(zip(b.ids, b.starts[:-1].tolist(), b.starts[1:].tolist())):
                 own = [{"begin": int(x - a), "end": int(y - a)} for x, y in zip(begins[lo[i]:hi[i]], ends[lo[i]:hi[i]])]
                 kept = raw[a:z][~gone[a:z]].tobytes() if own else b.data[a:z]
-                row = [d, z - a, z - a - len(kept), len(own), hashlib.sha256(kept).hexdigest(), own] + [kept] * keep_text
+                row = [d, z - a, z - a - len(kept), len(own), hashlib.sha256(kept).hexdigest(), own] + [kept.decode(errors="ignore")] * keep_text
                 for c, v in zip(out, row):
                     c.append(v)
             yield W.table(out, schema)
 
     sql = f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>"
-    return at.mapInArrow(finish, sql + ", kept binary" * keep_text)
+    return at.mapInArrow(finish, sql + ", kept string" * keep_text)
