@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from floetrack.llm import centroid, exact, jaccard, packing, pfp
 from floetrack.llm.common import crc_mod, written
 
-ROW = F.xxhash64("doc_id", F.col("text").isNull(), F.coalesce("text", F.lit("")))
+
+def row_id():
+    return F.xxhash64("doc_id", F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
 
 def language(spark, docs, sf_dir):
@@ -30,7 +32,7 @@ def exact_copies(spark, docs, sf_dir):
 
 def near_copies(spark, docs, sf_dir):
     """One document of each group linked by five-word shingles at a similarity of 0.8 stays: the smallest doc_id."""
-    rows = docs.withColumn("__row", ROW)
+    rows = docs.withColumn("__row", row_id())
     found = written(jaccard.near_duplicates(rows, key="__row", k=5, percent=80), "near").select("__row", "component_id")
     ids = rows.select("__row", "doc_id").distinct()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")).alias("best")
@@ -40,7 +42,7 @@ def near_copies(spark, docs, sf_dir):
 
 def repeated_passages(spark, docs, sf_dir):
     """Cuts every byte of a 400-byte string that occurs twice; a character cut in half is dropped; n_chars follows the text."""
-    rows = docs.withColumn("__row", ROW).withColumn("__null", F.col("text").isNull())
+    rows = docs.withColumn("__row", row_id()).withColumn("__null", F.col("text").isNull())
     cut = pfp.cut_repeats(rows, key="__row", keep_text=True).select("__row", "n_removed", "kept").dropDuplicates(["__row"])
     out = rows.drop("text").join(cut, "__row").withColumn("text", F.when(~F.col("__null"), F.col("kept")))
     chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))

@@ -101,9 +101,9 @@ def predict(docs, model, key="doc_id", text="text", step=256, carry=False):
                         lang[i], score[i] = model["names"][j], min(1.0, max(0.0, float(s)))
                 limit = 0.5 * model["floor"] if model else 0.0
                 cols = [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([x == "und" or s < limit for x, s in zip(lang, score)], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols + [part.column(2)] * carry, names=[key, "lang_pred", "score", "distant"] + ["row"] * carry)
+                yield pa.RecordBatch.from_arrays(cols + ([part.column(2)] if carry else []), names=[key, "lang_pred", "score", "distant"] + ["row"] * carry)
 
-    cols = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"), *[F.struct("*").alias("row")] * carry)
+    cols = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     out = T.StructType().add(key, "long").add("lang_pred", "string").add("score", "double").add("distant", "boolean")
     return cols.mapInArrow(run, out.add(cols.schema["row"]) if carry else out)
 
