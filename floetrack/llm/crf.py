@@ -124,7 +124,7 @@ def supported(candidates, texts, need=3, enough=2):
     return out
 
 
-def fit(docs, labels, train, key="doc_id", text="text", most=3000, rounds=30):
+def fit(docs, labels, train, key="doc_id", text="text", most=1000, rounds=30):
     """Learn from labelled rows where ``train`` holds; None if either class is missing.
 
     Bounds (of the fit only): the seed words are counted over at most 8 x ``most`` labelled rows, the field sees at most

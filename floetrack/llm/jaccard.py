@@ -3,8 +3,8 @@
 Each class of documents with one and the same shingle set is a node. A set's shingles are ordered rarest first (by the number
 of classes that hold them); two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each, so
 only those that another class holds too are kept as tile keys. Within a tile (key and size band) everything is first held
-against one leader; classes that this leaves apart are then compared across the key's tiles, bitmap against bitmap, and the
-survivors exactly. Both steps emit links, never all pairs of a group.
+against one leader, then what is still apart against other leaders; classes that this leaves apart are compared across the
+key's tiles, bitmap against bitmap, and the survivors exactly. Classes already in one component are never compared.
 """
 import numpy as np
 import pyarrow as pa
@@ -15,20 +15,28 @@ from floetrack.llm import blocks as B
 from floetrack.llm import words as W
 from floetrack.llm.common import components, written
 
-SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
+SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text, k, cache):
-    """Sorted distinct hashes of the k-word shingles of a text (UTF-8 bytes); of all its words if there are fewer."""
-    w = W.hashed(W.lower_words(text), cache)
-    if not len(w):
-        return w
-    size = min(k, len(w))
-    n = len(w) - size + 1
-    h = np.full(n, np.uint64(size))
-    for i in range(size):
-        h = B.mix(h * SALT[0] + w[i:i + n])
-    return np.unique(h)
+def shingles(texts, k):
+    """Per text (UTF-8 bytes) the sorted distinct hashes of its k-word shingles; of all its words if there are fewer."""
+    each = [W.hashed(W.lower_words(x)) for x in texts]
+    words = np.array([len(x) for x in each], np.int64)
+    w = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    end = np.repeat(np.cumsum(words), words)
+    size = np.minimum(k, np.repeat(words, words))
+    h = size.astype(np.uint64)
+    for i in range(k):
+        on = size > i
+        h[on] = B.mix(h[on] * SALT + w[np.minimum(np.flatnonzero(on) + i, len(w) - 1)])
+    whole = np.arange(len(w)) + size <= end
+    n = np.maximum(words - k + 1, np.minimum(words, 1))
+    at = np.concatenate([[0], np.cumsum(n)])
+    h = h[whole]
+    return [np.unique(h[x:y]) for x, y in zip(at, at[1:])]
+
+
+STARS = 4  # turns of leaders before the rest is compared in full
 
 
 def node_of(s):
@@ -36,12 +44,11 @@ def node_of(s):
 
 
 def signature(s):
-    """Bitmap of one to two bits per element: element h sets bit h mod 2**b."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
-    b = np.zeros(bits // 8, np.uint8)
-    at = (s >> np.uint64(40)).astype(np.int64) & (bits - 1)
-    np.bitwise_or.at(b, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    return b
+    """Bitmap of four to eight bits per element: element h sets bit h mod 2**b."""
+    bits = max(64, 4 << (len(s) - 1).bit_length())
+    b = np.zeros(bits, np.uint8)
+    b[(s >> np.uint64(40)).astype(np.int64) & (bits - 1)] = 1
+    return np.packbits(b, bitorder="little")
 
 
 def folded(sig, size):
@@ -70,8 +77,7 @@ def sets(docs, key, text, k, percent, block_bytes):
 
     def members(batches):
         for b, _ in B.each_block(batches):
-            cache = W.Hashes()
-            s = [shingles(x, k, cache) for x in b.texts()]
+            s = shingles(b.texts(), k)
             yield W.table([[b.block] * len(s), list(range(len(s))), b.ids, [len(x) for x in s], [node_of(x) for x in s]], schema)
 
     m = written(t.mapInArrow(members, f"block bigint, pos int, {key} bigint, n bigint, node bigint"), "members")
@@ -81,8 +87,8 @@ def sets(docs, key, text, k, percent, block_bytes):
     at = B.attach(t, own, "got_stand")
 
     def standing(b, got):
-        cache, texts = W.Hashes(), b.texts()
-        return [shingles(texts[int(i)], k, cache) for i in got["got_stand"].get(0, b"").decode().split(",") if i]
+        texts = b.texts()
+        return shingles([texts[int(i)] for i in got["got_stand"].get(0, b"").decode().split(",") if i], k)
 
     def frequencies(b, got):
         s = standing(b, got)
@@ -105,9 +111,10 @@ def sets(docs, key, text, k, percent, block_bytes):
             out = [[] for _ in schema2]
             for x in s:
                 c = count[np.searchsorted(u, x >> np.uint64(24))]
-                first = np.lexsort((x, c))[:len(x) + (-percent * len(x)) // 100 + 1]
-                keys = x[first[c[first] > 1]]
-                if len(keys):
+                first = len(x) + (-percent * len(x)) // 100 + 1
+                if (c == 1).sum() < first:
+                    at = np.argsort(np.minimum(c, 65535).astype(np.uint16), kind="stable")[:first]
+                    keys = x[at[c[at] > 1]]
                     for col, v in zip(out, (node_of(x), len(x), keys.view(np.int64).tolist(), signature(x).tobytes(), B.pack_sorted(x))):
                         col.append(v)
             yield W.table(out, schema2)
@@ -182,19 +189,31 @@ def near_duplicates(docs, key="doc_id", text="text", k=4, percent=85, block_byte
     """
     m, cand = sets(docs, key, text, k, percent, block_bytes)
     rows = written(cand.select("node", "n", F.explode("keys").alias("key")), "tiles")
-    band = F.floor(F.log("n") / np.log(100 / percent))
-    tiles = rows.withColumn("band", band)
-    lead = tiles.groupBy("key", "band").agg(F.min(F.struct("n", "node")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    star = tiles.join(lead, ["key", "band"]).where("node != lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-    first = links(written(star.distinct(), "stars"), cand, percent)
-    comp = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    at = written(rows.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
-    open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = at.join(open_, "key").join(cand.select("node", "signature"), "node")
-    groups = max(1, at.count() // 50_000)
+    every, at = cand.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), written(rows.withColumn("component", F.col("node")), "placed")
+
+    def place(found):
+        """Components of all links so far, and the tile rows of keys that still hold several."""
+        comp = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        now = rows.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        several = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+        return comp, written(now.join(several, "key"), "placed")
+
+    comp = None
+    for turn in range(STARS):
+        band = F.floor(F.log("n") / np.log(100 / percent) + (turn % 2) / 2)  # every other turn the bands overlap the last ones
+        tiles = at.withColumn("band", band)
+        order = F.struct(F.col("n") if not turn else F.xxhash64("node", F.lit(turn)), "node", "n", "component")
+        lead = tiles.groupBy("key", "band").agg(F.min(order).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").drop("lo", "hi")
+        star = tiles.join(lead, ["key", "band"]).where("component != lead.component").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        found = links(written(star.distinct(), "stars"), cand, percent)
+        every = every.unionByName(found)
+        comp, at = place(every)
+        if at.isEmpty():
+            break
+    groups = max(1, at.count() // 5_000)
+    rest = at.join(cand.select("node", "signature"), "node")
     second = links(written(across(rest, percent, groups).distinct(), "across"), cand, percent)
-    every = first.unionByName(second)
-    comp = components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = components(every.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = written(m.join(comp, "node", "left").select(key, "n", F.coalesce("component", "node").alias("component")), "components")
     least = placed.where("n > 0").groupBy("component").agg(F.min(key).alias("least"))
     return placed.join(least, "component", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(key)).alias("component_id"))

@@ -27,8 +27,8 @@ def joined(a, b):
 class Grams:
     """n-gram and history keys at each token of a block, for orders 1 to ``order``."""
 
-    def __init__(self, block, order, cache):
-        each = [W.hashed(W.lower_words(x), cache) for x in block.texts()]
+    def __init__(self, block, order):
+        each = [W.hashed(W.lower_words(x)) for x in block.texts()]
         n = np.array([len(x) + 1 for x in each], np.int64)
         self.ends = np.cumsum(n)
         self.begins = self.ends - n
@@ -89,7 +89,7 @@ def score(docs, train, order=2, key="doc_id", text="text", block_bytes=B.BLOCK_B
     n = B.bucket_count(t)
 
     def emit(b, got):
-        g = Grams(b, order, W.Hashes())
+        g = Grams(b, order)
         parts = [[] for _ in range(n)]
         for keys in g.gram:
             u, c, _ = B.merged(keys, g.train)
@@ -128,7 +128,7 @@ def score(docs, train, order=2, key="doc_id", text="text", block_bytes=B.BLOCK_B
         return out
 
     def emit_histories(b, got):
-        g = Grams(b, order, W.Hashes())
+        g = Grams(b, order)
         seen = known(g, got["got"])
         parts = [[] for _ in range(n)]
         for m in range(1, order):
@@ -176,7 +176,7 @@ def score(docs, train, order=2, key="doc_id", text="text", block_bytes=B.BLOCK_B
 
     def finish(batches):
         for b, got in B.each_block(batches):
-            g = Grams(b, order, W.Hashes())
+            g = Grams(b, order)
             seen = known(g, got["got"])
             later = [B.split_parts(got["got2"][i]) for i in range(n)] if order > 1 else None
             c = seen[0][0][seen[0][1]]

@@ -9,7 +9,7 @@ from floetrack.llm.blocks import expand, join_parts, pack_ints, split_parts, squ
 class Hashes(dict):
     """Cache word -> 64-bit hash; emptied when it holds ``limit`` words (it only saves time)."""
 
-    def __init__(self, limit=1 << 18):
+    def __init__(self, limit=1 << 19):
         super().__init__()
         self.limit = limit
 
@@ -20,6 +20,9 @@ class Hashes(dict):
         return h
 
 
+HASHES = Hashes()  # of this worker
+
+
 class Interned(dict):
     """Numbers distinct pieces in order of appearance."""
 
@@ -36,7 +39,7 @@ def lower_words(text):
     return text.lower().split()
 
 
-def hashed(words, cache):
+def hashed(words, cache=HASHES):
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
