@@ -1,8 +1,8 @@
 """Nearest-value lookup on the axes of a regular or irregular grid.
 
-An axis is the short list of distinct coordinate values (about the cube root of the number of cells). It is
-read once, with its length checked. A regular axis turns the lookup into arithmetic (no join at all); an
-irregular one becomes a small table of value ranges keyed by bins for an equi-join.
+An axis is the list of distinct coordinate values (about the cube root of the number of cells). Whether it is regular is
+decided by one aggregate over all its values, of any number; a regular axis turns the lookup into arithmetic (no join and
+no list at all). The values of an irregular one become a table of value ranges keyed by bins for an equi-join.
 """
 import math
 from dataclasses import dataclass
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from floetrack.functions.geo import _c, clamp, micros
 
-MAX_AXIS = 200_000
+MAX_IRREGULAR = 200_000         # values of an irregular axis that the driver lists
 
 
 def numeric(col, dtype):
@@ -21,14 +21,15 @@ def numeric(col, dtype):
 
 @dataclass(frozen=True)
 class Axis:
-    """Sorted distinct values of one coordinate (timestamps in microseconds)."""
+    """Sorted distinct values of one coordinate (timestamps in microseconds); of a regular axis only the ends and their number."""
     name: str
     values: tuple
     is_time: bool = False
+    count: int = 0              # set for a regular axis
 
     @property
     def n(self):
-        return len(self.values)
+        return self.count or len(self.values)
 
     @property
     def step(self):
@@ -36,10 +37,22 @@ class Axis:
 
     @property
     def regular(self):
+        if self.count:
+            return True
         lo, st = self.values[0], self.step
         tol = 0.0 if self.is_time else 1e-9 * max(1.0, abs(lo))
         return all(abs(lo + i * st - v) <= tol for i, v in enumerate(self.values))
 
+    @property
+    def bin_width(self):
+        """The finest width at which the bins of all ranges stay at four a value: far outliers do not widen it."""
+        gaps = [b - a for a, b in zip(self.values, self.values[1:])]
+        width = max(self.step, 1e-12)
+        for q in sorted(gaps):
+            if q > 0 and (self.values[-1] - self.values[0]) / q <= 4 * self.n:
+                return min(width, q)
+        return width
+
     def dtype(self):
         return "timestamp_ntz" if self.is_time else "double"
 
@@ -61,7 +74,7 @@ class Axis:
     def ranges(self, spark):
         """``(bin, idx, value, lo, hi)``: each value's nearest range, repeated for the bins it touches."""
         v = self.values
-        lo0, width = v[0], max(self.step, 1e-12)
+        lo0, width = v[0], self.bin_width
         rows = []
         for i, x in enumerate(v):
             a = (v[i - 1] + x) / 2 if i else float("-inf")
@@ -75,14 +88,14 @@ class Axis:
     def bin_of(self, col):
         x = numeric(col, self.dtype())
         x = clamp(x, float(self.values[0]), float(self.values[-1]))
-        width = max(self.step, 1e-12)
+        width = self.bin_width
         return (F.floor(x / F.lit(float(width))) - F.lit(math.floor(self.values[0] / width))).cast("long")
 
     def index_of(self, df, col, out, exact=False):
         """Add ``out``: the index of the nearest axis value (or of the value itself with ``exact``)."""
         if self.regular:
             return df.withColumn(out, self.own_index(col) if exact else self.nearest_index(col))
-        r = F.broadcast(self.ranges(df.sparkSession)).select(      # length checked against MAX_AXIS
+        r = F.broadcast(self.ranges(df.sparkSession)).select(      # at most MAX_IRREGULAR values
             F.col("bin").alias("_bin"), F.col("idx").alias(out), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
         x = numeric(col, self.dtype())
         return (df.withColumn("_bin", self.bin_of(col)).withColumn("_x", x)
@@ -99,18 +112,23 @@ class Axis:
 
 
 def grid_axes(grid, columns=("obs_time", "latitude", "longitude")):
-    """Read the axes of a grid in one column-pruned pass; raises when a column is not an axis."""
+    """Read the axes of a grid in one column-pruned pass over all its rows; raises when a column is not an axis."""
     types = dict(grid.dtypes)
     vals = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), numeric(c, types[c]).alias("v")) for c in columns]))
-    rows = (grid.select(vals.alias("a")).select("a.c", "a.v").filter("v is not null").distinct()
-            .limit(MAX_AXIS + 1).collect())
-    if len(rows) > MAX_AXIS:
-        raise ValueError(f"{columns} do not form a grid: more than {MAX_AXIS} distinct coordinate values; "
-                         "use nearest_point for scattered data")
+    seen = grid.select(vals.alias("a")).select("a.c", "a.v").filter("v is not null").distinct()
+    ends = seen.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))       # one row per column
+    step = (F.col("hi") - F.col("lo")) / (F.col("n") - 1)
+    off = F.when(F.col("n") > 1, F.abs(F.col("lo") + F.round((F.col("v") - F.col("lo")) / step) * step - F.col("v"))).otherwise(F.lit(0.0))
+    found = {r["c"]: r for r in seen.join(F.broadcast(ends), "c").groupBy("c", "n", "lo", "hi").agg(F.max(off).alias("off")).collect()}
     out = {}
     for c in columns:
-        vs = sorted(r["v"] for r in rows if r["c"] == c)
-        if not vs:
+        if c not in found:
             raise ValueError(f"grid axis {c} is empty")
-        out[c] = Axis(c, tuple(vs), types[c].startswith("timestamp"))
+        r, is_time = found[c], types[c].startswith("timestamp")
+        if r["off"] <= (0.0 if is_time else 1e-9 * max(1.0, abs(r["lo"]))):
+            out[c] = Axis(c, (r["lo"], r["hi"]), is_time, r["n"])
+            continue
+        if r["n"] > MAX_IRREGULAR:
+            raise ValueError(f"{c} is not a grid axis: {r['n']} values at irregular steps; use nearest_point for scattered data")
+        out[c] = Axis(c, tuple(sorted(x["v"] for x in seen.filter(F.col("c") == c).collect())), is_time)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from floetrack.config import GRID_ALIASES, REGION_LAT, UNIT_FACTORS, VARIABLE_GROUP
 from floetrack.functions import geo
 from floetrack.functions.values import is_synthetic_row, to_number
+from floetrack.operators.ordered import null_join
 from floetrack.operators.stats import attach
 
 
@@ -182,7 +183,7 @@ def prefer_real(df, by="dataset", classification="classification", real_only=Tru
     if real_only:
         return df.filter(rank == 0)
     best = df.groupBy(by).agg(F.min(rank).alias("_best"))       # one row per dataset
-    return df.join(best, by).filter(rank == F.col("_best")).drop("_best")
+    return null_join(df, best, [by]).filter(rank == F.col("_best")).drop("_best")
 
 
 def dataset_status(df, by="dataset", classification="classification"):

@@ -48,7 +48,7 @@ def mark_land(grid, points=None, box=None, mask=None, axes=None):
 def autoscale_fraction(df, value, by):
     """Snapshots whose maximum exceeds 1 hold percents: divide them by 100."""
     peak = df.groupBy(by).agg(F.max(value).alias("_max"))
-    return (df.join(peak, by).withColumn(value, F.when(F.col("_max") > 1, F.col(value) / 100.0).otherwise(F.col(value)))
+    return (od.null_join(df, peak, [by]).withColumn(value, F.when(F.col("_max") > 1, F.col(value) / 100.0).otherwise(F.col(value)))
             .drop("_max"))
 
 
@@ -172,6 +172,24 @@ def fill_gaps(df, value, max_gap=1, time_col="obs_time", axes=None, out=None, ch
             .withColumn(out, F.when(can, lin).otherwise(F.col(value))).drop("_a", "_b", "_t"))
 
 
+def fill_gaps_multi(df, values, max_gap=1, time_col="obs_time", axes=None, chunk=od.AUTO):
+    """``fill_gaps`` for several variables in one pass: one shuffle by cell, ``<value>_filled`` for each."""
+    ax = (axes or grid_axes(df, [time_col]))[time_col]
+    d = ax.index_of(df, time_col, "_t", True)
+    width = od.chunk_width(df, CELL, [time_col], chunk)
+    h = od.with_halo(d, CELL, [time_col], width, max_gap + 1, max_gap + 1)
+    w = od.window(CELL, [time_col], width)
+    seen = {v: F.when(F.col(v).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(v).alias("v"))) for v in values}
+    h = h.withColumns({f"_a_{v}": F.last(seen[v], ignorenulls=True).over(w.rowsBetween(-(max_gap + 1), -1)) for v in values}
+                      | {f"_b_{v}": F.first(seen[v], ignorenulls=True).over(w.rowsBetween(1, max_gap + 1)) for v in values})
+    out = od.drop_halo(h)
+    a, b = (lambda v, p=p: F.col(f"_{p}_{v}") for p in "ab")
+    can = {v: F.coalesce(F.col(v).isNull() & (b(v)["t"] - a(v)["t"] - 1 <= max_gap), F.lit(False)) for v in values}
+    lin = {v: a(v)["v"] + (b(v)["v"] - a(v)["v"]) * (F.col("_t") - a(v)["t"]) / (b(v)["t"] - a(v)["t"]) for v in values}
+    out = out.withColumns({f"{v}_filled": can[v] for v in values})
+    return out.withColumns({v: F.when(F.col(f"{v}_filled"), lin[v]).otherwise(F.col(v)) for v in values}).drop("_t", *[f"_{p}_{v}" for p in "ab" for v in values])
+
+
 def field_at(df, value, at, method="nearest", time_col="obs_time"):
     """Field of ``value`` per cell at time ``at`` with provenance columns (method, bracket, weight).
 
@@ -216,7 +234,7 @@ def date_split(df, time_col="obs_time", fracs=(0.70, 0.10)):
     va = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fracs[1])))
     fits = tr + va < F.col("_n")
     split = (F.when(F.col("_i") < tr, "train").when(fits & (F.col("_i") < tr + va), "val").otherwise("test"))
-    return df.withColumn("_d", d).join(r.select("_d", split.alias("split"), F.col("_i").alias("date_index")), "_d").drop("_d")
+    return od.null_join(df.withColumn("_d", d), r.select("_d", split.alias("split"), F.col("_i").alias("date_index")), ["_d"]).drop("_d")
 
 
 def consecutive_pairs(df, value, keys=("latitude", "longitude"), time_col="obs_time", axes=None):
@@ -255,8 +273,7 @@ def cell_windows(df, channels, steps=7, horizon=1, target="sic", time_col="obs_t
 
 def latest_snapshot(df, time_col="obs_time", value=None):
     """Rows of the newest time, nodata dropped when ``value`` is given."""
-    last = df.agg(F.max(time_col).alias("_last"))
-    out = attach(df, last).filter(F.col(time_col) == F.col("_last")).drop("_last")
+    out = df.filter(F.col(time_col) == df.agg(F.max(time_col)).scalar())     # a plain value, so the scan is pruned by it
     return out.filter(F.col(value).isNotNull()) if value else out
 
 

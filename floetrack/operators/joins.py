@@ -1,4 +1,6 @@
 """Joins of tracks, points, grids, places and routes."""
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,27 @@ def align_channels(ref, others, axes=None):
     return out
 
 
+def pairwise_within(df, point_id, km, lat="latitude", lon="longitude"):
+    """Pairs of points at most ``km`` apart: ``<id>_a`` < ``<id>_b`` and ``distance_km``, each pair once.
+
+    Points fall into cubes on the unit sphere whose edge is the radius' chord; a point meets the points of its own and the 26
+    cubes around it in one equi-join. The result holds every pair asked for, so the radius bounds the work.
+    """
+    edge = max(2 * math.sin(min(math.pi / 2, km / (2 * R_KM))) * (1 + 1e-9), 1e-6)
+    la, lo = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    xyz = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+    p = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(point_id).alias("_id"), F.col(lat).cast("double").alias("_la"), F.col(lon).cast("double").alias("_lo"),
+                                                                       *[F.floor(v / edge).alias(f"_{c}") for v, c in zip(xyz, "xyz")])
+    near = p
+    for c in "xyz":
+        near = near.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + d for d in (-1, 0, 1)])))
+    a = near.withColumnsRenamed({"_id": f"{point_id}_a", "_la": "_la0", "_lo": "_lo0"})
+    b = p.withColumnsRenamed({"_id": f"{point_id}_b"})
+    out = a.join(b, ["_x", "_y", "_z"]).filter(F.col(f"{point_id}_a") < F.col(f"{point_id}_b"))
+    out = out.withColumn("distance_km", geo.haversine("_la0", "_lo0", "_la", "_lo"))
+    return out.filter(F.col("distance_km") <= km).select(f"{point_id}_a", f"{point_id}_b", "distance_km")
+
+
 def iceberg_positions(bergs):
     """Position of each iceberg: predicted when both predicted coordinates exist, else current; records without one are left out."""
     has = {"predicted_lat", "predicted_lon"} <= set(bergs.columns)
@@ -160,9 +183,9 @@ def nearest_navigable(points, point_id, grid, axes=None, window=30.0, max_km=Non
     g = lo.index_of(la.index_of(grid, "latitude", "_i", True), "longitude", "_j", True)
     own = p.join(g.select("_i", "_j", F.col("latitude").alias("_gla"), F.col("longitude").alias("_glo"), "is_land"),
                  ["_i", "_j"], "left")
-    here = own.filter(~F.coalesce("is_land", F.lit(False))).select(
+    here = own.filter(~F.coalesce("is_land", F.lit(True))).select(      # a cell the grid lacks is not known to be sea
         point_id, F.col("_gla").alias("nav_lat"), F.col("_glo").alias("nav_lon"), F.lit(0.0).alias("nav_km"))
-    rest = own.filter(F.coalesce("is_land", F.lit(False)))
+    rest = own.filter(F.coalesce("is_land", F.lit(True))).withColumn("_glo", F.coalesce("_glo", "longitude"))
     sea = grid.filter(~F.col("is_land")).select(F.col("latitude").alias("_cla"), F.col("longitude").alias("_clo"))
     levels = levels or depth_of(sea, "_cla", "_clo")
     span = max(1, int(round(window / lo.step))) * lo.step

@@ -19,9 +19,9 @@ def regression_metrics(df, pred="pred", actual="actual", by=()):
         F.var_pop("_a").alias("_va"), F.var_pop("_e").alias("_ve"), F.var_pop("_p").alias("_vp"),
         F.covar_pop("_p", "_a").alias("_cov"), F.avg("_e").alias("mean_bias"), F.avg("_a").alias("mean_actual"),
         F.avg("_p").alias("mean_pred"))
-    eps = 1e-15                       # a constant column leaves rounding noise in its variance
-    va = F.when(F.col("_va") > eps, F.col("_va"))
-    vp = F.when(F.col("_vp") > eps, F.col("_vp"))
+    # a constant column leaves rounding noise in its variance, in proportion to its own scale
+    va = F.when(F.col("_va") > 1e-24 * F.col("mean_actual") * F.col("mean_actual"), F.col("_va"))
+    vp = F.when(F.col("_vp") > 1e-24 * F.col("mean_pred") * F.col("mean_pred"), F.col("_vp"))
     return m.select(*by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"), (1.0 - F.col("mse") / va).alias("r2"),
                     ((va - F.col("_ve")) / va).alias("explained_variance"), "mean_bias",
                     F.when(F.col("n") > 1, F.col("_cov") / F.sqrt(va * vp)).alias("correlation"), "mean_actual", "mean_pred")

@@ -1,6 +1,6 @@
 """Distributed forests on track and cell features."""
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -13,8 +13,15 @@ TRACK_FEATURES = ["prev_latitude", "prev_longitude", "latitude", "longitude", "t
 
 def fit_track_forest(train, features=TRACK_FEATURES, targets=("target_lat_delta", "target_lon_delta"), trees=40, depth=8, seed=42,
                      min_leaf=2):
-    """Standardised features, one forest per target, fitted in one Pipeline."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
+    """Standardised features, one forest per target, fitted in one Pipeline.
+
+    Missing features take the training median, in fit and prediction, so every row is predicted; rows without a target
+    cannot be learned from and are left out of the fit only.
+    """
+    filled = [f"_f_{c}" for c in features]
+    train = train.dropna(subset=list(targets)).withColumns({c: F.col(c).cast("double") for c in features})
+    stages = [Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
+              VectorAssembler(inputCols=filled, outputCol="_raw", handleInvalid="error"),
               StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)]
     for t in targets:
         stages.append(RandomForestRegressor(featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", numTrees=trees, maxDepth=depth,
@@ -28,7 +35,8 @@ def fit_track_forest(train, features=TRACK_FEATURES, targets=("target_lat_delta"
 
 def predict_track_forest(model, df):
     """Add the predicted move to the current position."""
-    out = model.transform(df).drop("_raw", "_x")
+    names = model.stages[0].getInputCols()
+    out = model.transform(df.withColumns({c: F.col(c).cast("double") for c in names})).drop("_raw", "_x", *model.stages[0].getOutputCols())
     return (out.withColumn("pred_lat", F.col("latitude") + F.col("pred_target_lat_delta"))
             .withColumn("pred_lon", F.col("longitude") + F.col("pred_target_lon_delta"))
             .withColumn("act_lat", F.col("target_latitude")).withColumn("act_lon", F.col("target_longitude")))

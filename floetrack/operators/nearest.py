@@ -90,7 +90,7 @@ def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(),
         levels, n = pyramid_depth(pos, metric)
     else:
         n = pos.count()
-    if n <= RANKED_SITES:
+    if n <= RANKED_SITES and digits <= 6:      # both ways order ties by the tie columns, then by position
         order = ", ".join([f"_p._p_{c}" for c in ties] + ["_lat", "_lon"])
         pos = pos.withColumn("_rank", F.expr(f"row_number() over (order by {order}) - 1L"))     # counted, few
     else:
@@ -164,7 +164,7 @@ def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(),
                 .selectExpr("_qid", "_d", f"_o % {RANK_SPAN}L as _rank").join(pos.select("_rank", "_lat", "_lon", "_p"), "_rank"))
         return best.select(F.col("_qid").alias(qid), F.col("_lat").alias("site_lat"), F.col("_lon").alias("site_lon"),
                            F.col("_d").alias(dist), *[F.col(f"_p._p_{c}").alias(c) for c in keep])
-    order = ", ".join([f"round(_d, {digits})"] + [f"_p._p_{c}" for c in ties])
+    order = ", ".join([f"round(_d, {digits})"] + [f"_p._p_{c}" for c in ties] + ["_lat", "_lon"])
     best = hit.groupBy("_qid").agg(F.expr(f"min_by(struct(_d, _lat, _lon, _p), struct({order})) as _m"))
     # more sites than a rank may number: compare the tie columns themselves
     return best.select(F.col("_qid").alias(qid), F.col("_m._lat").alias("site_lat"), F.col("_m._lon").alias("site_lon"),

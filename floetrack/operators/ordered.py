@@ -1,14 +1,18 @@
 """Order-dependent work on keyed rows that stays balanced when one key holds a large share of the data.
 
-The largest key is measured first (one aggregate job). When it fits a task, plain windows per key are used: one
-shuffle. Otherwise a key's history is cut into chunks along the ordering column, every window runs per
+Results are the same for every chunk setting, NULL keys and NULL order values included; the setting only decides how a key's
+rows are spread. Keys that fit a task use plain windows: one shuffle. A key that does not is cut into chunks at quantiles of
+its own ordering column (rows that share one value are cut by the next ordering column), every window runs per
 ``(key, chunk)``, and two aids keep the results identical to a window over the whole key:
 
 * ``with_halo`` copies the last / first few rows of the neighbouring chunks into each chunk, so bounded
   frames (lag, lead, rows between) see their neighbours;
 * ``with_prefix`` adds what earlier chunks summed up to, so running sums and row numbers continue, plus
   per-key totals. The helper table has one row per key and chunk.
+
+Rows without an ordering value come first, as in a window, in a chunk of their own.
 """
+import math
 from functools import reduce
 
 from pyspark.sql import Window
@@ -32,29 +36,83 @@ class Width(float):
     """A chunk width already on the ordering column's scale."""
 
 
+class Cuts:
+    """Quantile cuts of the keys that are too large for a task: frame (keys, _cuts) and frame (keys, _c1, _ties)."""
+
+    def __init__(self, keys, cuts, ties):
+        self.keys, self.cuts, self.ties = keys, cuts, ties
+
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp", "date")
+NO_VALUE = -(1 << 62)           # chunk of the rows without an ordering value
+MAX_CUTS = 4096
+
+
+def null_join(left, right, cols, how="inner"):
+    """Join on columns of equal names where NULL equals NULL; the left side's columns stay."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols])
+    return left.join(r, on, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def chunk_width(df, keys, order, chunk=AUTO):
-    """Chunk width on the ordering column's scale, or None when every key fits a task.
+    """How to cut keys: None (plain windows), a width on the ordering column's scale, or quantile cuts of the large keys.
 
-    ``chunk``: ``auto`` measures the largest key; None forces plain windows; a number forces a width
-    (days for times, units otherwise).
+    ``chunk``: ``auto`` measures the keys with one aggregate (a caller that knows better passes the value of an earlier call);
+    None asks for plain windows, as a streaming frame needs; a number forces a width (days for times, units otherwise).
     """
-    if chunk is None or isinstance(chunk, Width):
+    if chunk is None or isinstance(chunk, (Width, Cuts)):
         return chunk
-    is_time = dict(df.dtypes)[order[0]].startswith("timestamp")
+    types = dict(df.dtypes)
     if chunk != AUTO:
-        return Width(chunk * DAY_US if is_time else chunk)
-    pos = _position(df, order[0]).cast("double")
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("lo"), F.max(pos).alias("hi"))
-    big = per.agg(F.max_by(F.struct("n", "lo", "hi"), "n").alias("b")).first()["b"]
-    if big is None or big["n"] <= TASK_ROWS or big["hi"] is None:
+        return Width(chunk * DAY_US if types[order[0]].startswith("timestamp") else chunk)
+    keys = list(keys)
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if n is None or n <= TASK_ROWS:
         return None
-    return Width(max((big["hi"] - big["lo"]) * TASK_ROWS / big["n"], 1.0))
+    return _cuts(df, keys, order, n, types)
+
+
+def _fractions(n):
+    m = min(MAX_CUTS, math.ceil(2 * n / TASK_ROWS))
+    return F.array(*[F.lit(i / m) for i in range(1, m)]), F.lit(max(10_000, 4 * m))
+
+
+def _cuts(df, keys, order, n, types):
+    parts, accuracy = _fractions(n)
+    pos = _position(df, order[0]).cast("double")
+    big = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(pos, parts, accuracy).alias("_cuts"))
+           .filter(F.col("_n") > TASK_ROWS).select(*keys, F.array_distinct("_cuts").alias("_cuts")))
+    ties = None
+    if len(order) > 1 and types[order[1]].split("(")[0].split("_")[0] in NUMBERS:
+        at = null_join(df, big, keys).withColumn("_c1", _part(pos)).filter(F.col("_c1") % 2 == 1)
+        ties = (at.groupBy(*keys, "_c1").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(_position(df, order[1]).cast("double"), parts, accuracy).alias("_ties"))
+                .filter(F.col("_n") > TASK_ROWS).select(*keys, "_c1", F.array_distinct("_ties").alias("_ties")))
+    return Cuts(keys, big, ties)
+
+
+def _part(pos):
+    """Twice the number of cuts below a value, plus one if it is a cut: odd parts hold a single value."""
+    below = F.size(F.filter("_cuts", lambda c: c < pos))
+    return (2 * below + F.array_contains("_cuts", pos).cast("int")).cast("long")
 
 
 def with_chunk(df, order, width):
     """Add ``_chunk``; a constant when ``width`` is None."""
-    c = F.lit(0).cast("long") if width is None else F.floor(_position(df, order[0]) / F.lit(float(width))).cast("long")
-    return df.withColumn(CHUNK, c)
+    if width is None:
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
+    pos = _position(df, order[0]).cast("double")
+    if isinstance(width, Width):
+        c = F.floor(pos / F.lit(float(width))).cast("long")
+        return df.withColumn(CHUNK, F.coalesce(c, F.lit(NO_VALUE)))
+    out = null_join(df, width.cuts, width.keys, "left").withColumn("_c1", F.coalesce(_part(pos), F.lit(0).cast("long")))
+    tie = F.lit(0)
+    if width.ties is not None:
+        out = null_join(out, width.ties, [*width.keys, "_c1"], "left")
+        own = _position(df, order[1]).cast("double")
+        tie = F.when(F.col("_ties").isNotNull() & own.isNotNull(), 1 + F.size(F.filter("_ties", lambda c: c < own))).otherwise(F.lit(0))
+    c = F.col("_c1") * (2 * MAX_CUTS) + tie
+    return out.withColumn(CHUNK, F.when(pos.isNull() & F.col("_cuts").isNotNull(), F.lit(NO_VALUE)).otherwise(c)).drop("_cuts", "_c1", "_ties")
 
 
 def window(keys, order, width):
@@ -84,9 +142,9 @@ def with_halo(df, keys, order, width, before=0, after=0):
                           ((F.col("_t.start") - F.col("_cum")) if back
                            else (F.col("_cum") - F.col("_n") - F.col("_t.end"))).alias("_skip"))
                   .filter(F.col("_skip") < k))
-        w = Window.partitionBy(*keys, CHUNK).orderBy(*([F.desc(o) for o in order] if back else order))
+        w = Window.partitionBy(*keys, CHUNK).orderBy(*([F.desc(o) for o in order] if back else order))  # NULLs first, or last backwards
         edge = base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-        out.append(edge.join(target, keys + [CHUNK])
+        out.append(null_join(edge, target, keys + [CHUNK])
                    .filter(F.col("_r") + F.col("_skip") <= k)
                    .withColumn(CHUNK, F.col("_to")).drop("_r", "_to", "_skip")
                    .withColumn(HALO, F.lit(True)))
@@ -126,7 +184,7 @@ def with_prefix(df, keys, width, sums=(), mins=(), maxs=(), count=None):
     cols += [F.sum(f"_s_{c}").over(wk).alias(f"{c}_total") for c in zero]
     cols += [F.min(f"_mn_{c}").over(wk).alias(f"{c}_min") for c in mins]
     cols += [F.max(f"_mx_{c}").over(wk).alias(f"{c}_max") for c in maxs]
-    return df.join(part.select(*keys, CHUNK, *cols), keys + [CHUNK])
+    return null_join(df, part.select(*keys, CHUNK, *cols), keys + [CHUNK])
 
 
 def running_sum(col, keys, order, width):

@@ -2,6 +2,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from floetrack.operators.ordered import null_join
+
 
 def exact_median(df, value, by=(), name="median", levels=2, bins=2048):
     """Exact median of ``value`` per group (NULLs skipped), one row per group.
@@ -24,7 +26,7 @@ def exact_median(df, value, by=(), name="median", levels=2, bins=2048):
         (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(F.lit(0)).cast("int")
     w = Window.partitionBy(*keys, "_r").orderBy("_bin")
     for _ in range(levels):
-        hist = (cnt.join(target if by else F.broadcast(target), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        hist = (null_join(cnt, target if by else F.broadcast(target), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .withColumn("_bin", bin_of)
                 .groupBy(*keys, "_r", "_base", "_bin")
                 .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
@@ -32,7 +34,7 @@ def exact_median(df, value, by=(), name="median", levels=2, bins=2048):
                   .filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
                   .select(*keys, "_lo", "_hi", (F.col("_cum") - F.col("_c")).alias("_base"), "_r"))
     wv = Window.partitionBy(*keys, "_r").orderBy("_v")
-    final = (cnt.join(target if by else F.broadcast(target), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    final = (null_join(cnt, target if by else F.broadcast(target), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
              .withColumn("_cum", F.sum("_c").over(wv) + F.col("_base"))
              .filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r"))))
     # avg of the one or two middle values; two equal ranks collapse to the same value

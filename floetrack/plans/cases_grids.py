@@ -14,11 +14,12 @@ K = ["obs_time", "latitude", "longitude"]
 
 
 @case("s21_make_grid", """
-select cast(i as int) as i, cast(j as int) as j, -74.5D+i*0.5D as latitude, -180D+j*2.5D*0.2D as longitude
-from (select distinct l_suppkey % 40 as i from lineitem), range(0,721) r(j)""")
+select cast(i as int) as i, cast(j as int) as j, -74.5D+i*0.5D as latitude, -180D+j*2.5D*0.2D as longitude, n
+from (select l_suppkey % 40 as i, l_orderkey % 721 as j, count(*) as n from lineitem group by 1, 2) t""")
 def s21(v):
-    used = v.table("lineitem").select((F.col("l_suppkey") % 40).cast("int").alias("i")).distinct()
-    return g.make_grid(v.spark, -74.5, -55.0, -180.0, 180.0, 0.5).join(used, "i", "left_semi").select("i", "j", "latitude", "longitude")
+    """Line items counted on the nodes of a made grid."""
+    n = v.table("lineitem").groupBy((F.col("l_suppkey") % 40).cast("int").alias("i"), (F.col("l_orderkey") % 721).cast("int").alias("j")).agg(F.count("*").alias("n"))
+    return g.make_grid(v.spark, -74.5, -55.0, -180.0, 180.0, 0.5).join(n, ["i", "j"]).select("i", "j", "latitude", "longitude", "n")
 
 
 @case("p14_autoscale", """
@@ -163,6 +164,22 @@ def w08(v):
     return g.fill_gaps(v.grid, "sic", 2).select(*K, rnd("sic", 9).alias("sic"), "sic_filled")
 
 
+def fill_sql(x):
+    return f"""select b.obs_time, b.latitude, b.longitude, round(coalesce(b.{x}, case when t1-t0-1<=2 then p.{x}+(n.{x}-p.{x})*(b.t-t0)/(t1-t0) end),9)+0.0D as {x},
+ (b.{x} is null and coalesce(t1-t0-1<=2,false)) as {x}_filled
+from (select o.*, (select max(t) from o ob where ob.{x} is not null and ob.latitude=o.latitude and ob.longitude=o.longitude and ob.t<o.t) as t0,
+ (select min(t) from o ob where ob.{x} is not null and ob.latitude=o.latitude and ob.longitude=o.longitude and ob.t>o.t) as t1 from o) b
+left join o p on p.latitude=b.latitude and p.longitude=b.longitude and p.t=t0 left join o n on n.latitude=b.latitude and n.longitude=b.longitude and n.t=t1"""
+
+
+@case("w08_fill_gaps_multi", f"""
+with o as (select obs_time, latitude, longitude, sic, case when day(obs_time) % 5 <> 2 then u10 end as gust, epoch_us(obs_time)/86400e6D as t from v_grid)
+select * from ({fill_sql("sic")}) s join ({fill_sql("gust")}) g using (obs_time, latitude, longitude)""")
+def w08m(v):
+    d = v.grid.withColumn("gust", F.when(F.dayofmonth("obs_time") % 5 != 2, F.col("u10")))
+    return g.fill_gaps_multi(d, ["sic", "gust"], 2).select(*K, rnd("sic", 9).alias("sic"), "sic_filled", rnd("gust", 9).alias("gust"), "gust_filled")
+
+
 @case("w09_field_linear", """
 select a.latitude, a.longitude, round(a.uo*(1-0.25D)+b.uo*0.25D,9)+0.0D as uo, 'linear_in_time' as method, 0.25D as interpolation_weight,
   timestamp '2024-01-10' as bracket_start, timestamp '2024-01-11' as bracket_end

@@ -12,7 +12,7 @@ from floetrack.operators.axes import grid_axes
 from floetrack.operators.stats import attach
 from floetrack.plans.cases_grids import nav
 from floetrack.plans.cases_tracks import brg, hav
-from floetrack.plans.flagship import track_environment
+from floetrack.plans.flagship import feature_table, track_environment, track_environments
 from floetrack.plans.registry import case, shared_cte
 
 shared_cte("ax_t", "select distinct obs_time as axt, epoch_us(obs_time) as av from v_grid")
@@ -59,6 +59,36 @@ def flagship(v):
         "sic", "t2m", "sea_ice_gap_hours", "sea_ice_stale", "current_magnitude", "wind_direction")
 
 
+@case("j01_three_grids", """
+with oc as (select obs_time + interval 6 hour as t, latitude as la, longitude as lo, uo, vo from v_grid where day(obs_time) % 3 = 1),
+ta as (select distinct t from oc), laa as (select distinct la from oc), loa as (select distinct lo from oc),
+n as (select event_id, obs_time, (select arg_min(t,(abs(epoch_us(t)-epoch_us(v.obs_time)),t)) from ta) as nt, (select arg_min(la,(round(abs(la-v.latitude),9),la)) from laa) as nla,
+  (select arg_min(lo,(round(abs(lo-v.longitude),9),lo)) from loa) as nlo from v_tracks v),
+o as (select n.event_id, abs(epoch_us(nt)-epoch_us(n.obs_time))/3.6e9D as ogap, oc.uo, oc.vo from n left join oc on oc.t=n.nt and oc.la=n.nla and oc.lo=n.nlo)
+select k.iceberg_id, k.obs_time, k.event_id, round(dt,4)+0.0D as time_diff_hours, round(nm,4)+0.0D as displacement_nm,
+  case when e.gap<=24D then e.sic end as sic, round(e.gap,2)+0.0D as sea_ice_gap_hours, cast(e.gap>24D as int) as sea_ice_stale,
+  case when ogap<=24D then o.uo end as uo, case when ogap<=24D then o.vo end as vo, round(ogap,2)+0.0D as ocean_gap_hours, cast(ogap>24D as int) as ocean_stale,
+  round(sqrt(pow(coalesce(case when ogap<=24D then o.uo end,0),2)+pow(coalesce(case when ogap<=24D then o.vo end,0),2)),6)+0.0D as current_magnitude,
+  cast(null as double) as t2m, cast(null as double) as weather_gap_hours, 1 as weather_stale
+from o_kin k join o_env e on e.event_id=k.event_id join o on o.event_id=k.event_id""")
+def three_grids(v):
+    ocean = v.grid.filter("day(obs_time) % 3 = 1").withColumn("obs_time", F.col("obs_time") + F.expr("interval 6 hours"))
+    return track_environments(v.tracks, {"sea_ice": v.grid, "ocean": ocean}).select(
+        "iceberg_id", "obs_time", "event_id", "time_diff_hours", "displacement_nm", "sic", "sea_ice_gap_hours", "sea_ice_stale", "uo", "vo",
+        "ocean_gap_hours", "ocean_stale", "current_magnitude", "t2m", "weather_gap_hours", "weather_stale")
+
+
+@case("j01_feature_table", """
+with s as (select event_id, row_number() over w as rn0, count(*) over (partition by iceberg_id) as cn, lag(latitude) over w as pla from v_tracks
+  window w as (partition by iceberg_id order by obs_time nulls first, event_id)),
+f as (select k.event_id, k.iceberg_id, round(dt,4)+0.0D as time_diff_hours, case when e.gap<=24D then e.sic end as sic,
+  case when rn0-1 < greatest(1, floor(cn*0.70D)) then 'train' when rn0-1 < greatest(1, floor(cn*0.70D)) + floor(cn*0.15D) then 'val' else 'test' end as split, rn0-1 as row_index, pla as prev_latitude
+  from o_kin k join o_env e on e.event_id=k.event_id join s on s.event_id=k.event_id)
+select f.*, lag(sic) over (partition by iceberg_id order by row_index) as sic_lag from f""")
+def features(v):
+    return feature_table(v.tracks, {"sea_ice": v.grid}).select("event_id", "iceberg_id", "time_diff_hours", "sic", "split", "row_index", "prev_latitude", "sic_lag")
+
+
 shared_cte("o_latest", """
 select iceberg_id, arg_max(latitude,(obs_time,-event_id)) as latitude, arg_max(longitude,(obs_time,-event_id)) as longitude,
  arg_max(length_nm,(obs_time,-event_id)) as length_nm, max(obs_time) as obs_time, arg_max(event_id,(obs_time,-event_id)) as event_id from v_tracks group by 1""")
@@ -79,6 +109,13 @@ def predicted(v):
             .withColumn("predicted_lon", F.when(t, F.col("longitude") - 2.0)))
 
 
+@case("j08_pairs_within", f"""
+select a.iceberg_id as iceberg_id_a, b.iceberg_id as iceberg_id_b, round({hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')},6)+0.0D as distance_km
+from o_latest a join o_latest b on a.iceberg_id < b.iceberg_id where {hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 150D""")
+def j08w(v):
+    return j.pairwise_within(latest(v), "iceberg_id", 150.0).withColumn("distance_km", rnd("distance_km", 6))
+
+
 @case("j06_min_distance", f"""
 select cell_id, round(min(d),5)+0.0D as iceberg_distance_km, arg_min(iceberg_id,(round(d,6),iceberg_id)) as iceberg_id from (
  select n.cell_id, b.iceberg_id, {hav('n.latitude', 'n.longitude', 'b.latitude', 'b.longitude')} as d from o_nav n, o_berg b) group by 1""")

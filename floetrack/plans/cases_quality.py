@@ -343,28 +343,6 @@ def a41(v):
     return q.check_tabular(d, "iceberg", ["latitude", "longitude"], (-75.0, -55.0)).select("code", "n")
 
 
-@case("a42_unit_report", """
-select * from (values ('sea_ice','sea_ice_concentration','fraction',0D,1D),('ocean_surface','uo','m s-1',-5D,5D),('ocean_surface','vo','m s-1',-5D,5D),
-('ocean_surface','thetao','K',-3D,308D),('ocean_surface','so','psu',0D,42D),('weather_surface','u10','m s-1',-80D,80D),('weather_surface','v10','m s-1',-80D,80D),
-('weather_surface','t2m','K',150D,330D),('weather_surface','msl','Pa',90000D,105000D)) t(dataset,variable,units,valid_low,valid_high)
-where variable in (select 'uo' from v_grid union all select 'vo' from v_grid union all select 'u10' from v_grid)""")
-def a42(v):
-    r = q.unit_report(v.spark).drop("cadence_hours")
-    used = v.grid.select(F.explode(F.array(F.lit("uo"), F.lit("vo"), F.lit("u10"))).alias("variable")).distinct()
-    return r.join(used, "variable", "left_semi")
-
-
-@case("p13_check_units", """
-select variable, code from (values ('uo','ok'),('u10','UNITS_MISMATCH'),('t2m','UNITS_MISSING')) t(variable,code) where exists (select 1 from v_grid)""")
-def p13(v):
-    spec = q.unit_report(v.spark).select("variable", "units")
-    actual = v.grid.select(F.explode(F.array(F.struct(F.lit("uo").alias("variable"), F.lit("m s-1").alias("actual")),
-                                             F.struct(F.lit("u10").alias("variable"), F.lit("knots").alias("actual")),
-                                             F.struct(F.lit("t2m").alias("variable"), F.lit(None).cast("string").alias("actual")))).alias("a")
-                           ).select("a.*").distinct()
-    return cl.check_units(spec.join(actual.select("variable"), "variable", "left_semi"), actual).select("variable", "code")
-
-
 @case("u01_union_all", """
 select obs_time, flag, hours, null as iceberg_id from v_presence union all select obs_time, null, null, iceberg_id from v_tracks""")
 def u01(v):

@@ -36,9 +36,7 @@ select iceberg_id, arg_max(event_id,(obs_time,-event_id)) as event_id, max(obs_t
 def r01(v):
     out = scratch(v.spark)
     jobs.stream_latest(_tracks(_events(v)), f"{out}/t", f"{out}/cp").awaitTermination()
-    d = v.spark.read.parquet(f"{out}/t")
-    newest = d.agg(F.max("v").alias("m")).first()["m"]
-    return d.filter(F.col("v") == newest).select("iceberg_id", "event_id", "obs_time")
+    return jobs.read_latest(v.spark, f"{out}/t").select("iceberg_id", "event_id", "obs_time")
 
 
 @case("r02_stream_kinematics", """

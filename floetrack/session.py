@@ -40,11 +40,11 @@ def shared_folder(spark):
 def materialize(df):
     """Cut lineage: write the frame once to the shared folder and read it back (its size is then known to the planner).
 
-    Without a shared folder the frame is returned unchanged: recomputing is safe, a machine-local folder is not.
+    A cluster must name the folder: without it the frame would be recomputed at every use.
     """
     folder = shared_folder(df.sparkSession)
     if folder is None:
-        return df
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

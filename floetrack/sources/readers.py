@@ -1,5 +1,6 @@
 """Sources: tracks, grids, fleet presence, bathymetry, dimensions, inventories."""
 import os
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +19,24 @@ WEATHER_SCHEMA = ("timestamp timestamp_ntz, latitude double, longitude double, w
 
 
 def _text(spark, path, sep=","):
-    """CSV with every column read as text under its own header name."""
-    head = spark.read.option("header", True).option("sep", sep).csv(path).schema
-    return spark.read.option("header", True).option("sep", sep).schema(
-        T.StructType([T.StructField(f.name, T.StringType()) for f in head])).csv(path)
+    """CSV with every column read as text under its own header name.
+
+    Files of a folder are grouped by their own header line and each group is read under it; groups are united by name, so
+    files may order their columns differently or lack some.
+    """
+    first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                           F.monotonically_increasing_id().alias("row"))
+    heads = (first.filter("at = 0 and trim(value) <> ''").groupBy("file")
+             .agg(F.min_by("value", "row").alias("head"))
+             .groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect())     # one row per distinct header
+    if not heads:
+        return spark.read.option("header", True).option("sep", sep).csv(path)
+    parts = []
+    for h in heads:
+        names = spark.read.option("header", True).option("sep", sep).csv(h["files"][0]).columns
+        parts.append(spark.read.option("header", True).option("sep", sep).schema(
+            T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(h["files"]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def normalize_tracks(raw):
@@ -87,7 +102,8 @@ def read_tracks(spark, path, fmt=None):
     if fmt is None:
         raise ValueError(f"unknown track format: {path}")
     if fmt == "json":
-        is_geo = "features" in spark.read.option("multiLine", True).option("samplingRatio", 0.1).json(path).columns
+        docs = spark.read.schema("features string").option("multiLine", True).json(path)
+        is_geo = not docs.filter("features is not null").isEmpty()
         fmt = "geojson" if is_geo else "json"
     return {"csv": read_tracks_csv, "geojson": read_tracks_geojson, "json": read_tracks_json,
             "parquet": read_tracks_parquet}[fmt](spark, path)
@@ -135,7 +151,6 @@ def fleet_presence(raw, lat_min=REGION_LAT[0], lat_max=REGION_LAT[1]):
 
 def read_fleet_presence(spark, paths):
     """Union of monthly files; files without the cell columns are skipped; sorted by time and cell."""
-    from functools import reduce
     parts = [p for p in (fleet_presence(_text(spark, x)) for x in paths) if p is not None]
     if not parts:
         raise ValueError("no fleet presence file has the cell columns")
@@ -158,7 +173,7 @@ def file_inventory(spark, root):
 
 def schema_profile(spark, path, nrows=50):
     """Column names, inferred types and a few sample values of a delimited file."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", 0.1).csv(path)
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)        # types from all rows
     head = df.limit(nrows)
     cols = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("dtype"),
                      F.slice(F.col(f"_s{i}"), 1, 5).alias("sample")) for i, (c, t) in enumerate(df.dtypes)]

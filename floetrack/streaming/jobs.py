@@ -1,7 +1,10 @@
 """Structured Streaming jobs on arriving observations."""
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
-from floetrack.functions import geo
+from floetrack.config import R_NM
 from floetrack.operators import tracks as tr
 
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass":
@@ -13,72 +16,117 @@ def latest_batch_merge(target, batch, key="iceberg_id", time_col="obs_time", tie
     return tr.latest_state(target.unionByName(batch), False, [key], time_col, tie)
 
 
+def _folder(path, version):
+    return f"{path.rstrip('/')}/v{version[0]:012d}-{version[1]}-{version[2]}"
+
+
+def _files(spark, path):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark, path):
+    """Complete versions of a table folder, oldest first: (number, run, batch)."""
+    fs, at = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = []
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        m = re.fullmatch(r"v(\d{12})-(\w+)-(\d+)", f.getPath().getName())
+        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            out.append((int(m[1]), m[2], int(m[3])))
+    return sorted(out)
+
+
+def read_latest(spark, path):
+    """The newest complete version of a table kept by ``stream_latest``."""
+    return spark.read.parquet(_folder(path, versions(spark, path)[-1]))
+
+
 def stream_latest(stream, path, checkpoint, key="iceberg_id", time_col="obs_time", tie="event_id", trigger=None):
-    """Keep the latest position per key in a table folder with one sub-folder per version.
+    """Keep the latest position per key in a table folder with one sub-folder per version; ``read_latest`` reads the newest.
 
-    Every micro-batch is reduced to one row per key, merged with the current version and written as the next version;
-    the batch id names the version, so a replayed batch rewrites the same folder.
+    Every micro-batch is reduced to one row per key, merged with the newest complete version, whoever wrote it, and written
+    as the next one. A version's name holds the batch it came from, so a replayed batch rewrites its own folder from the
+    same predecessor. The version before the newest stays for readers; older ones are removed.
     """
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
     def apply(batch, batch_id):
         spark = batch.sparkSession
         newest = tr.latest_state(batch, False, [key], time_col, tie)
-        if batch_id > 0:
-            cur = spark.read.parquet(f"{path}/v={batch_id - 1}")
+        have = versions(spark, path)
+        own = [v for v in have if v[1:] == (run, batch_id)]
+        number = own[0][0] if own else max([v[0] for v in have], default=-1) + 1
+        past = [v for v in have if v[0] < number]
+        if past:
+            cur = spark.read.parquet(_folder(path, past[-1]))
             newest = latest_batch_merge(cur, newest.select(*cur.columns), key, time_col, tie)
-        newest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        newest.write.mode("overwrite").parquet(_folder(path, (number, run, batch_id)))
+        for v in past[:-1]:
+            _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(path, v)), True)
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
 KIN_SCHEMA = ("iceberg_id string, obs_time timestamp_ntz, event_id long, latitude double, longitude double, "
-              "time_diff_hours double, displacement_nm double, speed_knots double, bearing_deg double")
+              "time_diff_hours double, displacement_nm double, speed_knots double, bearing_deg double, late boolean")
 
 
 def _motion(la0, lo0, t0, la1, lo1, t1, min_hours):
-    import math
-    a0, a1, dl = math.radians(la0), math.radians(la1), math.radians(lo1 - lo0)
-    s = math.sin((a1 - a0) / 2) ** 2 + math.cos(a0) * math.cos(a1) * math.sin(dl / 2) ** 2
-    nm = 2 * 3440.065 * math.asin(math.sqrt(min(1.0, s)))
-    brg = math.degrees(math.atan2(math.sin(dl) * math.cos(a1), math.cos(a0) * math.sin(a1) - math.sin(a0) * math.cos(a1) * math.cos(dl))) % 360.0
-    h = max((t1 - t0) / 3.6e9, min_hours)
-    return round(h, 4), round(nm, 4), round(nm / h, 4), round(brg, 2)
-
-
-def kinematics_processor(min_hours=0.05):
-    """Stateful processor: the previous fix of each track is the only state kept."""
+    """Hours, nautical miles, knots and bearing of steps given as arrays (degrees, microseconds)."""
+    import numpy as np
+    a0, a1, dl = np.radians(la0), np.radians(la1), np.radians(lo1 - lo0)
+    s = np.sin((a1 - a0) / 2) ** 2 + np.cos(a0) * np.cos(a1) * np.sin(dl / 2) ** 2
+    nm = 2 * R_NM * np.arcsin(np.sqrt(np.minimum(1.0, s)))
+    brg = np.degrees(np.arctan2(np.sin(dl) * np.cos(a1), np.cos(a0) * np.sin(a1) - np.sin(a0) * np.cos(a1) * np.cos(dl))) % 360.0
+    h = np.maximum((t1 - t0) / 3.6e9, min_hours)
+    return np.round(h, 4), np.round(nm, 4), np.round(nm / h, 4), np.round(brg, 2)
+
+
+def kinematics_processor(min_hours=0.05, ttl_hours=None):
+    """Stateful processor: the newest fix of each track is the only state kept, for ``ttl_hours`` if given."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Kinematics(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.prev = handle.getValueState("prev", "us long, la double, lo double")
+            keep = {} if ttl_hours is None else {"ttlDurationMs": int(ttl_hours * 3_600_000)}
+            self.prev = handle.getValueState("prev", "us double, la double, lo double", **keep)
 
         def handleInputRows(self, key, rows, timerValues):
+            import numpy as np
             import pandas as pd
+            # a track's rows of one micro-batch arrive in several pieces: they are put in order together
+            pdf = pd.concat(list(rows)).sort_values(["obs_time", "event_id"]).reset_index(drop=True)
+            us = pdf["obs_time"].astype("datetime64[us]").astype("int64").to_numpy(float)
             last = self.prev.get() if self.prev.exists() else None
-            # a batch of one track is streamed in chunks; each is sorted and continues from the state
-            for pdf in rows:
-                pdf = pdf.sort_values(["obs_time", "event_id"])
-                out = []
-                for r in pdf.itertuples(index=False):
-                    us = pd.Timestamp(r.obs_time).value // 1000
-                    m = _motion(last[1], last[2], last[0], r.latitude, r.longitude, us, min_hours) if last else (None,) * 4
-                    out.append((key[0], r.obs_time, r.event_id, r.latitude, r.longitude, *m))
-                    last = (us, r.latitude, r.longitude)
-                yield pd.DataFrame(out, columns=["iceberg_id", "obs_time", "event_id", "latitude", "longitude", "time_diff_hours",
-                                                 "displacement_nm", "speed_knots", "bearing_deg"]).astype(
-                    {c: "float64" for c in ("time_diff_hours", "displacement_nm", "speed_knots", "bearing_deg")})
-            if last:
-                self.prev.update(last)
+            late = us < last[0] if last else np.zeros(len(us), bool)
+            on = np.flatnonzero(~late)
+            la, lo = pdf["latitude"].to_numpy(float), pdf["longitude"].to_numpy(float)
+            out = np.full((4, len(us)), np.nan)
+            if len(on):
+                first = [x[on[:1]] for x in (la, lo, us)] if not last else [np.array([last[i]]) for i in (1, 2, 0)]
+                before = [np.concatenate([f, x[on[:-1]]]) for f, x in zip(first, (la, lo, us))]
+                out[:, on] = _motion(*before, la[on], lo[on], us[on], min_hours)
+                if not last:
+                    out[:, on[0]] = np.nan
+                self.prev.update((us[on[-1]], la[on[-1]], lo[on[-1]]))
+            for c, v in zip(("time_diff_hours", "displacement_nm", "speed_knots", "bearing_deg"), out):
+                pdf[c] = v
+            yield pdf.assign(iceberg_id=key[0], late=late)[["iceberg_id", "obs_time", "event_id", "latitude", "longitude", "time_diff_hours",
+                                                           "displacement_nm", "speed_knots", "bearing_deg", "late"]]
 
         def close(self) -> None:
             pass
     return Kinematics()
 
 
-def stream_kinematics(stream, min_hours=0.05):
-    """Motion since the previous fix per track, continuously (in-order arrival per track). Needs the RocksDB state provider."""
+def stream_kinematics(stream, min_hours=0.05, ttl_hours=None):
+    """Motion since the previous fix per track, continuously. Needs the RocksDB state provider.
+
+    Fixes of one micro-batch are put in time order whatever their order of arrival. A fix older than the newest one of an
+    earlier micro-batch cannot be placed any more: it is passed on without motion and marked ``late``, so late rows can be
+    counted or sent elsewhere. ``ttl_hours`` forgets tracks that stay silent so long (processing time).
+    """
     return (stream.select("iceberg_id", "obs_time", "event_id", "latitude", "longitude").groupBy("iceberg_id")
-            .transformWithStateInPandas(kinematics_processor(min_hours), KIN_SCHEMA, "append", "none"))
+            .transformWithStateInPandas(kinematics_processor(min_hours, ttl_hours), KIN_SCHEMA, "append", "processingTime" if ttl_hours else "none"))
 
 
 def _event_time(df, time_col):
