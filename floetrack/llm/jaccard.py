@@ -123,8 +123,8 @@ def sets(docs, key, text, k, percent, block_bytes):
     return m, written(c, "candidates", "uncompressed")
 
 
-def links(pairs, cand, percent):
-    """Of pairs (a, b) those that link: bit counts first, then the exact intersection of the sorted sets."""
+def links(pairs, cand, percent, screened=False):
+    """Of pairs (a, b) those that link: bit counts first (unless the pairs passed them), then the exact intersection of the sorted sets."""
     side = lambda x, cols: cand.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     small = pairs.join(side("a", ["n", "signature"]), "a").join(side("b", ["n", "signature"]), "b").select("a", "b", "n_a", "n_b", "signature_a", "signature_b")
@@ -149,7 +149,7 @@ def links(pairs, cand, percent):
                     out[1].append(j)
             yield W.table(out, schema)
 
-    left = written(small.mapInArrow(bits, "a bigint, b bigint"), "maybe")
+    left = pairs if screened else written(small.mapInArrow(bits, "a bigint, b bigint"), "maybe")
     full = left.join(side("a", ["shingles"]), "a").join(side("b", ["shingles"]), "b").select("a", "b", "shingles_a", "shingles_b")
     return written(full.mapInArrow(exact, "a bigint, b bigint"), "links")
 
@@ -212,7 +212,7 @@ def near_duplicates(docs, key="doc_id", text="text", k=4, percent=85, block_byte
             break
     groups = max(1, at.count() // 5_000)
     rest = at.join(cand.select("node", "signature"), "node")
-    second = links(written(across(rest, percent, groups).distinct(), "across"), cand, percent)
+    second = links(written(across(rest, percent, groups).distinct(), "across"), cand, percent, screened=True)
     comp = components(every.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = written(m.join(comp, "node", "left").select(key, "n", F.coalesce("component", "node").alias("component")), "components")
     least = placed.where("n > 0").groupBy("component").agg(F.min(key).alias("least"))
