@@ -142,7 +142,7 @@ def fit(docs, labels, train, key="doc_id", text="text", most=1000, rounds=30):
 
     bad, good = F.col("toxic") == 1, F.col("toxic") == 0
     chosen = y.where((bad & cut(1, 4 * most)) | (good & cut(0, 4 * most)))
-    rows = d.join(chosen, "key").select("text", "toxic", "h")
+    rows = d.join(F.broadcast(chosen), "key").select("text", "toxic", "h")  # about 12 x `most` rows at most: texts are not shuffled
     rows = written(rows.dropDuplicates(["text"]), "labelled")  # copies would count a word again and again
     seeds = seed_words(rows)  # the most frequent first
     pick = []
