@@ -137,8 +137,8 @@ def score_waypoints(waypoints, grid, routes, vessels, cfg=DEPLOYED, axes=None, c
     ax = axes or grid_axes(grid, ("latitude", "longitude"))
     v = vessels.select("vessel_id", F.coalesce("cruise_speed_knots", F.lit(12.0)).alias("speed_knots"), "rate",
                        "max_concentration", "clearance_km")
-    s = (route_segments(waypoints, chunk=chunk).join(routes.select("route_id", "vessel_id"), "route_id")
-         .join(v, "vessel_id", "left"))
+    # vessels meet the routes, not the many waypoints of a busy vessel: those are shuffled by route only
+    s = route_segments(waypoints, chunk=chunk).join(routes.select("route_id", "vessel_id").join(v, "vessel_id", "left"), "route_id")
     la, lo = ax["latitude"].values, ax["longitude"].values
     s = s.withColumn("inside", F.col("latitude").between(la[0], la[-1]) & F.col("longitude").between(lo[0], lo[-1]))
     s = sample_grid(s, grid, ["concentration", "iceberg_km", "total_risk", "is_land", "blocked"], ax)
