@@ -127,3 +127,5 @@ class RiskConfig:
 
 # The deployed thresholds.
 DEPLOYED = RiskConfig(hard_block_km=20.0, block_radius_km=20.0, warning_radius_km=60.0)
+# The older weights; their fourth share, 0.15 for distance, belongs to the route, not to the cell.
+LEGACY = RiskConfig(w_ice=0.35, w_iceberg=0.30, w_weather=0.20)

@@ -157,8 +157,8 @@ def polar_xy(lat, lon, a, b, lat_ts):
 
 SQL_FUNCTIONS = {
     "geo_haversine_km": ("lat1 double, lon1 double, lat2 double, lon2 double", "double",
-                         "2 * 6371.0088D * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + "
-                         "cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))"),
+                         "2 * 6371.0088D * asin(sqrt(least(1D, pow(sin(radians(lat2 - lat1) / 2), 2) + "
+                         "cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))"),
     "geo_bearing": ("lat1 double, lon1 double, lat2 double, lon2 double", "double",
                     "pmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * "
                     "sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))), 360D)"),

@@ -36,10 +36,14 @@ def straight_line(df, hours, speed="drift_speed_kmh", bearing="drift_direction_d
     return df.withColumn("_p", p).withColumn("pred_lat", F.col("_p.lat")).withColumn("pred_lon", F.col("_p.lon")).drop("_p")
 
 
-def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="vo", key=tr.KEY, order=tr.ORDER, chunk=od.AUTO):
-    """Advection at the trailing mean current for ``steps`` steps from every fix (needs tangent-plane columns)."""
+def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="vo", key=tr.KEY, order=tr.ORDER, chunk=od.AUTO,
+                  default_hours=6.0):
+    """Advection at the trailing mean current for ``steps`` steps from every fix (needs tangent-plane columns).
+
+    A step lasts the track's ``dt_hours`` (join ``median_step_hours``), ``default_hours`` where that is missing or not positive.
+    """
     d = tr.trailing_mean(df, [u, v], seq_len, key, order, chunk)
-    dt = F.when(F.col(dt_hours) > 0, F.col(dt_hours)).otherwise(F.lit(6.0)) if dt_hours in df.columns else F.lit(6.0)
+    dt = F.when(F.col(dt_hours) > 0, F.col(dt_hours)).otherwise(F.lit(float(default_hours))) if dt_hours in df.columns else F.lit(float(default_hours))
     d = d.withColumn("_dt", dt).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(steps)))))
     x = F.col("x_km") + F.col(f"{u}_mean") * 3.6 * F.col("_dt") * F.col("k")
     y = F.col("y_km") + F.col(f"{v}_mean") * 3.6 * F.col("_dt") * F.col("k")

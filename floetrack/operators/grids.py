@@ -322,9 +322,12 @@ def daily_mean(df, variables, time_col="obs_time"):
 
 
 def to_matrix(df, value, axes=None):
-    """One row per latitude: values in longitude order with NULL gaps (row width is the longitude axis)."""
+    """One row per latitude: values in longitude order with NULL gaps (row width is the longitude axis).
+
+    Several rows of one cell (two sources on a date) count with their mean.
+    """
     ax = (axes or grid_axes(df, CELL))["longitude"]
-    d = ax.index_of(df, "longitude", "_j", True)
+    d = ax.index_of(df, "longitude", "_j", True).groupBy("latitude", "_j").agg(F.avg(value).alias(value))
     m = d.groupBy("latitude").agg(F.map_from_entries(F.collect_list(F.struct("_j", value))).alias("_m"))
     return m.select("latitude", F.transform(F.sequence(F.lit(0), F.lit(ax.n - 1)),
                                             lambda j: F.try_element_at("_m", j)).alias("values"))

@@ -1,7 +1,7 @@
 """Scalar-function queries: each function runs over a whole table of positions, cells or texts."""
 from pyspark.sql import functions as F
 
-from floetrack.config import DEPLOYED
+from floetrack.config import DEPLOYED, LEGACY
 from floetrack.functions import geo, risk
 from floetrack.functions import values as val
 from floetrack.functions.values import rnd
@@ -142,6 +142,17 @@ def f14(v):
     return d.select("event_id", rnd("t", 9).alias("total"), risk.risk_level("t").alias("level"))
 
 
+@case("f14_legacy_risk", f"""
+select event_id, round(t,9)+0.0D as total, case when t>=0.8D then 'extreme' when t>=0.6D then 'high' when t>=0.3D then 'moderate' else 'low' end as level
+from (select event_id, case when event_id % 17 = 0 then 1D else least(1D,greatest(0D,0.35D*{ICE.format(c='(event_id % 100)/100D')}
+  +0.3D*{BERG.format(d='value')}+0.2D*least(1D,greatest(0D,value/30D)))) end as t from events)""")
+def f14_legacy(v):
+    d = v.table("events").withColumn("t", risk.total_risk(
+        risk.sea_ice_risk((F.col("event_id") % 100) / 100.0), risk.iceberg_risk("value"),
+        risk.weather_severity(wind_ms="value"), F.col("event_id") % 17 == 0, LEGACY))
+    return d.select("event_id", rnd("t", 9).alias("total"), risk.risk_level("t").alias("level"))
+
+
 @case("f15_blocked", """
 select event_id, (coalesce(c > l, false) or coalesce(c > 0.85D, false) or coalesce(value < 20D, false)) as blocked
 from (select event_id, value, (event_id % 100)/100D as c, case user_id % 3 when 0 then 0.6D when 1 then 1.0D else 0.2D end as l from events)""")

@@ -10,10 +10,10 @@ from floetrack.sources import writers as wr
 
 
 @case("s01_read_tracks_csv", """
-select id as iceberg_id, t as timestamp, la as latitude, lo as longitude, round(length_km::double*0.539957D,6)+0.0D as length_nm from o_raw where t is not null and id <> ''""")
+select nullif(id,'') as iceberg_id, t as timestamp, la as latitude, lo as longitude, round(length_km::double*0.539957D,6)+0.0D as length_nm from o_raw where t is not null""")
 def s01(v):
     out = scratch(v.spark) + "/tracks.csv"
-    v.tracks_raw.filter("id <> ''").write.option("header", True).csv(out)
+    v.tracks_raw.write.option("header", True).csv(out)
     return rd.read_tracks(v.spark, out).select("iceberg_id", "timestamp", "latitude", "longitude", rnd("length_nm", 6).alias("length_nm"))
 
 

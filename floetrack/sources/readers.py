@@ -135,7 +135,7 @@ def read_weather(spark, path):
     return _long_table(spark, path, WEATHER_SCHEMA)
 
 
-def fleet_presence(raw, lat_min=REGION_LAT[0], lat_max=REGION_LAT[1]):
+def fleet_presence(raw, lat_min=REGION_LAT[0], lat_max=REGION_LAT[1], distinct=True):
     """Presence rows from text columns: renamed cells, region clip, exact duplicates removed; None without the cell columns."""
     if not {"cell_ll_lat", "cell_ll_lon"} <= set(raw.columns):
         return None
@@ -146,16 +146,16 @@ def fleet_presence(raw, lat_min=REGION_LAT[0], lat_max=REGION_LAT[1]):
     for c in ("hours", "fishing_hours"):
         if c in df.columns:
             df = df.withColumn(c, to_number(c))
-    return df.filter(F.col("latitude").between(lat_min, lat_max)).dropDuplicates()
+    out = df.filter(F.col("latitude").between(lat_min, lat_max))
+    return out.dropDuplicates() if distinct else out
 
 
 def read_fleet_presence(spark, paths):
-    """Union of monthly files; files without the cell columns are skipped; sorted by time and cell."""
-    parts = [p for p in (fleet_presence(_text(spark, x)) for x in paths) if p is not None]
+    """Union of monthly files without repeated rows; files without the cell columns are skipped. Sort when writing, if at all."""
+    parts = [p for p in (fleet_presence(_text(spark, x), distinct=False) for x in paths) if p is not None]
     if not parts:
         raise ValueError("no fleet presence file has the cell columns")
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).dropDuplicates()
-    return u.orderBy(*[c for c in ("timestamp", "latitude", "longitude") if c in u.columns])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).dropDuplicates()
 
 
 def file_inventory(spark, root):
