@@ -5,6 +5,11 @@ from pyspark.sql import functions as F
 QUERIES, ORACLES = {}, {}
 
 
+# links l(a, b) in both directions to the smallest reachable key
+CLOSURE = """r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as {KEY}, least(a, min(b)) as lo from r group by a)"""
+
+
 def query(name, sql=None):
     def wrap(fn):
         QUERIES[name] = fn
@@ -76,13 +81,26 @@ def op5(spark, sf_dir):
     return pfp.cut_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-@query("op8_ngram_jaccard")
+@query("op8_ngram_jaccard", rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) < 4 then list_filter([array_to_string(w, ' ')], lambda x: len(w) > 0) else list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]) end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, a.n + b.n as n, count(*) as k from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2, 3),
+l as (select a, b from p where 100 * k >= 85 * (n - k)),
+{CLOSURE}
+select s.doc_id, len(s.s) as n_shingles, coalesce(lo, s.doc_id) as component_id from s left join c using (doc_id)""".replace("{KEY}", "doc_id"))
 def op8(spark, sf_dir):
     from floetrack.llm import jaccard
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-@query("op6_vector_forest")
+@query("op6_vector_forest", f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+{CLOSURE}
+select vec_id, coalesce(n, 0) as n_links, coalesce(lo, vec_id) as component_id, coalesce(lo, vec_id) = vec_id as kept
+from v left join (select a as vec_id, count(*) as n from l group by 1) using (vec_id) left join c using (vec_id)""".replace("{KEY}", "vec_id"))
 def op6(spark, sf_dir):
     from floetrack.llm import forest
     return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
