@@ -75,7 +75,16 @@ def op7(spark, sf_dir):
     return crf.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as m from d, unnest(range(0, greatest(0, length(h) // 2 - 399))) t(i)),
+st as (select doc_id, i, case when i <= lag(i) over o + 400 then 0 else 1 end as fresh from w where m in (select m from w group by m having count(*) > 1) window o as (partition by doc_id order by i)),
+n as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as k from st),
+s as (select doc_id, k, min(i) as a, max(i) + 400 as z from n group by 1, 2),
+p as (select doc_id, coalesce(lag(z) over (partition by doc_id order by k), 0) as a, a as z from s union all select doc_id, coalesce(max(z), 0), max(length(h)) // 2 from d left join s using (doc_id) group by 1),
+t as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' order by a) as h from p join d using (doc_id) group by 1)
+select d.doc_id, length(d.h) // 2 as n_bytes, (length(d.h) - length(t.h)) // 2 as n_removed, (select count(*) from s where s.doc_id = d.doc_id) as n_spans,
+  sha256(unhex(t.h)) as kept_sha256 from d join t using (doc_id)""")
 def op5(spark, sf_dir):
     from floetrack.llm import pfp
     return pfp.cut_repeats(_table(spark, sf_dir, "documents")).drop("spans")
