@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from floetrack.llm.common import folder, written
+from floetrack.llm.common import folder, release, written
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -30,6 +30,9 @@ def expand(b):
     return zstandard.decompress(b)
 
 
+CACHES = {}  # what a task keeps from block to block
+
+
 class Block:
     """Texts of one block: ``ids``, ``flags``, byte ``sizes``, ``data`` (all texts joined), ``starts`` of each text."""
 
@@ -52,6 +55,9 @@ def each_block(batches):
             b = Block(*(rb.column(names.index(c))[i].as_py() for c in ("block", "ids", "flags", "sizes", "data")))
             got = {c: {x["bucket"]: x["reply"] for x in rb.column(names.index(c))[i].as_py() or []} for c in names if c.startswith("got")}
             yield b, got
+            del b, got
+    CACHES.clear()
+    release()
 
 
 def write_blocks(docs, key="doc_id", text="text", flag=None, block_bytes=BLOCK_BYTES):
@@ -91,6 +97,8 @@ def write_blocks(docs, key="doc_id", text="text", flag=None, block_bytes=BLOCK_B
                     held, size, seq = [], 0, seq + 1
         if held:
             yield flush()
+        held = []
+        release()
 
     spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
     (d.mapInArrow(pack, SCHEMA).write.option("path", folder(spark, "blocks")).option("compression", "uncompressed")
@@ -128,6 +136,7 @@ def exchange(asked, emit, answer):
     def reply(table):
         table = table.sort_by("block")
         replies, stats = answer(table.column("payload").to_pylist())
+        release()
         n = table.num_rows
         return pa.table([table.column("block"), table.column("bucket"), pa.array(replies, pa.binary()),
                          pa.array([stats] + [[]] * (n - 1), pa.list_(pa.int64()))], schema=_reply)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floetrack.llm.blocks import pack_ints, unpack_ints
-from floetrack.llm.common import crc_mod
+from floetrack.llm.common import crc_mod, release
 
 WIDTH = 1 << 12  # hashed n-gram counts per text
 LETTER = regex.compile(r"\p{L}")
@@ -102,6 +102,7 @@ def predict(docs, model, key="doc_id", text="text", step=256, carry=False):
                 limit = 0.5 * model["floor"] if model else 0.0
                 cols = [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([x == "und" or s < limit for x, s in zip(lang, score)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols + ([part.column(2)] if carry else []), names=[key, "lang_pred", "score", "distant"] + ["row"] * carry)
+        release()
 
     cols = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     out = T.StructType().add(key, "long").add("lang_pred", "string").add("score", "double").add("distant", "boolean")

@@ -1,6 +1,9 @@
 """Shared folder, written intermediate tables and connected components."""
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from floetrack.session import shared_folder
@@ -23,6 +26,16 @@ def written(df, name, codec="zstd"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release():
+    """Hand back to the system what a finished task has freed: an idle Python worker stays beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_mod(key, m):
     """crc32 of the decimal text of ``key``, modulo ``m`` (NULL keys: of the empty text)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % m

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from floetrack.llm.common import crc_mod, written
+from floetrack.llm.common import crc_mod, release, written
 
 TOKEN = re.compile(r"[^\W_]+")
 BITS = 18  # size of the hashed feature table
@@ -267,6 +267,8 @@ def tag(docs, model, key="doc_id", text="text", threshold=0.5, step_tokens=1 <<
                     held, size = [], 0
             if held:
                 yield flush(held)
+        cache = None
+        release()
 
     cols = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"))
     return cols.mapInArrow(run, f"{key} bigint, score double, spans array<struct<begin:int,end:int>>")

@@ -24,17 +24,16 @@ from floetrack.llm import words as W
 
 BASE = 0x9E3779B97F4A7C15 | 1
 TABLE = B.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers = {}
 
 
 def powers(n):
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if _powers.get("n", 0) < n:
+    if len(B.CACHES.get("powers", [[]])[0]) < n:
         up = np.full(n, BASE, np.uint64)
         down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _powers.update(n=n, up=np.cumprod(up, dtype=np.uint64), down=np.cumprod(down, dtype=np.uint64))
-    return _powers["up"], _powers["down"]
+        B.CACHES["powers"] = np.cumprod(up, dtype=np.uint64, out=up), np.cumprod(down, dtype=np.uint64, out=down)
+    return B.CACHES["powers"]
 
 
 class Parse:

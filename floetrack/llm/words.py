@@ -3,13 +3,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from floetrack.llm.blocks import expand, join_parts, pack_ints, split_parts, squeeze, unpack_ints
+from floetrack.llm.blocks import CACHES, expand, join_parts, pack_ints, split_parts, squeeze, unpack_ints
 
 
 class Hashes(dict):
     """Cache word -> 64-bit hash; emptied when it holds ``limit`` words (it only saves time)."""
 
-    def __init__(self, limit=1 << 19):
+    def __init__(self, limit=1 << 18):
         super().__init__()
         self.limit = limit
 
@@ -20,9 +20,6 @@ class Hashes(dict):
         return h
 
 
-HASHES = Hashes()  # of this worker
-
-
 class Interned(dict):
     """Numbers distinct pieces in order of appearance."""
 
@@ -39,7 +36,9 @@ def lower_words(text):
     return text.lower().split()
 
 
-def hashed(words, cache=HASHES):
+def hashed(words):
+    """Hashes of words; those of a task's earlier blocks are remembered."""
+    cache = CACHES.setdefault("hashes", Hashes())
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
