@@ -141,7 +141,8 @@ def route_distance(waypoints, points, point_id, samples=50, pairs=None, route="r
     """Minimum distance of sampled routes to points.
 
     With ``pairs`` (``route``, ``point_id``) every listed pair is measured; otherwise the nearest point of each route is found.
-    Routes with fewer than two waypoints get status ``invalid`` and no distance.
+    Routes with fewer than two waypoints (or none) get status ``invalid``, pairs naming a point that is not listed
+    ``not_found``; neither has a distance.
     """
     n = waypoints.groupBy(route).agg(F.count(F.lit(1)).alias("_n"))
     s = route_samples(waypoints, samples, route=route, order=order)
@@ -153,7 +154,7 @@ def route_distance(waypoints, points, point_id, samples=50, pairs=None, route="r
     else:
         out = n.join(nearest_hazard(s, points, [point_id], route=route, levels=levels), route, "left")
     bad = F.coalesce(F.col("_n") < 2, F.lit(True))
-    return (out.withColumn("status", F.when(bad, "invalid").otherwise("ok"))
+    return (out.withColumn("status", F.when(bad, "invalid").when(F.col("distance_km").isNull(), "not_found").otherwise("ok"))
             .withColumn("distance_km", F.when(~bad, F.col("distance_km")))
             .withColumn("distance_nm", F.col("distance_km") / NM_TO_KM).drop("_n"))
 

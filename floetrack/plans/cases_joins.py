@@ -155,15 +155,13 @@ select route_id, latitude + coalesce((la2-latitude)*(s/5D),0) as latitude, longi
 
 
 @case("j09_route_distance_pairs", f"""
-select p.route_id, p.iceberg_id, case when w.n >= 2 then round(min({hav('s.latitude', 's.longitude', 'b.latitude', 'b.longitude')}),6)+0.0D end as distance_km, case when w.n >= 2 then 'ok' else 'invalid' end as status
-from (select route_id, concat('B', route_id % 150) as iceberg_id from v_routes) p join (select route_id, max(n) as n from o_wp group by 1) w using(route_id)
-join o_s50 s using(route_id) join o_latest b using(iceberg_id) group by 1,2,w.n""")
+with p as (select route_id, concat('B', route_id % 150) as iceberg_id from v_routes), w as (select route_id, max(n) as n from o_wp group by 1),
+d as (select p.route_id, p.iceberg_id, min({hav('s.latitude', 's.longitude', 'b.latitude', 'b.longitude')}) as km from p join o_s50 s using(route_id) join o_latest b using(iceberg_id) group by 1,2)
+select p.route_id, p.iceberg_id, case when w.n >= 2 then round(km,6)+0.0D end as distance_km,
+ case when coalesce(w.n, 0) < 2 then 'invalid' when km is null then 'not_found' else 'ok' end as status from p left join w using(route_id) left join d using(route_id, iceberg_id)""")
 def j09(v):
-    w = v.waypoints
-    ids = latest(v)
     pairs = v.routes.select("route_id", F.concat(F.lit("B"), F.col("route_id") % 150).alias("iceberg_id"))
-    pairs = pairs.join(w.select("route_id").distinct(), "route_id", "left_semi").join(ids.select("iceberg_id"), "iceberg_id", "left_semi")
-    return j.route_distance(w, ids, "iceberg_id", pairs=pairs).select("route_id", "iceberg_id", rnd("distance_km", 6).alias("distance_km"), "status")
+    return j.route_distance(v.waypoints, latest(v), "iceberg_id", pairs=pairs).select("route_id", "iceberg_id", rnd("distance_km", 6).alias("distance_km"), "status")
 
 
 shared_cte("o_pos", "select distinct latitude, longitude from o_s5")

@@ -160,7 +160,6 @@ def t06(v):
 def alerts(v, cfg=None):
     ice = g.latest_snapshot(v.grid).select("latitude", "longitude", "sic")
     routes = v.routes.select("route_id", F.lit("main").alias("label"))
-    routes = routes.join(v.waypoints.select("route_id").distinct(), "route_id", "left_semi")
     return r.route_alerts(routes, v.waypoints, ice, latest(v).select("iceberg_id", "latitude", "longitude"), cfg)
 
 
@@ -170,7 +169,8 @@ select 'iceberg-' || route_id || '-main-' as alert_key, route_id, 'iceberg' as t
  round(m.km*0.5399568D,5)+0.0D as distance_nm, m.id as iceberg_id from o_routeberg
 union all select 'sea-ice-' || route_id || '-main-', route_id, 'sea-ice',
  case when m.sic>=0.8D then 'critical' when m.sic>=0.6D then 'high' when m.sic>=0.3D then 'medium' else 'low' end, round(m.km,5)+0.0D,
- round(m.km*0.5399568D,5)+0.0D, null from o_routeice""")
+ round(m.km*0.5399568D,5)+0.0D, null from o_routeice
+union all select t || '-' || route_id || '-main-', route_id, t, 'info', null, null, null from v_routes, (select unnest(['sea-ice','iceberg']) as t) where route_id not in (select route_id from v_waypoints)""")
 def j28(v):
     return alerts(v).select(F.regexp_extract("alert_id", "^[a-z-]+[0-9]+-main-", 0).alias("alert_key"), "route_id", "type", "severity", rnd("distance_km", 5).alias("distance_km"),
                             rnd("distance_nm", 5).alias("distance_nm"), "iceberg_id")
