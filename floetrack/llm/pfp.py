@@ -136,7 +136,7 @@ def repeated(inv, n, owner, times):
     return (np.bincount(inv, times, n) >= 2)[inv]
 
 
-def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32, block_bytes=4 << 20, keep_text=False):
+def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32, block_bytes=2 << 20, keep_text=False):
     """Rows (key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every whole text.
 
     Removed is each byte of a ``length``-byte string that starts in two or more places of the table, the same document
