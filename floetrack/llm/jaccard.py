@@ -155,13 +155,17 @@ def links(pairs, cand, percent, screened=False):
 
 
 def across(rows, percent, groups):
-    """Pairs of one key's nodes in different components that sizes and bit counts let pass. rows: key, node, n, component, signature."""
+    """Pairs of one key's nodes in different components that sizes and bit counts let pass; each under its lowest common key only.
+
+    rows: key, node, n, component, signature, keys (all keys of the node).
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table):
         table = table.sort_by([("key", "ascending"), ("n", "ascending")])
         key, node, n, comp = (table.column(c).to_numpy() for c in ("key", "node", "n", "component"))
         sig = [np.frombuffer(x, np.uint8) for x in table.column("signature").to_pylist()]
+        keys = [set(x) for x in table.column("keys").to_pylist()]
         begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else []
         out = set()
         for s, e in zip(begin, np.append(begin[1:], len(key))):
@@ -173,7 +177,7 @@ def across(rows, percent, groups):
                 for size in {len(sig[x]) for x in j}:
                     tile = j[[len(sig[x]) == size for x in j]]
                     ok = may_link(sig[i][None], n[i], np.stack([sig[x] for x in tile]), n[tile], percent)
-                    out.update((min(node[i], node[x]), max(node[i], node[x])) for x in tile[ok])
+                    out.update((min(node[i], node[x]), max(node[i], node[x])) for x in tile[ok] if min(keys[i] & keys[x]) == key[i])
         return pa.table([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], schema=schema)
 
     return rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
@@ -211,7 +215,7 @@ def near_duplicates(docs, key="doc_id", text="text", k=4, percent=85, block_byte
         if at.isEmpty():
             break
     groups = max(1, at.count() // 5_000)
-    rest = at.join(cand.select("node", "signature"), "node")
+    rest = at.join(cand.select("node", "signature", "keys"), "node")
     second = links(written(across(rest, percent, groups).distinct(), "across"), cand, percent, screened=True)
     comp = components(every.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = written(m.join(comp, "node", "left").select(key, "n", F.coalesce("component", "node").alias("component")), "components")
