@@ -6,7 +6,6 @@ it, as counts. Patterns are then joined back to the pieces by their rank among t
 """
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,6 @@ def _encoder(path):
     return _loaded[path]
 
 
-def parts(word):
-    """A word of ASCII letters and digits and the full stop or comma after it: the tokenizer always cuts between them."""
-    return (word[:-1], word[-1:]) if word[-1:] in (b".", b",") and word[:-1].isalnum() else (word,)
-
-
 def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_bytes=B.BLOCK_BYTES):
     """Rows (doc_id, start, length, ids_crc32, doc_tokens) of every document, ``end_id`` after its ids.
 
@@ -45,8 +39,10 @@ def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_byt
     n = B.bucket_count(t)
 
     def emit(b, got):
-        words = dict.fromkeys(chain.from_iterable(map(W.lower_words, b.texts())))
-        return W.send_words(dict.fromkeys(p for w in words for p in parts(w)), n)
+        words = {}
+        for x in b.texts():
+            words.update(dict.fromkeys(W.lower_words(x)))
+        return W.send_words(words, n)
 
     def answer(payloads):
         def encode(ws):
@@ -62,13 +58,13 @@ def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_byt
 
     def finish(batches):
         for b, got in B.each_block(batches):
-            words = dict.fromkeys(chain.from_iterable(map(W.lower_words, b.texts())))
-            ids = W.read_words(dict.fromkeys(p for w in words for p in parts(w)), got["got"], n)
-            ids = {w: b"".join(map(ids.__getitem__, parts(w))) for w in words}
-            del words
+            number = W.Interned()
+            ws = [number.numbers(W.lower_words(x)) for x in b.texts()]
+            ids = W.read_words(number, got["got"], n)
+            ids = list(map(ids.__getitem__, number))
             out = [[], [], [], [], []]
-            for doc, x in zip(b.ids, b.texts()):
-                raw = b"".join(map(ids.__getitem__, W.lower_words(x))) + end
+            for doc, x in zip(b.ids, ws):
+                raw = b"".join(map(ids.__getitem__, x.tolist())) + end
                 for a in range(0, len(raw), 4 * size):
                     p = raw[a:a + 4 * size]
                     for c, v in zip(out, (doc, a // 4, len(p) // 4, zlib.crc32(p), len(raw) // 4)):
