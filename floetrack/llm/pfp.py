@@ -8,7 +8,8 @@ that pair instead of being ranked: two suffixes are neighbours with a common pre
 share them. Four exchanges, each with one key per block and distinct context:
 
 1. phrases: windows that hold a phrase found only once are unique;
-2. contexts (phrases from the trigger before a run of windows to the one after it): seen twice, all its windows repeat;
+2. contexts (phrases from the trigger before a run of windows to the one after it, and where the run lies in them): seen
+   twice, all its windows repeat;
 3. inner phrases of the run: without a second run sharing them, or without one of a unique context, nothing is left to ask;
 4. the windows still open, one by one, and the windows of runs with fewer than two triggers.
 
@@ -112,7 +113,10 @@ class Search:
         a = np.where((f > 0) & (p.t[np.maximum(f - 1, 0)] >= p.doc_from[doc]), p.t[np.maximum(f - 1, 0)], p.doc_from[doc]) if len(f) else f
         nxt = np.minimum(z + 1, max(0, len(p.t) - 1))
         e = np.where((z + 1 < len(p.t)) & (p.t[nxt] + gram <= p.doc_to[doc]), p.t[nxt] + gram, p.doc_to[doc]) if len(f) else f
-        self.context, self.context_n, self.context_of = B.merged(p.hash(a, e))
+        # with a trigger at the first or last byte of a document, neighbouring runs share a or e: the place of the run in its
+        # context belongs to the key, so that a context counts once a place and stands for the same windows everywhere
+        place = ((p.t[f] - a) << 32 | (e - p.t[z] - gram)).astype(np.uint64) if len(f) else np.zeros(0, np.uint64)
+        self.context, self.context_n, self.context_of = B.merged(B.mix(p.hash(a, e) + B.mix(place)))
         self.inner, self.inner_n, self.inner_of = B.merged(p.hash(p.t[f], p.t[z] + gram)) if len(f) else B.merged(np.zeros(0, np.uint64))
         if "got2" not in got:
             return

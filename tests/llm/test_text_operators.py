@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import types
 import zlib
 
 import numpy as np
@@ -195,6 +196,38 @@ def test_repeated_passages(spark, docs, length, gram, every, block):
         assert sum(x.end - x.begin for x in r.spans) == r.n_removed and all(a.end <= b.begin for a, b in zip(r.spans, r.spans[1:]))
 
 
+@pytest.mark.parametrize("block", [400, 1 << 20])
+def test_triggers_at_the_edges_of_documents(spark, block):
+    length, gram, every = 100, 8, 8
+    rng = random.Random(block)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    def edged(n, at_end):
+        """Noise of about n bytes with a trigger at its first byte, or one that ends at its last byte."""
+        while True:
+            x = noise(n + 80).encode()
+            t = pfp.Parse(types.SimpleNamespace(data=x, starts=np.array([0, len(x)])), length, gram, every).t
+            t = t[(t + gram >= n)] if at_end else t[t <= 80]
+            if len(t):
+                return x[:t[0] + gram].decode() if at_end else x[t[0]:].decode()
+
+    texts = []
+    for _ in range(30):
+        x = edged(120, False)[:rng.randint(80, 99)]  # a shared head too short to be a repeat
+        texts += [x + noise(150), noise(150) + x + noise(150)]
+        x = edged(120, True)[-rng.randint(80, 99):]  # and a shared tail
+        texts += [noise(150) + x, noise(150) + x + noise(150)]
+    for _ in range(15):
+        x = edged(250, False)  # repeats that others share but for the first bytes, or with other bytes before them
+        texts += [x + noise(60), x + noise(50), noise(150) + x[rng.randint(0, 5):150] + noise(60)]
+        x = edged(250, True)
+        texts += [noise(60) + x, noise(50) + x, noise(60) + x[-150:len(x) - rng.randint(0, 5)] + noise(150)]
+    rng.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = pfp.cut_repeats(d, length=length, gram=gram, every=every, block_bytes=block).drop("spans").collect()
+    same([tuple(r) for r in got], cut_brute(pairs(d), length))
+
+
 def test_repeated_passages_empty(spark, docs):
     assert pfp.cut_repeats(docs.limit(0)).count() == 0
     assert [r.n_removed for r in pfp.cut_repeats(docs.where("doc_id in (100, 101)")).collect()] == [0, 0]
