@@ -4,7 +4,8 @@ Each class of documents with one and the same shingle set is a node. A set's shi
 of classes that hold them); two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each, so
 only those that another class holds too are kept as tile keys. Within a tile (key and size band) everything is first held
 against one leader, then what is still apart against other leaders; classes that this leaves apart are compared across the
-key's tiles, bitmap against bitmap, and the survivors exactly. Classes already in one component are never compared.
+key's tiles, bitmap against bitmap, and the survivors exactly. A key too large for one task is dealt out as pairs of tiles of
+bounded size. Classes already in one component are never compared.
 """
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ def shingles(texts, k):
     return [np.unique(h[x:y]) for x, y in zip(at, at[1:])]
 
 
+TILE_ROWS, TILE_BYTES = 2048, 4 << 20  # of one tile of a hot key
 STARS = 4  # turns of leaders before the rest is compared in full
 
 
@@ -154,7 +156,34 @@ def links(pairs, cand, percent, screened=False):
     return written(full.mapInArrow(exact, "a bigint, b bigint"), "links")
 
 
-def across(rows, percent, groups):
+def dealt(rows, percent):
+    """Rows by the group they are compared in: columns part, x, i, y, j, tile beside those of ``across``.
+
+    Small keys share groups. A key above TILE_ROWS or TILE_BYTES is cut into size bands and these into tiles by the hash of the
+    node; each pair of tiles of one band or of neighbouring bands is a group of its own (sets further apart cannot link).
+    """
+    band = F.floor(F.log("n") / np.log(100 / percent) + 1e-9)  # a ratio of exactly 100 / percent stays within one band's step
+    rows = rows.withColumn("band", band.cast("int")).withColumn("bytes", F.octet_length("signature") + 8 * F.size("keys") + 64)
+    tiles = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("bytes") / TILE_BYTES)).cast("int")
+    total = rows.agg(F.count("*"), F.sum("bytes")).first()
+    groups = max(1, total[0] // 5_000, (total[1] or 0) // (4 * TILE_BYTES))
+    hot = written(rows.groupBy("key").agg(tiles.alias("tiles")).where("tiles > 1").select("key"), "hot")
+    size = rows.join(hot, "key").groupBy("key", "band").agg(tiles.alias("tiles"))
+    bands = written(size.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("bands")), "bands")
+    rows = rows.join(bands, "key", "left").withColumn("tile", F.expr("cast(pmod(xxhash64(node), bands[band]) as int)"))
+    shape = "named_struct('x', {}, 'i', {}, 'y', {}, 'j', {})".format
+    none = "cast(array() as array<struct<x:int,i:int,y:int,j:int>>)"
+    each = lambda b, to: f"case when try_element_at(bands, {b}) > 0 then transform(sequence(0, try_element_at(bands, {b}) - 1), k -> {to}) else {none} end"
+    pairs = (f"concat({each('band', shape('band', 'least(k, tile)', 'band', 'greatest(k, tile)'))}, "
+             f"{each('band + 1', shape('band', 'tile', 'band + 1', 'k'))}, {each('band - 1', shape('band - 1', 'k', 'band', 'tile'))})")
+    rows = rows.withColumn("pair", F.explode(F.expr(f"case when bands is null then array(cast(null as struct<x:int,i:int,y:int,j:int>)) else {pairs} end")))
+    part = F.when(F.col("bands").isNull(), F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
+    # within a pair of two tiles only rows of different ones meet
+    tile = F.when(F.struct("pair.x", "pair.i") != F.struct("pair.y", "pair.j"), F.xxhash64("band", "tile"))
+    return rows.select("key", "node", "n", "component", "signature", "keys", part.alias("part"), "pair.*", tile.alias("tile"))
+
+
+def across(rows, percent):
     """Pairs of one key's nodes in different components that sizes and bit counts let pass; each under its lowest common key only.
 
     rows: key, node, n, component, signature, keys (all keys of the node).
@@ -164,23 +193,30 @@ def across(rows, percent, groups):
     def run(table):
         table = table.sort_by([("key", "ascending"), ("n", "ascending")])
         key, node, n, comp = (table.column(c).to_numpy() for c in ("key", "node", "n", "component"))
+        tile = table.column("tile").fill_null(0).to_numpy()
+        cross = table.column("tile").null_count == 0
         sig = [np.frombuffer(x, np.uint8) for x in table.column("signature").to_pylist()]
-        keys = [set(x) for x in table.column("keys").to_pylist()]
-        begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else []
+        long = np.array([len(x) for x in sig])
+        # signatures of one length as one matrix, and the row of each there
+        by, row = {}, np.zeros(len(sig), np.int64)
+        for size in np.unique(long):
+            at = np.flatnonzero(long == size)
+            by[size], row[at] = np.stack([sig[x] for x in at]), np.arange(len(at))
+        keys = [np.sort(x.values.to_numpy()) for x in table.column("keys").combine_chunks()]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
         out = set()
         for s, e in zip(begin, np.append(begin[1:], len(key))):
-            # tiles of one signature length; a set meets its own tile and the next longer one
             for i in range(s, e - 1):
                 z = s + np.searchsorted(n[s:e], n[i] * 100 // percent, "right")
                 j = np.arange(i + 1, z)
-                j = j[comp[j] != comp[i]]
-                for size in {len(sig[x]) for x in j}:
-                    tile = j[[len(sig[x]) == size for x in j]]
-                    ok = may_link(sig[i][None], n[i], np.stack([sig[x] for x in tile]), n[tile], percent)
-                    out.update((min(node[i], node[x]), max(node[i], node[x])) for x in tile[ok] if min(keys[i] & keys[x]) == key[i])
+                j = j[(comp[j] != comp[i]) & (tile[j] != tile[i] if cross else True)]
+                for size in np.unique(long[j]):
+                    at = j[long[j] == size]
+                    ok = may_link(sig[i][None], n[i], by[size][row[at]], n[at], percent)
+                    out.update((min(node[i], node[x]), max(node[i], node[x])) for x in at[ok] if np.intersect1d(keys[i], keys[x], assume_unique=True)[0] == key[i])
         return pa.table([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], schema=schema)
 
-    return rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("part").applyInArrow(run, "a bigint, b bigint")
+    return dealt(rows, percent).groupBy("part", "x", "i", "y", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs, key="doc_id", text="text", k=4, percent=85, block_bytes=B.BLOCK_BYTES):
@@ -214,9 +250,8 @@ def near_duplicates(docs, key="doc_id", text="text", k=4, percent=85, block_byte
         comp, at = place(every)
         if at.isEmpty():
             break
-    groups = max(1, at.count() // 5_000)
     rest = at.join(cand.select("node", "signature", "keys"), "node")
-    second = links(written(across(rest, percent, groups).distinct(), "across"), cand, percent, screened=True)
+    second = links(written(across(rest, percent).distinct(), "across"), cand, percent, screened=True)
     comp = components(every.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = written(m.join(comp, "node", "left").select(key, "n", F.coalesce("component", "node").alias("component")), "components")
     least = placed.where("n > 0").groupBy("component").agg(F.min(key).alias("least"))

@@ -261,6 +261,30 @@ def test_jaccard_join(spark, docs, k, percent, block):
     same(jaccard.near_duplicates(docs, k=k, percent=percent, block_bytes=block).collect(), jaccard_brute(pairs(docs), k, percent))
 
 
+def test_hot_keys_are_dealt_in_bounded_tiles(spark, monkeypatch):
+    """Texts of one template, too far apart for leaders to join, meet in many small groups and still find every link."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(60)]
+    own = lambda x, m: [rng.choice(["u", "v"]) + str(rng.random()) if rng.random() < m else w for w in x]
+    texts = [own(base[:rng.randint(30, 60)], 0.2) for _ in range(90)]
+    texts += [own(x, 0.05) for x in texts[:40]]
+    rows = list(enumerate(" ".join(x) for x in texts))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sizes = []
+    plain = jaccard.dealt
+
+    def seen(r, percent):
+        out = plain(r, percent)
+        sizes.extend(x["count"] for x in out.groupBy("part", "x", "i", "y", "j").count().where("x is not null").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 5)
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    monkeypatch.setattr(jaccard, "dealt", seen)
+    same(jaccard.near_duplicates(d, k=1, percent=80).collect(), jaccard_brute(rows, 1, 80))
+    assert len(sizes) > 20 and max(sizes) <= 30
+
+
 def test_jaccard_empty(spark, docs):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
