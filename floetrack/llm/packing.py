@@ -5,6 +5,7 @@ whatever the corpus) is packed on the driver: lengths longest first, each placed
 it, as counts. Patterns are then joined back to the pieces by their rank among the pieces of one length.
 """
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,19 +30,33 @@ def _encoder(path):
     return _loaded[path]
 
 
+def special(path):
+    """Packed id of each special-token string (bytes)."""
+    return {a.content.encode(): np.array([i], "<u4").tobytes() for i, a in Tokenizer.from_file(path).get_added_tokens_decoder().items() if a.special}
+
+
+def split(text, own):
+    """Lower-cased words of a text; special tokens, found before lower-casing, are pieces of their own with a space before them."""
+    if not any(x in text for x in own):
+        return W.lower_words(text)
+    parts = re.split(b"(" + b"|".join(map(re.escape, sorted(own, key=len, reverse=True))) + b")", text)
+    return [w for i, x in enumerate(parts) for w in ([b" " + x] if i % 2 else W.lower_words(x))]
+
+
 def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_bytes=B.BLOCK_BYTES):
     """Rows (doc_id, start, length, ids_crc32, doc_tokens) of every document, ``end_id`` after its ids.
 
     The tokenizer drops white space and never joins across it, so each distinct lower-cased word of the corpus is encoded
-    once. NULL texts are empty (a single ``end_id``); repeated and NULL keys are kept.
+    once, and a special token's string gets that token's id, as in a plain call on the whole text. NULL texts are empty (a single ``end_id``); repeated and NULL keys are kept.
     """
     t = B.write_blocks(docs, key, text, block_bytes=block_bytes)
     n = B.bucket_count(t)
+    own = special(path)
 
     def emit(b, got):
         words = {}
         for x in b.texts():
-            words.update(dict.fromkeys(W.lower_words(x)))
+            words.update(dict.fromkeys(split(x, own)))
         return W.send_words(words, n)
 
     def answer(payloads):
@@ -49,7 +64,7 @@ def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_byt
             tok, out = _encoder(path), []
             for i in range(0, len(ws), 10_000):
                 out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in ws[i:i + 10_000]], add_special_tokens=False)]
-            return out
+            return [own[w[1:]] if w[:1] == b" " else x for w, x in zip(ws, out)]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return W.answer_words(payloads, encode)
 
@@ -59,7 +74,7 @@ def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_byt
     def finish(batches):
         for b, got in B.each_block(batches):
             number = W.Interned()
-            ws = [number.numbers(W.lower_words(x)) for x in b.texts()]
+            ws = [number.numbers(split(x, own)) for x in b.texts()]
             ids = W.read_words(number, got["got"], n)
             ids = list(map(ids.__getitem__, number))
             out = [[], [], [], [], []]

@@ -80,6 +80,15 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_special_tokens(spark):
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["one<|endoftext|>Two", "<|startoftext|> a <|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext|><|endoftext|>", "<|endoftext| >", "don<|startoftext|>'t"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = packing.pieces(d, P.path("word_bpe_49k.json")).select("doc_id", "length", "ids_crc32").collect()
+    ids = [np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4") for t in texts]
+    same(got, [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)])
+
+
 @pytest.mark.parametrize("ranked", [50_000, 3])
 def test_ranks_are_whole_for_any_group_size(spark, ranked, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", ranked)
