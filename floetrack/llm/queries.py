@@ -113,3 +113,57 @@ from v left join (select a as vec_id, count(*) as n from l group by 1) using (ve
 def op6(spark, sf_dir):
     from floetrack.llm import forest
     return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_mixing", r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as mark from documents),
+s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from d group by source),
+o as (select *, row_number() over x as k, 1.5::double * sum(source_size) over () - (sum(2 * source_size) over x - 2 * source_size)::double as pool, sum(w) over x as upto, sum(w) over () as all_w from s window x as (order by (2 * source_size)::double / w, source nulls last rows between unbounded preceding and current row)),
+l as (select arg_min(pool / (all_w - upto + w), k) as level from o where pool / (all_w - upto + w) * w <= 2 * source_size),
+t as (select source, source_size, case when level is null or level * w > 2 * source_size then (2 * source_size)::double else level * w end as target from s, l),
+n as (select *, floor(target + 0.5)::bigint as need, case when source_size > 0 then floor(target + 0.5)::bigint // source_size else 0 end as whole from t),
+c as (select d.*, sum(size) over (partition by source order by mark, doc_id rows unbounded preceding) - size as before from d)
+select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, need - whole * source_size - before)))::bigint as taken from c join n on c.source is not distinct from n.source""")
+def op12(spark, sf_dir):
+    from floetrack.llm import mixing
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("repeats", "cut")
+
+
+@query("op13_divergence", r"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+o as (select i, lang, source, unnest(w) as t from d),
+k as (select lang, t, count(*) as c from o group by 1, 2 having count(distinct i) >= 10),
+n as (select lang, source, t, count(*) as c from o semi join k using (lang, t) group by 1, 2, 3),
+v as (select lang, count(*) as v, sum(c) as nl from k group by 1),
+s as (select lang, source, sum(c) as n from n group by 1, 2),
+g as (select lang, source, coalesce(n, 0) + 2 * coalesce(v, 0) as m, coalesce(nl, 0) + 2 * coalesce(v, 0) as ml from (select distinct lang, source from d) left join s using (lang, source) left join v using (lang)),
+p as (select lang, source, t, coalesce(n.c, 0) as c, 1 + 1000000000::hugeint * (coalesce(n.c, 0) + 2) // m as p, 1 + 1000000000::hugeint * (k.c + 2) // ml as q from g join k using (lang) left join n using (lang, source, t)),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by 1, 2, 3),
+y as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+ union all select lang, source, 'term', t, (p - q) * (p - q) // (p + q) from p where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from y)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 10""")
+def op13(spark, sf_dir):
+    from floetrack.llm import divergence
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_collocations", r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as s from documents),
+w as (select lang, regexp_extract_all(s, '[^\x20\x09]+') as w from p),
+t as (select lang, sum(len(w))::bigint as n from w group by 1),
+g as (select lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) as x from w, range(1, 5) q(k) where len(w) >= k),
+f as (select lang, k, x, count(*) as a from g group by 1, 2, 3),
+c as (select lang, k, x, a from f where k >= 2 and a >= 30),
+u as (select c.*, j, lf.a as l, rf.a as r, 2000000::hugeint * c.a // (lf.a + rf.a) as score from c, range(1, 4) q(j), f lf, f rf
+ where j < c.k and lf.lang = c.lang and lf.x = c.x[1:j] and rf.lang = c.lang and rf.x = c.x[j + 1:]),
+b as (select lang, k, x, a, min({'score': score, 'j': j, 'l': l, 'r': r}) as m from u group by 1, 2, 3, 4),
+z as (select lang, a, unnest([x[i:i + m - 1] for m in range(2, k) for i in range(1, k - m + 2)]) as x from c),
+d as (select lang, x, max(a) as longer from z group by 1, 2),
+r as (select b.lang, row_number() over (partition by b.lang order by m.score desc, b.a desc, array_to_string(b.x, ' ')) as rank, array_to_string(b.x, ' ') as phrase, b.a, m.l, m.r, n, m.score::bigint as score
+ from b join t on b.lang = t.lang left join d on d.lang = b.lang and d.x = b.x where longer is null or 100 * longer < 80 * b.a)
+select * from r where rank <= 2000""")
+def op11(spark, sf_dir):
+    from floetrack.llm import collocations
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
