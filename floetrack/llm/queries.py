@@ -154,15 +154,15 @@ with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(tr
 w as (select lang, regexp_extract_all(s, '[^\x20\x09]+') as w from p),
 t as (select lang, sum(len(w))::bigint as n from w group by 1),
 g as (select lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) as x from w, range(1, 5) q(k) where len(w) >= k),
-f as (select lang, k, x, count(*) as a from g group by 1, 2, 3),
-c as (select lang, k, x, a from f where k >= 2 and a >= 30),
-u as (select c.*, j, lf.a as l, rf.a as r, 2000000::hugeint * c.a // (lf.a + rf.a) as score from c, range(1, 4) q(j), f lf, f rf
- where j < c.k and lf.lang = c.lang and lf.x = c.x[1:j] and rf.lang = c.lang and rf.x = c.x[j + 1:]),
-b as (select lang, k, x, a, min({'score': score, 'j': j, 'l': l, 'r': r}) as m from u group by 1, 2, 3, 4),
-z as (select lang, a, unnest([x[i:i + m - 1] for m in range(2, k) for i in range(1, k - m + 2)]) as x from c),
-d as (select lang, x, max(a) as longer from z group by 1, 2),
-r as (select b.lang, row_number() over (partition by b.lang order by m.score desc, b.a desc, array_to_string(b.x, ' ')) as rank, array_to_string(b.x, ' ') as phrase, b.a, m.l, m.r, n, m.score::bigint as score
- from b join t on b.lang = t.lang left join d on d.lang = b.lang and d.x = b.x where longer is null or 100 * longer < 80 * b.a)
+f as materialized (select lang, array_to_string(x, ' ') as s, any_value(x) as x, count(*) as a from g group by 1, 2),
+c as materialized (select lang, len(x) as k, s, x, a from f where len(x) >= 2 and a >= 30),
+v as materialized (select lang, s, a, unnest([{'j': j, 'l': array_to_string(x[1:j], ' '), 'r': array_to_string(x[j + 1:], ' ')} for j in range(1, k)]) as v from c),
+u as (select v.lang, v.s, v.a, v.v.j as j, lf.a as l, rf.a as r, 2000000::hugeint * v.a // (lf.a + rf.a) as score from v join f lf on lf.lang = v.lang and lf.s = v.v.l join f rf on rf.lang = v.lang and rf.s = v.v.r),
+b as (select lang, s, a, min({'score': score, 'j': j, 'l': l, 'r': r}) as m from u group by 1, 2, 3),
+z as (select lang, a, array_to_string(x[i:i + m - 1], ' ') as s from c, range(2, 4) y(m), range(1, 4) q(i) where m < k and i + m - 1 <= k),
+d as (select lang, s, max(a) as longer from z group by 1, 2),
+r as (select b.lang, row_number() over (partition by b.lang order by m.score desc, b.a desc, b.s) as rank, b.s as phrase, b.a, m.l, m.r, n, m.score::bigint as score
+ from b join t on b.lang = t.lang left join d on d.lang = b.lang and d.s = b.s where longer is null or 100 * longer < 80 * b.a)
 select * from r where rank <= 2000""")
 def op11(spark, sf_dir):
     from floetrack.llm import collocations
