@@ -216,21 +216,16 @@ class Growth:
         per_lang = np.array([level.get(g, 0) for g in line.langs] or [0], np.int64)
         t = pad(np.concatenate([[0], per_lang[line.lang_of]])[line.at])
         f, p, i = self.f, self.pair, np.flatnonzero((self.pair[:-1] > 0) & (self.pair[1:] > 0))
-        # triples: those with a bound, those within a quadruple with a bound, those that may absorb a pair
+        # triples: by their own bound, by that of a quadruple that begins or ends with them, or as what may absorb a pair; the choice
+        # depends on the words alone, never on their neighbours, so that a triple is counted everywhere or nowhere
         most = np.minimum(p[i], p[i + 1])
-        best = np.minimum(ratio(most, f[i] + p[i + 1]), ratio(most, p[i] + f[i + 2]))
-        grow = best >= t[i]
+        grow = np.minimum(ratio(most, f[i] + p[i + 1]), ratio(most, p[i] + f[i + 2])) >= t[i]
+        grow |= np.maximum(ratio(most, f[i] + most), ratio(most, most + f[i + 2])) >= t[i]
         for j in (i, i + 1):
             grow |= (ratio(p[j], f[j] + f[j + 1]) >= t[i]) & (100 * most >= absorb * p[j])
-        fits = p[i + 2] > 0
-        four = i[fits]
-        least_part = np.minimum(most[fits], p[four + 2])
-        bound = np.minimum(ratio(least_part, f[four] + least_part), np.minimum(ratio(least_part, p[four] + p[four + 2]), ratio(least_part, least_part + f[four + 3])))
         self.asked = np.zeros(m + 4, bool)
         self.asked[i[grow]] = True
-        hot = four[bound >= t[four]]
-        self.asked[hot] = True
-        self.asked[hot + 1] = True
+        four = i[p[i + 2] > 0]
         self.t, self.four, self.absorb, self.least = t, four, absorb, least
 
     def triples(self):
