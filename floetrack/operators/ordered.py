@@ -2,7 +2,7 @@
 
 Results are the same for every chunk setting, NULL keys and NULL order values included; the setting only decides how a key's
 rows are spread. Keys that fit a task use plain windows: one shuffle. A key that does not is cut into chunks at quantiles of
-its own ordering column (rows that share one value are cut by the next ordering column), every window runs per
+its whole ordering tuple (numbers, times, texts and NULLs alike, ties cut by the next column), every window runs per
 ``(key, chunk)``, and two aids keep the results identical to a window over the whole key:
 
 * ``with_halo`` copies the last / first few rows of the neighbouring chunks into each chunk, so bounded
@@ -10,7 +10,7 @@ its own ordering column (rows that share one value are cut by the next ordering
 * ``with_prefix`` adds what earlier chunks summed up to, so running sums and row numbers continue, plus
   per-key totals. The helper table has one row per key and chunk.
 
-Rows without an ordering value come first, as in a window, in a chunk of their own.
+Rows without an ordering value come first, as in a window.
 """
 import math
 from functools import reduce
@@ -19,11 +19,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from floetrack.functions.geo import micros
+from floetrack.session import materialize
 
 CHUNK = "_chunk"
 HALO = "_halo"
 DAY_US = 86_400_000_000.0
 TASK_ROWS = 4_000_000           # rows of one key a single task may order
+ROW_BYTES = 4                   # inputs below TASK_ROWS of so many bytes are not measured: the plan's size tells
+SAMPLE = 64                     # sampled tuples per chunk
 AUTO = "auto"
 
 
@@ -37,14 +40,13 @@ class Width(float):
 
 
 class Cuts:
-    """Quantile cuts of the keys that are too large for a task: frame (keys, _cuts) and frame (keys, _c1, _ties)."""
+    """Cuts of the keys that are too large for a task: frame (keys, _cuts), cuts being ordered tuples of the columns ``order``."""
 
-    def __init__(self, keys, cuts, ties):
-        self.keys, self.cuts, self.ties = keys, cuts, ties
+    def __init__(self, keys, order, cuts):
+        self.keys, self.order, self.cuts = list(keys), list(order), cuts
 
 
-NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp", "date")
-NO_VALUE = -(1 << 62)           # chunk of the rows without an ordering value
+NO_VALUE = -(1 << 62)           # chunk of the rows without an ordering value, when a width is forced
 MAX_CUTS = 4096
 
 
@@ -55,64 +57,65 @@ def null_join(left, right, cols, how="inner"):
     return left.join(r, on, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def below(cuts, x, n):
+    """How many values of the ordered array ``cuts`` (of ``n``) are at or below ``x``: two short walks instead of one long."""
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
+    heads = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda i: F.get(cuts, i * step))
+    h = F.size(F.filter(heads, lambda c: c <= x))
+    part = F.size(F.filter(F.slice(cuts, (h - 1) * step + 1, step), lambda c: c <= x))
+    return F.when((n == 0) | (h == 0), F.lit(0)).otherwise((h - 1) * step + part).cast("long")
+
+
 def chunk_width(df, keys, order, chunk=AUTO):
-    """How to cut keys: None (plain windows), a width on the ordering column's scale, or quantile cuts of the large keys.
+    """How to cut keys: None (plain windows), a width on the ordering column's scale, or cuts of the large keys.
 
-    ``chunk``: ``auto`` measures the keys with one aggregate (a caller that knows better passes the value of an earlier call);
-    None asks for plain windows, as a streaming frame needs; a number forces a width (days for times, units otherwise).
+    ``chunk``: ``auto`` measures the keys with one aggregate, unless the plan's size shows that no key can be large (a caller
+    that knows better passes the value of an earlier call); None asks for plain windows, as a streaming frame needs; a number
+    forces a width (days for times, units otherwise).
     """
     if chunk is None or isinstance(chunk, (Width, Cuts)):
         return chunk
-    types = dict(df.dtypes)
     if chunk != AUTO:
-        return Width(chunk * DAY_US if types[order[0]].startswith("timestamp") else chunk)
+        return Width(chunk * DAY_US if dict(df.dtypes)[order[0]].startswith("timestamp") else chunk)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= TASK_ROWS * ROW_BYTES:
+        return None
     keys = list(keys)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = sizes.agg(F.max("_n")).first()[0]
     if n is None or n <= TASK_ROWS:
         return None
-    return _cuts(df, keys, order, n, types)
-
-
-def _fractions(n):
-    m = min(MAX_CUTS, math.ceil(2 * n / TASK_ROWS))
-    return F.array(*[F.lit(i / m) for i in range(1, m)]), F.lit(max(10_000, 4 * m))
+    return Cuts(keys, order, _cuts(df, keys, order, sizes.filter(F.col("_n") > TASK_ROWS)))
 
 
-def _cuts(df, keys, order, n, types):
-    parts, accuracy = _fractions(n)
-    pos = _position(df, order[0]).cast("double")
-    big = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(pos, parts, accuracy).alias("_cuts"))
-           .filter(F.col("_n") > TASK_ROWS).select(*keys, F.array_distinct("_cuts").alias("_cuts")))
-    ties = None
-    if len(order) > 1 and types[order[1]].split("(")[0].split("_")[0] in NUMBERS:
-        at = null_join(df, big, keys).withColumn("_c1", _part(pos)).filter(F.col("_c1") % 2 == 1)
-        ties = (at.groupBy(*keys, "_c1").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(_position(df, order[1]).cast("double"), parts, accuracy).alias("_ties"))
-                .filter(F.col("_n") > TASK_ROWS).select(*keys, "_c1", F.array_distinct("_ties").alias("_ties")))
-    return Cuts(keys, big, ties)
+def _tuple(cols):
+    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(cols)])
 
 
-def _part(pos):
-    """Twice the number of cuts below a value, plus one if it is a cut: odd parts hold a single value."""
-    below = F.size(F.filter("_cuts", lambda c: c < pos))
-    return (2 * below + F.array_contains("_cuts", pos).cast("int")).cast("long")
+def _cuts(df, keys, order, big):
+    """Written table of cuts: quantiles of the distinct tuples in a hash sample of each large key (all of them, if few)."""
+    m = F.least(F.lit(MAX_CUTS), F.ceil(2 * F.col("_n") / TASK_ROWS)).cast("int")
+    rows = null_join(df.select(*keys, _tuple(order).alias("_o")), big, keys).withColumn("_m", m)
+    kept = rows.filter(F.pmod(F.xxhash64("_o"), F.lit(1 << 30)) / float(1 << 30) * F.col("_n") <= SAMPLE * F.col("_m"))
+    s = kept.groupBy(*keys, "_m").agg(F.array_sort(F.collect_set("_o")).alias("_s"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_m") - 1)), lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_m")).cast("int")))
+    return materialize(s.select(*keys, F.array_distinct(at).alias("_cuts")))
 
 
 def with_chunk(df, order, width):
-    """Add ``_chunk``; a constant when ``width`` is None."""
+    """Add ``_chunk``; a constant when ``width`` is None. Chunks ascend in the order of the rows, NULLs first."""
     if width is None:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    pos = _position(df, order[0]).cast("double")
     if isinstance(width, Width):
-        c = F.floor(pos / F.lit(float(width))).cast("long")
+        c = F.floor(_position(df, order[0]).cast("double") / F.lit(float(width))).cast("long")
         return df.withColumn(CHUNK, F.coalesce(c, F.lit(NO_VALUE)))
-    out = null_join(df, width.cuts, width.keys, "left").withColumn("_c1", F.coalesce(_part(pos), F.lit(0).cast("long")))
-    tie = F.lit(0)
-    if width.ties is not None:
-        out = null_join(out, width.ties, [*width.keys, "_c1"], "left")
-        own = _position(df, order[1]).cast("double")
-        tie = F.when(F.col("_ties").isNotNull() & own.isNotNull(), 1 + F.size(F.filter("_ties", lambda c: c < own))).otherwise(F.lit(0))
-    c = F.col("_c1") * (2 * MAX_CUTS) + tie
-    return out.withColumn(CHUNK, F.when(pos.isNull() & F.col("_cuts").isNotNull(), F.lit(NO_VALUE)).otherwise(c)).drop("_cuts", "_c1", "_ties")
+    k = min(len(order), len(width.order))   # an operator that orders by fewer columns cuts by these
+    cuts = width.cuts
+    if k < len(width.order):
+        head = F.transform("_cuts", lambda c: F.struct(*[c[f"o{i}"].alias(f"o{i}") for i in range(k)]))
+        cuts = cuts.withColumn("_cuts", F.array_distinct(head))
+    out = null_join(df, cuts, width.keys, "left")
+    c = F.when(F.col("_cuts").isNotNull(), below(F.col("_cuts"), _tuple(order[:k]), F.size("_cuts"))).otherwise(F.lit(0).cast("long"))
+    return out.withColumn(CHUNK, c).drop("_cuts")
 
 
 def window(keys, order, width):
