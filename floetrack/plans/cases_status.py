@@ -5,9 +5,11 @@ from floetrack.functions import risk
 from floetrack.functions.values import rnd
 from floetrack.operators import grids as g
 from floetrack.operators import status as st
+from floetrack.sources import store
 from floetrack.operators.stats import attach
 from floetrack.plans.cases_joins import latest
 from floetrack.plans.registry import case
+from floetrack.plans.scratch import scratch
 
 
 @case("s17_upsert", """
@@ -24,6 +26,21 @@ def s17(v):
     return st.upsert(old, new, k, keep_if_null=("seen",))
 
 
+@case("s17_upsert_store", """
+select coalesce(s.pipeline,t.pipeline) as pipeline, coalesce(s.model,t.model) as model, coalesce(s.metric_name,t.metric_name) as metric_name,
+ case when s.pipeline is not null then s.v else t.v end as v, coalesce(s.seen,t.seen) as seen
+from (select pipeline, model, metric_name, avg(metric_value)::double as v, 'old' as seen from v_metrics where model <> 'model_2' group by 1,2,3) t
+full join (select pipeline, model, metric_name, max(metric_value) as v, case when metric_name='view' then null else 'new' end as seen from v_metrics where model <> 'model_0' group by 1,2,3) s
+on s.pipeline=t.pipeline and s.model=t.model and s.metric_name=t.metric_name""")
+def s17c(v):
+    k = ["pipeline", "model", "metric_name"]
+    at = store.Store(v.spark, f"{scratch(v.spark)}/metrics", k, 16)
+    store.upsert_into(at, v.metrics.filter("model <> 'model_2'").groupBy(*k).agg(F.avg("metric_value").alias("v")).withColumn("seen", F.lit("old")))
+    new = v.metrics.filter("model <> 'model_0'").groupBy(*k).agg(F.max("metric_value").alias("v")).withColumn("seen", F.when(F.col("metric_name") != "view", "new"))
+    store.upsert_into(at, new, keep_if_null=("seen",))
+    return at.read().select(*k, "v", "seen")
+
+
 @case("s17_insert_only", """
 select s_suppkey, s_nationkey from supplier where s_suppkey < 50 union all select s_suppkey, -1 from supplier where s_suppkey >= 50""")
 def s17b(v):

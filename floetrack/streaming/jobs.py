@@ -1,11 +1,11 @@
 """Structured Streaming jobs on arriving observations."""
 import hashlib
-import re
 
 from pyspark.sql import functions as F
 
 from floetrack.config import R_NM
 from floetrack.operators import tracks as tr
+from floetrack.sources import store
 
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass":
               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -16,52 +16,28 @@ def latest_batch_merge(target, batch, key="iceberg_id", time_col="obs_time", tie
     return tr.latest_state(target.unionByName(batch), False, [key], time_col, tie)
 
 
-def _folder(path, version):
-    return f"{path.rstrip('/')}/v{version[0]:012d}-{version[1]}-{version[2]}"
-
-
-def _files(spark, path):
-    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def versions(spark, path):
-    """Complete versions of a table folder, oldest first: (number, run, batch)."""
-    fs, at = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = []
-    for f in fs.listStatus(at) if fs.exists(at) else []:
-        m = re.fullmatch(r"v(\d{12})-(\w+)-(\d+)", f.getPath().getName())
-        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
-            out.append((int(m[1]), m[2], int(m[3])))
-    return sorted(out)
+    """Complete versions of a table kept by ``stream_latest``, oldest first: (number, run, batch)."""
+    return store.versions(spark, path)
 
 
 def read_latest(spark, path):
     """The newest complete version of a table kept by ``stream_latest``."""
-    return spark.read.parquet(_folder(path, versions(spark, path)[-1]))
+    return store.Store(spark, path).read()
 
 
-def stream_latest(stream, path, checkpoint, key="iceberg_id", time_col="obs_time", tie="event_id", trigger=None):
-    """Keep the latest position per key in a table folder with one sub-folder per version; ``read_latest`` reads the newest.
+def stream_latest(stream, path, checkpoint, key="iceberg_id", time_col="obs_time", tie="event_id", trigger=None, buckets=store.BUCKETS):
+    """Keep the latest position per key in a keyed store; ``read_latest`` reads its newest version.
 
-    Every micro-batch is reduced to one row per key, merged with the newest complete version, whoever wrote it, and written
-    as the next one. A version's name holds the batch it came from, so a replayed batch rewrites its own folder from the
-    same predecessor. The version before the newest stays for readers; older ones are removed.
+    Every micro-batch is reduced to one row per key and merged into the buckets of its keys; the others are not touched. The
+    store knows the last batch of each run (a checkpoint), so a replayed batch changes nothing.
     """
     run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def apply(batch, batch_id):
-        spark = batch.sparkSession
         newest = tr.latest_state(batch, False, [key], time_col, tie)
-        have = versions(spark, path)
-        own = [v for v in have if v[1:] == (run, batch_id)]
-        number = own[0][0] if own else max([v[0] for v in have], default=-1) + 1
-        past = [v for v in have if v[0] < number]
-        if past:
-            cur = spark.read.parquet(_folder(path, past[-1]))
-            newest = latest_batch_merge(cur, newest.select(*cur.columns), key, time_col, tie)
-        newest.write.mode("overwrite").parquet(_folder(path, (number, run, batch_id)))
-        for v in past[:-1]:
-            _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(path, v)), True)
+        at = store.Store(batch.sparkSession, path, [key], buckets)
+        at.merge(newest, lambda old, new: latest_batch_merge(old, new, key, time_col, tie), run, batch_id)
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
