@@ -39,22 +39,35 @@ def r01(v):
     return jobs.read_latest(v.spark, f"{out}/t").select("iceberg_id", "event_id", "obs_time")
 
 
-@case("r02_stream_kinematics", """
-select iceberg_id, event_id, round(dt,4)+0.0D as time_diff_hours, round(nm,4)+0.0D as displacement_nm from o_kin""")
-def r02(v):
+def _with_state(v, frame):
+    """Run a stateful stream with the RocksDB provider."""
     key = "spark.sql.streaming.stateStore.providerClass"
     old = v.spark.conf.get(key, None)
     v.spark.conf.set(key, jobs.STATE_CONF[key])
     try:
-        out = _run(v, jobs.stream_kinematics(_tracks(_events(v))))
+        return _run(v, frame())
     finally:
         if old is None:
             v.spark.conf.unset(key)
         else:
             v.spark.conf.set(key, old)
+
+
+@case("r02_stream_kinematics", """
+select iceberg_id, event_id, round(dt,4)+0.0D as time_diff_hours, round(nm,4)+0.0D as displacement_nm from o_kin""")
+def r02(v):
+    out = _with_state(v, lambda: jobs.stream_kinematics(_tracks(_events(v))))
     return out.select("iceberg_id", "event_id", rnd("time_diff_hours", 4).alias("time_diff_hours"), rnd("displacement_nm", 4).alias("displacement_nm"))
 
 
+@case("r02_stream_ordered", """
+select k.iceberg_id, k.event_id, round(dt,4)+0.0D as time_diff_hours, round(nm,4)+0.0D as displacement_nm, false as late
+from o_kin k where k.obs_time <= (select max(obs_time) - interval 1 day from v_tracks)""")
+def r02b(v):
+    out = _with_state(v, lambda: jobs.stream_kinematics_ordered(_tracks(_events(v)), "1 day"))
+    return out.select("iceberg_id", "event_id", rnd("time_diff_hours", 4).alias("time_diff_hours"), rnd("displacement_nm", 4).alias("displacement_nm"), "late")
+
+
 @case("r03_stream_monitor", """
 select w as window_start, w + interval 2 hour as window_end, count(*) as n, round(avg(value),6)+0.0D as mean_value from (
  select value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events) where w + interval 2 hour <= (select max(ts) - interval 1 day from events) group by 1""")

@@ -105,6 +105,80 @@ def stream_kinematics(stream, min_hours=0.05, ttl_hours=None):
             .transformWithStateInPandas(kinematics_processor(min_hours, ttl_hours), KIN_SCHEMA, "append", "processingTime" if ttl_hours else "none"))
 
 
+def ordered_processor(min_hours=0.05):
+    """Stateful processor in event time: fixes wait in a list until the watermark has passed them and leave in order."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Ordered(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.prev = handle.getValueState("prev", "us long, la double, lo double")
+            self.waiting = handle.getListState("waiting", "us long, id long, la double, lo double")
+
+        def frame(self, key, rows, motion, late):
+            import numpy as np
+            import pandas as pd
+            us, ids, la, lo = (np.array([r[i] for r in rows]) for i in range(4))
+            return pd.DataFrame({"iceberg_id": key[0], "obs_time": us.astype("datetime64[us]"), "event_id": ids, "latitude": la, "longitude": lo,
+                                 "time_diff_hours": motion[0], "displacement_nm": motion[1], "speed_knots": motion[2], "bearing_deg": motion[3], "late": late})
+
+        def handleInputRows(self, key, rows, timerValues):
+            import numpy as np
+            passed = timerValues.getCurrentWatermarkInMs()
+            late, first = [], None
+            for pdf in rows:
+                us = pdf["obs_time"].astype("datetime64[us]").astype("int64")
+                new = list(zip(us.tolist(), pdf["event_id"].tolist(), pdf["latitude"].tolist(), pdf["longitude"].tolist()))
+                late += [r for r in new if r[0] // 1000 <= passed]
+                new = [r for r in new if r[0] // 1000 > passed]
+                if new:
+                    self.waiting.appendList(new)
+                    first = min([r[0] for r in new] + ([first] if first is not None else []))
+            if first is not None:
+                self.handle.registerTimer(first // 1000)
+            if late:
+                yield self.frame(key, late, np.full((4, len(late)), np.nan), True)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import numpy as np
+            passed = timerValues.getCurrentWatermarkInMs()
+            rows = list(self.waiting.get()) if self.waiting.exists() else []
+            out = sorted((tuple(r) for r in rows if r[0] // 1000 <= passed), key=lambda r: (r[0], r[1]))
+            rest = [tuple(r) for r in rows if r[0] // 1000 > passed]
+            if not out:
+                return
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest) // 1000)
+            else:
+                self.waiting.clear()
+            us, _, la, lo = (np.array([r[i] for r in out], float) for i in range(4))
+            last = self.prev.get() if self.prev.exists() else None
+            head = [np.array([last[i]], float) for i in (1, 2, 0)] if last else [x[:1] for x in (la, lo, us)]
+            motion = np.array(_motion(*[np.concatenate([h, x[:-1]]) for h, x in zip(head, (la, lo, us))], la, lo, us, min_hours))
+            if not last:
+                motion[:, 0] = np.nan
+            self.prev.update((out[-1][0], out[-1][2], out[-1][3]))
+            yield self.frame(key, out, motion, False)
+
+        def close(self) -> None:
+            pass
+    return Ordered()
+
+
+def stream_kinematics_ordered(stream, delay="1 day", min_hours=0.05, time_col="obs_time"):
+    """Motion since the previous fix per track in event time, whatever the order of arrival. Needs the RocksDB state provider.
+
+    A fix waits until the watermark (the greatest time seen less ``delay``) has passed it; then it leaves in order of time and
+    event id, with the motion a batch over all fixes would give. A fix that arrives behind the watermark is passed on at once,
+    without motion and marked ``late``, so late rows can be counted or sent elsewhere. Fixes without a time are left out.
+    """
+    cols = ["iceberg_id", "obs_time", "event_id", "latitude", "longitude"]
+    # the watermark column is not handed on, or Spark would drop late rows before they can be marked
+    d = _event_time(stream.filter(F.col(time_col).isNotNull()).withColumn("obs_time", F.col(time_col)), time_col).withWatermark("_et", delay).select(*cols)
+    return d.groupBy("iceberg_id").transformWithStateInPandas(ordered_processor(min_hours), KIN_SCHEMA, "append", "EventTime")
+
+
 def _event_time(df, time_col):
     """Watermarks and windows run on a zoned timestamp (session zone UTC)."""
     return df.withColumn("_et", F.col(time_col).cast("timestamp"))
