@@ -38,6 +38,21 @@ def j01b(v):
     return j.env_join(v.tracks, v.grid, ["uo", "t2m"], "x", 1.0).select("event_id", "uo", "t2m", "x_stale")
 
 
+READINGS = "select ts as obs_time, 0.0D as latitude, 0.0D as longitude, avg(value) as sic from events where event_type <> 'click' group by ts"
+
+
+@case("j01_asof_long_axis", f"""
+with g as ({READINGS}), a as (select t.event_id, t.obs_time, g.obs_time as t0, g.sic as v0 from v_tracks t asof left join g on t.obs_time >= g.obs_time),
+b as (select t.event_id, g.obs_time as t1, g.sic as v1 from v_tracks t asof left join g on t.obs_time <= g.obs_time),
+n as (select event_id, obs_time, t0 is not null and (t1 is null or obs_time - t0 <= t1 - obs_time) as low, t0, t1, v0, v1 from a join b using (event_id))
+select event_id, round(case when abs(epoch_us(obs_time) - epoch_us(case when low then t0 else t1 end)) <= 3600000000 then case when low then v0 else v1 end end, 6)+0.0D as sic,
+ round(abs(epoch_us(obs_time) - epoch_us(case when low then t0 else t1 end))/3.6e9D, 2)+0.0D as x_gap_hours from n""")
+def j01_long(v):
+    g = v.sql(READINGS)
+    out = j.env_join(v.tracks, g, ["sic"], "x", 1.0, grid_axes(g, listed=0))    # the times as a table, whatever their number
+    return out.select("event_id", rnd("sic", 6).alias("sic"), "x_gap_hours")
+
+
 @case("j02_env_nearest", "select event_id, uo, vo, u10, v10 from o_env")
 def j02(v):
     return j.env_join(v.tracks, v.grid, ["uo", "vo", "u10", "v10"], "x", None).select("event_id", "uo", "vo", "u10", "v10")
