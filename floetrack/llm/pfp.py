@@ -140,12 +140,12 @@ def repeated(inv, n, owner, times):
     return (np.bincount(inv, times, n) >= 2)[inv]
 
 
-def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32, block_bytes=2 << 20, keep_text=False):
+def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32, block_bytes=2 << 20, keep_text=False, least_words=0):
     """Rows (key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every whole text.
 
     Removed is each byte of a ``length``-byte string that starts in two or more places of the table, the same document
     included, overlapping or not; strings do not cross documents. ``spans``: (begin, end) byte offsets of the removed runs;
-    ``kept``: the remaining text, without characters that lost a byte. NULL texts are empty; repeated rows repeat each other's texts; NULL keys are kept; an
+    ``kept``: the remaining text, without characters that lost a byte. With ``least_words`` a run of fewer words stays. NULL texts are empty; repeated rows repeat each other's texts; NULL keys are kept; an
     empty table gives no rows.
     """
     t = B.write_blocks(docs, key, text, block_bytes=block_bytes)
@@ -194,11 +194,13 @@ def cut_repeats(docs, key="doc_id", text="text", length=400, gram=16, every=32,
             begins = np.unique(np.concatenate([np.flatnonzero(edge == 1), b.starts[:-1][first[:-1] & (b.sizes > 0)]]))
             ends = np.unique(np.concatenate([np.flatnonzero(edge == -1), b.starts[1:][last[1:] & (b.sizes > 0)]]))
             lo, hi = np.searchsorted(begins, b.starts[:-1]), np.searchsorted(begins, b.starts[1:])
-            raw = np.frombuffer(b.data, np.uint8)
             out = [[] for _ in schema]
             for i, (d, a, z) in enumerate(zip(b.ids, b.starts[:-1].tolist(), b.starts[1:].tolist())):
                 own = [{"begin": int(x - a), "end": int(y - a)} for x, y in zip(begins[lo[i]:hi[i]], ends[lo[i]:hi[i]])]
-                kept = raw[a:z][~gone[a:z]].tobytes() if own else b.data[a:z]
+                if least_words:
+                    own = [o for o in own if len(b.data[a + o["begin"]:a + o["end"]].split()) >= least_words]
+                edges = [0, *[x for o in own for x in (o["begin"], o["end"])], z - a]
+                kept = b"".join(b.data[a + x:a + y] for x, y in zip(edges[::2], edges[1::2]))
                 row = [d, z - a, z - a - len(kept), len(own), hashlib.sha256(kept).hexdigest(), own] + [kept.decode(errors="ignore")] * keep_text
                 for c, v in zip(out, row):
                     c.append(v)
