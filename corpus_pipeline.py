@@ -1,16 +1,28 @@
 """Corpus pipeline: language ID, exact de-duplication, near-duplicates, repeated passages, packing.
 
-A row is known within a stage by its doc_id and text, so NULL and repeated doc_ids are kept apart.
+Stages that look at documents by number know a row by its place in the stage's input files, so NULL and repeated doc_ids and
+equal rows are kept apart.
 """
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from floetrack.llm import centroid, exact, jaccard, packing, pfp
 from floetrack.llm.common import crc_mod, written
 
 
-def row_id():
-    return F.xxhash64("doc_id", F.col("text").isNull(), F.coalesce("text", F.lit("")))
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 240  # a repeated passage: so many words at least, in a string of so many bytes
+
+
+def numbered(docs):
+    """Rows with ``__row``: number of the file and position in it, the same however the files are split or read again."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:  # not read from files: written once, numbers and all
+        return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    names = sorted(r[0] for r in rows.select("__file").distinct().collect())  # the list of files, as Spark's driver holds it anyway
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "__number long, __file string")
+    return rows.join(F.broadcast(files), "__file").withColumn("__row", F.shiftleft("__number", 40) + F.col("__at")).drop("__file", "__at", "__number")
 
 
 def language(spark, docs, sf_dir):
@@ -32,19 +44,22 @@ def exact_copies(spark, docs, sf_dir):
 
 def near_copies(spark, docs, sf_dir):
     """One document of each group linked by five-word shingles at a similarity of 0.8 stays: the smallest doc_id."""
-    rows = docs.withColumn("__row", row_id())
+    rows = numbered(docs)
     found = written(jaccard.near_duplicates(rows, key="__row", k=5, percent=80), "near").select("__row", "component_id")
-    ids = rows.select("__row", "doc_id").distinct()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__row")).alias("best")
-    kept = found.distinct().join(ids, "__row").groupBy("component_id").agg(best).select(F.col("best.__row").alias("__row"))
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(best).select(F.col("best.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark, docs, sf_dir):
-    """Cuts every byte of a 400-byte string that occurs twice; a character cut in half is dropped; n_chars follows the text."""
-    rows = docs.withColumn("__row", row_id()).withColumn("__null", F.col("text").isNull())
-    cut = pfp.cut_repeats(rows, key="__row", keep_text=True).select("__row", "n_removed", "kept").dropDuplicates(["__row"])
-    out = rows.drop("text").join(cut, "__row").withColumn("text", F.when(~F.col("__null"), F.col("kept")))
+    """Cuts passages of 50 words or more that repeat, within or across documents; shorter repeats and all other bytes stay.
+
+    A passage is a run of bytes covered by 240-byte strings that occur twice; a character cut in half is dropped; n_chars
+    follows the text. NULL texts stay NULL.
+    """
+    rows = numbered(docs)
+    cut = pfp.cut_repeats(rows, key="__row", length=PASSAGE_BYTES, every=20, keep_text=True, least_words=PASSAGE_WORDS).select("__row", "n_removed", "kept")
+    out = rows.withColumn("__null", F.col("text").isNull()).drop("text").join(cut, "__row").withColumn("text", F.when(~F.col("__null"), F.col("kept")))
     chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(docs.columns)
 
