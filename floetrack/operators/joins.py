@@ -9,7 +9,7 @@ from floetrack.functions import geo
 from floetrack.functions.values import rnd
 from floetrack.operators import ordered as od
 from floetrack.operators.axes import grid_axes
-from floetrack.operators.nearest import depth_of, nearest_join
+from floetrack.operators.nearest import build_index, nearest_join
 from floetrack.operators.stats import attach
 
 AXES = ("obs_time", "latitude", "longitude")
@@ -173,9 +173,16 @@ def match_place(points, point_id, places, km=5.0, levels=None):
     return hit.filter(F.col("place_km") <= km).drop("site_lat", "site_lon", "_rank")
 
 
-def nearest_navigable(points, point_id, grid, axes=None, window=30.0, max_km=None, levels=None):
+def sea_index(grid, levels=None, folder=None):
+    """Site index of the grid's sea cells, for ``nearest_navigable`` and ``resolve_endpoints``."""
+    sea = grid.filter(~F.col("is_land")).select(F.col("latitude").alias("_cla"), F.col("longitude").alias("_clo"))
+    return build_index(sea, "_cla", "_clo", ["_cla", "_clo"], levels=levels, folder=folder)
+
+
+def nearest_navigable(points, point_id, grid, axes=None, window=30.0, max_km=None, levels=None, index=None):
     """Nearest non-land grid cell of each point: the point's own cell (0 km), else within a linear longitude
-    window, else within the wrapped window. Points without one get NULLs."""
+    window, else within the wrapped window. Points without one get NULLs. ``index``: stored index of the sea cells
+    (``sea_index``), else one is built."""
     ax = axes or grid_axes(grid, ("latitude", "longitude"))
     la, lo = ax["latitude"], ax["longitude"]
     p = points.select(point_id, geo.clamp("latitude", la.values[0], la.values[-1]).alias("latitude"),
@@ -187,40 +194,29 @@ def nearest_navigable(points, point_id, grid, axes=None, window=30.0, max_km=Non
     here = own.filter(~F.coalesce("is_land", F.lit(True))).select(      # a cell the grid lacks is not known to be sea
         point_id, F.col("_gla").alias("nav_lat"), F.col("_glo").alias("nav_lon"), F.lit(0.0).alias("nav_km"))
     rest = own.filter(F.coalesce("is_land", F.lit(True))).withColumn("_glo", F.coalesce("_glo", "longitude"))
-    sea = grid.filter(~F.col("is_land")).select(F.col("latitude").alias("_cla"), F.col("longitude").alias("_clo"))
-    levels = levels or depth_of(sea, "_cla", "_clo")
+    index = index or sea_index(grid, levels)
     span = max(1, int(round(window / lo.step))) * lo.step
-    rest = (rest.withColumn("_wlo", F.col("_glo") - (span + 1e-9)).withColumn("_whi", F.col("_glo") + (span + 1e-9)))
-
-    def look(q):
-        r = nearest_join(q, point_id, "latitude", "longitude", sea, "_cla", "_clo", ["_cla", "_clo"],
-                         dist="nav_km", window=("_wlo", "_whi"), levels=levels)
-        r = r.select(point_id, F.col("_cla").alias("nav_lat"), F.col("_clo").alias("nav_lon"), "nav_km")
-        return r.filter(F.col("nav_km") <= max_km) if max_km is not None else r
-    first = look(rest)
-    left = rest.join(first.select(point_id), point_id, "left_anti")
-    wrapped = F.array(
-        F.struct((F.col("longitude") - window).alias("lo"), (F.col("longitude") + window).alias("hi")),
-        F.struct((F.col("longitude") - window + 360.0).alias("lo"), F.lit(400.0).alias("hi")),
-        F.struct(F.lit(-400.0).alias("lo"), (F.col("longitude") + window - 360.0).alias("hi")))
-    q2 = left.drop("_wlo", "_whi").select("*", F.posexplode(wrapped).alias("_k", "_w"))
-    q2 = q2.select(F.concat_ws("|", F.col(point_id).cast("string"), F.col("_k").cast("string")).alias("_q2"), point_id,
-                   "latitude", "longitude", F.col("_w.lo").alias("_wlo"), F.col("_w.hi").alias("_whi"))
-    r2 = nearest_join(q2, "_q2", "latitude", "longitude", sea, "_cla", "_clo", ["_cla", "_clo"],
-                      dist="nav_km", window=("_wlo", "_whi"), levels=levels)
+    # the linear window and the three pieces of the wrapped one in one walk; a hit in the first settles a point
+    lon, own = F.col("longitude"), F.col("_glo")
+    looks = [(own - (span + 1e-9), own + (span + 1e-9)), (lon - window, lon + window), (lon - window + 360.0, F.lit(400.0)),
+             (F.lit(-400.0), lon + window - 360.0)]
+    q = rest.select(point_id, "latitude", "longitude", F.posexplode(F.array(
+        *[F.struct(a.alias("lo"), z.alias("hi")) for a, z in looks])).alias("_k", "_w"))
+    q = q.select(F.struct(point_id, "_k").alias("_q"), "_k", "latitude", "longitude", F.col("_w.lo").alias("_wlo"), F.col("_w.hi").alias("_whi"))
+    hit = index.nearest(q, "_q", "latitude", "longitude", window=("_wlo", "_whi"), dist="nav_km", group="_k")
     if max_km is not None:
-        r2 = r2.filter(F.col("nav_km") <= max_km)
-    r2 = (r2.join(q2.select("_q2", point_id), "_q2").groupBy(point_id)
-          .agg(F.min_by(F.struct("_cla", "_clo", "nav_km"), F.struct(F.round("nav_km", 6), "_cla", "_clo")).alias("_m"))
-          .select(point_id, F.col("_m._cla").alias("nav_lat"), F.col("_m._clo").alias("nav_lon"), F.col("_m.nav_km").alias("nav_km")))
-    found = here.unionByName(first).unionByName(r2)
+        hit = hit.filter(F.col("nav_km") <= max_km)
+    best = F.min_by(F.struct("_cla", "_clo", "nav_km"), F.struct(F.col("_q._k") > 0, F.round("nav_km", 6), "_cla", "_clo"))
+    near = (hit.groupBy(F.col(f"_q.{point_id}").alias(point_id)).agg(best.alias("_m"))
+            .select(point_id, F.col("_m._cla").alias("nav_lat"), F.col("_m._clo").alias("nav_lon"), F.col("_m.nav_km").alias("nav_km")))
+    found = here.unionByName(near)
     return points.join(found, point_id, "left")
 
 
-def resolve_endpoints(points, point_id, grid, places, max_km=100.0, axes=None, levels=None):
+def resolve_endpoints(points, point_id, grid, places, max_km=100.0, axes=None, levels=None, index=None):
     """Routing endpoint of each point: its cell when navigable, a matched place's approach cell when on land, else rejected."""
     ax = axes or grid_axes(grid, ("latitude", "longitude"))
-    nav = nearest_navigable(points, point_id, grid, ax, levels=levels)
+    nav = nearest_navigable(points, point_id, grid, ax, levels=levels, index=index)
     place = match_place(points, point_id, places, levels=levels)
     out = nav.join(place, point_id, "left")
     sea = F.coalesce(F.col("nav_km") == 0.0, F.lit(False))

@@ -68,58 +68,104 @@ def pyramid_depth(positions, metric="sphere"):
     return level, n
 
 
-def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(), metric="sphere",
-                 levels=None, window=None, dist="dist_km", digits=6, radius=None):
-    """Nearest site of every query: ``qid``, site position, ``ties`` and ``payload`` columns, ``dist``.
-
-    ``qid`` may repeat (the sample points of a route): then the nearest site over all rows of the id is found.
+def build_index(sites, slat, slon, ties, payload=(), metric="sphere", levels=None, folder=None):
+    """Write the pyramid over ``sites`` once; every ``nearest`` of the returned ``SiteIndex`` reads it.
 
-    Distances equal to ``digits`` decimals count as ties, resolved by the ``ties`` columns in ascending order.
-    ``window=(lo, hi)`` names query columns bounding the site longitude. Queries without any admissible site
-    return no row. ``metric`` is ``sphere`` (kilometres) or ``plane`` (degrees).
+    Sites sharing a position are one row, the first by the ``ties`` columns. With ``folder`` (shared by all executors) the
+    index stays there for ``open_index``; it exists once its last file, the description, is written. Otherwise it lives with
+    the other tables of the session's shared folder.
     """
     ties, payload = list(ties), list(payload)
-    keep = [c for c in dict.fromkeys(ties + payload)]
+    keep = list(dict.fromkeys(ties + payload))
+    put = (lambda df, name: _stored(df, f"{folder}/{name}")) if folder else (lambda df, name: materialize(df))
     s = sites.select(F.col(slat).cast("double").alias("_lat"), F.col(slon).cast("double").alias("_lon"),
                      *[F.col(c).alias(f"_p_{c}") for c in keep]).filter("_lat is not null and _lon is not null")
-    pos = s.groupBy("_lat", "_lon").agg(
-        F.min_by(F.struct(*[f"_p_{c}" for c in keep]), F.struct(*[f"_p_{c}" for c in ties])).alias("_p"))
-    # one row per distinct site position; every level below reads it, so its lineage is cut here
-    pos = materialize(pos)
+    pos = put(s.groupBy("_lat", "_lon").agg(
+        F.min_by(F.struct(*[f"_p_{c}" for c in keep]), F.struct(*[f"_p_{c}" for c in ties])).alias("_p")), "sites")
     if levels is None:
         levels, n = pyramid_depth(pos, metric)
     else:
         n = pos.count()
-    if n <= RANKED_SITES and digits <= 6:      # both ways order ties by the tie columns, then by position
+    if ranked := n <= RANKED_SITES:      # counted, few: one window; with and without it ties go by the tie columns, then by position
         order = ", ".join([f"_p._p_{c}" for c in ties] + ["_lat", "_lon"])
-        pos = pos.withColumn("_rank", F.expr(f"row_number() over (order by {order}) - 1L"))     # counted, few
-    else:
-        n = None
+        pos = put(pos.withColumn("_rank", F.expr(f"row_number() over (order by {order}) - 1L")), "ranked")
+    # boxes of all levels in one pass: a leaf's box counts for each of its ancestors
+    leaf = _placed(pos, metric, levels).groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}(_{n[3:]}) as {n}") for n, f in LOHI])
+    at = lambda k: _node(*[f"shiftright(_c{c}, {2 * (levels - k)})" for c in "xyz"], k) if k else "0L"
+    kin = ", ".join(f"struct({k} as _level, {at(k - 1)} as _at, {at(k)} as _node)" for k in range(1, levels + 1))
+    boxes = (leaf.selectExpr(f"explode(array({kin})) as _b", *[n for n, _ in LOHI]).selectExpr("_b.*", *[n for n, _ in LOHI])
+             .groupBy("_level", "_at", "_node").agg(*[F.expr(f"{f}({n}) as {n}") for n, f in LOHI]).sortWithinPartitions("_level"))
+    boxes = put(boxes, "boxes")
+    if folder:
+        about = [(levels, n, ranked, metric, ties, keep)]
+        sites.sparkSession.createDataFrame(about, ABOUT).coalesce(1).write.parquet(f"{folder}/about")
+    return SiteIndex(pos, boxes, levels, ranked, metric, ties, keep)
+
+
+ABOUT = "levels int, sites long, ranked boolean, metric string, ties array<string>, columns array<string>"
+LOHI = [(f"_{n}{c}", f) for c in ("x", "y", "z", "lon") for n, f in (("lo", "min"), ("hi", "max"))]
+
+
+def _stored(df, path):
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _placed(pos, metric, levels):
+    """Positions with their coordinates and finest cells."""
     x, y, z = _axes("_lat", "_lon", metric)
-    pos = pos.selectExpr("*", f"{x} as _x", f"{y} as _y", f"{z} as _z").selectExpr(
+    return pos.selectExpr("*", f"{x} as _x", f"{y} as _y", f"{z} as _z").selectExpr(
         "*", *[f"{_cell(f'_{c}', levels)} as _c{c}" for c in "xyz"])
 
-    # boxes per level, finest first: the bounds of a cell come from the bounds of its children
-    lohi = [(f"_{n}{c}", f) for c in ("x", "y", "z", "lon") for n, f in (("lo", "min"), ("hi", "max"))]
-    node = pos.groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}(_{n[3:]}) as {n}") for n, f in lohi])
-    boxes = []
-    for level in range(levels, 0, -1):
-        up = [f"cast(floor(_c{c}/4) as bigint)" for c in "xyz"]
-        parent = "0L" if level == 1 else _node(*up, level - 1)
-        boxes.append(node.selectExpr(f"{parent} as _at", f"{_node('_cx', '_cy', '_cz', level)} as _node", *[n for n, _ in lohi]))
-        if level > 1:
-            node = (node.selectExpr(*[f"{u} as _c{c}" for u, c in zip(up, "xyz")], *[n for n, _ in lohi])
-                    .groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}({n}) as {n}") for n, f in lohi]))
-    boxes.reverse()
+
+def open_index(spark, folder):
+    """Index written by ``build_index(..., folder=folder)``."""
+    a = spark.read.schema(ABOUT).parquet(f"{folder}/about").first()      # one row
+    return SiteIndex(spark.read.parquet(f"{folder}/{'ranked' if a['ranked'] else 'sites'}"), spark.read.parquet(f"{folder}/boxes"),
+                     a["levels"], a["ranked"], a["metric"], a["ties"], a["columns"])
+
+
+def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(), metric="sphere",
+                 levels=None, window=None, dist="dist_km", digits=6, radius=None):
+    """Nearest site of every query over an index built for this one join; see ``SiteIndex.nearest``."""
+    return build_index(sites, slat, slon, ties, payload, metric, levels).nearest(queries, qid, qlat, qlon, window, dist, digits, radius)
+
+
+class SiteIndex:
+    """Stored pyramid: one row per site position, the boxes of all levels, depth, metric, tie order and carried columns."""
+
+    def __init__(self, positions, boxes, levels, ranked, metric, ties, columns):
+        self.positions, self.boxes, self.levels, self.ranked = positions, boxes, levels, ranked
+        self.metric, self.ties, self.columns = metric, list(ties), list(columns)
+
+    def nearest(self, queries, qid, qlat, qlon, window=None, dist="dist_km", digits=6, radius=None, group=None):
+        """Nearest site of every query: ``qid``, site position, the index's tie and payload columns, ``dist``.
+
+        ``qid`` may repeat (the sample points of a route): then the nearest site over all rows of the id is found.
+
+        Distances equal to ``digits`` decimals count as ties, resolved by the index's tie columns in ascending order.
+        ``window=(lo, hi)`` names query columns bounding the site longitude; ``group`` an integer column from 0 to 3 that
+        keeps queries of unlike windows in cells of their own, so that each cell's bounds stay tight. Queries without any
+        admissible site return no row. Metric ``sphere`` is in kilometres, ``plane`` in degrees.
+        """
+        return _walk(self, queries, qid, qlat, qlon, window, dist, digits, radius, group)
+
+
+def _walk(index, queries, qid, qlat, qlon, window, dist, digits, radius, group):
+    metric, levels, keep, ties = index.metric, index.levels, index.columns, index.ties
+    pos = _placed(index.positions, metric, levels)
+    n = True if index.ranked and digits <= 6 else None
+    boxes = [index.boxes.filter(F.col("_level") == k).drop("_level") for k in range(1, levels + 1)]
 
     # queries are grouped into small cells; the walk compares boxes of queries with boxes of sites
     fine = min(MAX_LEVEL, levels + 1)
     q = (queries.select(F.col(qid).alias("_qid"), F.col(qlat).cast("double").alias("_qlat"), F.col(qlon).cast("double").alias("_qlon"),
-                        *([F.col(window[0]).alias("_wlo"), F.col(window[1]).alias("_whi")] if window else []))
+                        *([F.col(window[0]).alias("_wlo"), F.col(window[1]).alias("_whi")] if window else []),
+                        F.col(group).cast("long").alias("_g") if group else F.lit(0).cast("long").alias("_g"))
          .filter("_qlat is not null and _qlon is not null"))
-    base = q.columns
+    base = [c for c in q.columns if c != "_g"]
     q = (q.selectExpr("*", *[f"{e} as _q{c}" for e, c in zip(_axes("_qlat", "_qlon", metric), "xyz")])
-         .selectExpr("*", _node(*[_cell(f"_q{c}", fine) for c in "xyz"], fine) + " as _k"))
+         .selectExpr("*", f"_g*{2 ** 60}L+" + _node(*[_cell(f"_q{c}", fine) for c in "xyz"], fine) + " as _k"))
     bounds = [f"{f}(_q{c}) as _q{n}{c}" for c in "xyz" for n, f in (("lo", "min"), ("hi", "max"))]
     if window:
         bounds += ["min(_wlo) as _wlo0", "max(_wlo) as _wlo1", "min(_whi) as _whi0", "max(_whi) as _whi1"]
