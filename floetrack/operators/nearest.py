@@ -88,7 +88,8 @@ def build_index(sites, slat, slon, ties, payload=(), metric="sphere", levels=Non
         n = pos.count()
     if ranked := n <= RANKED_SITES:      # counted, few: one window; with and without it ties go by the tie columns, then by position
         order = ", ".join([f"_p._p_{c}" for c in ties] + ["_lat", "_lon"])
-        pos = put(pos.withColumn("_rank", F.expr(f"row_number() over (order by {order}) - 1L")), "ranked")
+        pos = pos.withColumn("_rank", F.expr(f"row_number() over (order by {order}) - 1L"))
+        pos = put(pos, "ranked") if folder else pos
     # boxes of all levels in one pass: a leaf's box counts for each of its ancestors
     leaf = _placed(pos, metric, levels).groupBy("_cx", "_cy", "_cz").agg(*[F.expr(f"{f}(_{n[3:]}) as {n}") for n, f in LOHI])
     at = lambda k: _node(*[f"shiftright(_c{c}, {2 * (levels - k)})" for c in "xyz"], k) if k else "0L"
