@@ -54,76 +54,89 @@ def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="v
             .drop("_p", "_dt", f"{u}_mean", f"{v}_mean"))
 
 
-def window_tails(df, seq_len=5, env=("uo", "vo", "u10", "v10"), key=tr.KEY, order=tr.ORDER, chunk=od.AUTO):
+def window_tails(df, seq_len=5, env=("uo", "vo", "u10", "v10"), key=tr.KEY, order=tr.ORDER, chunk=od.AUTO, before=0):
     """The last ``seq_len`` rows of every track as one array with trailing environment means: one small row per track.
 
+    ``before`` more positions are kept in front of the window; they do not enter the means.
+
     Only the tail of each chunk and then of each track is collected, never the whole track.
     """
     cols = ["x_km", "y_km", "latitude", "longitude", "length_km", "width_km", "origin_lat", "origin_lon", *env]
     rn = od.row_numbers(df.select(*key, *order, *cols), key, order, od.chunk_width(df, key, order, chunk), "_rn", "_n")
-    tail = rn.filter(F.col("_rn") > F.col("_n") - seq_len)
+    tail = rn.filter(F.col("_rn") > F.col("_n") - (seq_len + before))
+    own = F.col("_rn") > F.col("_n") - seq_len
     return tail.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct(*order, "x_km", "y_km"))).alias("tail"),
         F.max_by("length_km", "_rn").alias("length_km"), F.max_by("width_km", "_rn").alias("width_km"),
         F.max_by("latitude", "_rn").alias("latitude"), F.max_by("longitude", "_rn").alias("longitude"),
         F.max("origin_lat").alias("origin_lat"), F.max("origin_lon").alias("origin_lon"), F.max("_n").alias("n_obs"),
-        *[F.avg(c).alias(c) for c in env])
-
-
-RECURSIVE_SCHEMA = ("iceberg_id string, step int, forecast_time timestamp_ntz, hours_ahead double, latitude double, "
-                    "longitude double, x_km double, y_km double, step_km double")
+        *[F.avg(F.when(own, F.col(c))).alias(c) for c in env])
 
 
 def recursive_forecast(df, predictor, steps, seq_len=5, key="iceberg_id", env=("uo", "vo", "u10", "v10"), dt_hours=None,
-                       chunk=od.AUTO):
+                       chunk=od.AUTO, scale=None):
     """Feed each prediction back as the newest row of the window, the environment held at its trailing mean.
 
-    ``df`` has tangent-plane columns; ``predictor(window: ndarray[T, F]) -> (x, y)`` in km is called once per step and
-    track. The window features are x, y, vx, vy, the environment means, length, width, sin and cos of the day of year.
-    Tracks are reduced to their last ``seq_len`` rows first, so a task only ever holds tails.
+    ``df`` has tangent-plane columns; ``predictor(windows: ndarray[N, T, F]) -> ndarray[N, 2]`` gives the next x and y in km of
+    N tracks and is called once per step and batch (tracks shorter than ``seq_len`` form batches of their own T). The window
+    features are x, y, vx, vy, the environment means, length, width, sin and cos of the day of year; ``scale=(mean, std)``
+    standardises them first. The velocity of a track's first fix is zero; a track without a usable median step takes six
+    hours; missing features are NaN; a track whose key is NULL is a track. Tracks are reduced to the window and one fix
+    before it first, so a task only ever holds tails.
     """
-    import math
-    tails = window_tails(df, seq_len, env, [key], chunk=chunk)
-    med = tr.median_step_hours(df, [key], chunk=chunk) if dt_hours is None else None
-    tails = tails.join(med, key, "left") if med is not None else tails.withColumn("median_dt_hours", F.lit(float(dt_hours)))
-    tails = tails.withColumn("tail_us", F.transform("tail", lambda r: geo.micros(r["obs_time"])))
-    tails = tails.withColumn("tail_x", F.transform("tail", lambda r: r["x_km"])).withColumn("tail_y", F.transform("tail", lambda r: r["y_km"])).drop("tail")
-    kpd = geo.km_per_degree()
-    env = list(env)
+    tails = window_tails(df, seq_len, env, [key], chunk=chunk, before=1)
+    if dt_hours is None:
+        med = tr.median_step_hours(df, [key], chunk=chunk).withColumnRenamed(key, "_key")
+        tails = tails.join(med, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    else:
+        tails = tails.withColumn("median_dt_hours", F.lit(float(dt_hours)))
+    part = lambda f: F.transform("tail", f)
+    tails = tails.select(key, part(lambda r: geo.micros(r["obs_time"])).alias("ts"), part(lambda r: r["x_km"]).alias("xs"),
+                         part(lambda r: r["y_km"]).alias("ys"), *env, "length_km", "width_km", "origin_lat", "origin_lon", "median_dt_hours")
+    fixed = [*env, "length_km", "width_km"]
 
     def run(batches):
-        import numpy as np
         import pandas as pd
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                ts, xs, ys = list(r.tail_us), list(r.tail_x), list(r.tail_y)
-                dt = r.median_dt_hours if r.median_dt_hours and r.median_dt_hours > 0 else 6.0
-                kx = kpd * math.cos(math.radians(r.origin_lat))
-                fixed = [getattr(r, c) for c in env] + [r.length_km, r.width_km]
-                for k in range(1, steps + 1):
-                    block = []
-                    for i in range(max(0, len(xs) - seq_len), len(xs)):
-                        h = (ts[i] - ts[i - 1]) / 3.6e9 if i else 0.0
-                        vx = (xs[i] - xs[i - 1]) / max(h, 1e-9) if i else 0.0
-                        vy = (ys[i] - ys[i - 1]) / max(h, 1e-9) if i else 0.0
-                        doy = pd.Timestamp(ts[i], unit="us").dayofyear
-                        a = 2 * math.pi * (doy - 1) / 366.0
-                        block.append([xs[i], ys[i], vx, vy, *fixed, (math.sin(a) + 1) / 2, (math.cos(a) + 1) / 2])
-                    x, y = (float(c) for c in predictor(np.asarray(block, dtype=float)))
-                    px, py = xs[-1], ys[-1]
-                    ts.append(ts[-1] + int(dt * 3.6e9)); xs.append(x); ys.append(y)
-                    lat, lon = r.origin_lat + y / kpd, (r.origin_lon + x / kx + 180.0) % 360.0 - 180.0
-                    la0, lo0 = math.radians(r.origin_lat + py / kpd), math.radians(r.origin_lon + px / kx)
-                    la1, lo1 = math.radians(lat), math.radians(lon)
-                    a = math.sin((la1 - la0) / 2) ** 2 + math.cos(la0) * math.cos(la1) * math.sin((lo1 - lo0) / 2) ** 2
-                    rows.append((getattr(r, key), k, pd.Timestamp(ts[-1], unit="us"), round(k * dt, 3), lat, lon, x, y,
-                                 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, max(0.0, a))))))
-            yield pd.DataFrame(rows, columns=["iceberg_id", "step", "forecast_time", "hours_ahead", "latitude", "longitude",
-                                              "x_km", "y_km", "step_km"])
-
-    cols = [key, "tail_us", "tail_x", "tail_y", "length_km", "width_km", "origin_lat", "origin_lon", "median_dt_hours", *env]
-    return tails.select(*cols).mapInPandas(run, RECURSIVE_SCHEMA)
+            for _, same in pdf.groupby(pdf["ts"].map(len)):
+                yield from (pd.DataFrame(step) for step in _steps(same, predictor, steps, seq_len, key, fixed, scale))
+
+    out = tails.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, step int, forecast_time timestamp_ntz, hours_ahead double, "
+                                 "x_km double, y_km double, _px double, _py double, origin_lat double, origin_lon double")
+    at = lambda x, y: geo.from_plane(x, y, "origin_lat", "origin_lon")
+    out = out.withColumn("_p", at("x_km", "y_km")).withColumn("_q", at("_px", "_py"))
+    return out.select(key, "step", "forecast_time", "hours_ahead", F.col("_p.lat").alias("latitude"), geo.wrap_lon(F.col("_p.lon")).alias("longitude"),
+                      "x_km", "y_km", geo.haversine("_q.lat", "_q.lon", "_p.lat", "_p.lon").alias("step_km"))
+
+
+def _steps(tails, predictor, steps, seq_len, key, fixed, scale):
+    """Columns of every step of tracks whose tails have one length."""
+    import numpy as np
+    t, x, y = (np.stack(tails[c].to_list()) for c in ("ts", "xs", "ys"))
+    t, x, y = t.astype(np.int64), x.astype(float), y.astype(float)
+    dt = tails["median_dt_hours"].to_numpy(float)
+    dt = np.where(dt > 0, dt, 6.0)
+    still = tails[fixed].to_numpy(float)
+    for k in range(1, steps + 1):
+        w = min(seq_len, max(1, t.shape[1]))
+        back = lambda a: a[:, -w - 1:-1] if a.shape[1] > w else np.concatenate([a[:, :1], a[:, :-1]], axis=1)
+        hours = np.maximum((t[:, -w:] - back(t)) / 3.6e9, 1e-9)
+        day = t[:, -w:].astype("datetime64[us]").astype("datetime64[D]")
+        angle = 2 * np.pi * (day - day.astype("datetime64[Y]").astype("datetime64[D]")).astype(float) / 366.0
+        block = np.concatenate([
+            np.stack([x[:, -w:], y[:, -w:], (x[:, -w:] - back(x)) / hours, (y[:, -w:] - back(y)) / hours], axis=-1),
+            np.repeat(still[:, None, :], w, axis=1),
+            np.stack([(np.sin(angle) + 1) / 2, (np.cos(angle) + 1) / 2], axis=-1)], axis=-1)
+        if scale is not None:
+            block = (block - np.asarray(scale[0], float)) / np.asarray(scale[1], float)
+        to = np.asarray(predictor(block), dtype=float)
+        if to.shape != (len(tails), 2):
+            raise ValueError(f"predictor gave {to.shape} for {len(tails)} windows, (N, 2) is asked for")
+        t = np.concatenate([t, t[:, -1:] + (dt * 3.6e9).astype(np.int64)[:, None]], axis=1)
+        x, y = np.concatenate([x, to[:, :1]], axis=1), np.concatenate([y, to[:, 1:]], axis=1)
+        yield {key: tails[key].to_numpy(), "step": np.full(len(tails), k, np.int32), "forecast_time": t[:, -1].astype("datetime64[us]"),
+               "hours_ahead": np.round(k * dt, 3), "x_km": x[:, -1], "y_km": y[:, -1], "_px": x[:, -2], "_py": y[:, -2],
+               "origin_lat": tails["origin_lat"].to_numpy(), "origin_lon": tails["origin_lon"].to_numpy()}
 
 
 def zero_baseline(df):

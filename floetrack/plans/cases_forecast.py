@@ -67,16 +67,32 @@ select iceberg_id, cast(k as int) as step, obs_time + to_microseconds(cast(k*m*3
  round(lat_o + (y+vy*6D*g)/(pi()*6371.0088D/180D),6)+0.0D as latitude
 from (select *, case k when 1 then 1D when 2 then 1+q when 3 then 1+q+q*q else 1+q+q*q+q*q*q end as g from o_tail, (select unnest([1,2,3,4]) as k))""")
 def m04(v):
-    def advance(window):
+    def advance(windows):
         # constant-velocity predictor: last position plus the last velocity over six hours
-        x, y, vx, vy = window[-1][:4]
-        return x + vx * 6.0, y + vy * 6.0
+        return windows[:, -1, :2] + windows[:, -1, 2:4] * 6.0
     d, width = _env_tracks(v)
     out = fc.recursive_forecast(d, advance, 4, chunk=width)
     return out.select("iceberg_id", "step", "forecast_time", rnd("hours_ahead", 3).alias("hours_ahead"), rnd("x_km", 4).alias("x_km"),
                       rnd("latitude", 6).alias("latitude"))
 
 
+@case("x02_window_predictor", """
+with v as (select p.*, coalesce((x-px)/h,0D) as vx, coalesce((y-py)/h,0D) as vy from (
+ select *, lag(x) over w as px, lag(y) over w as py, (epoch_us(obs_time)-epoch_us(t0))/3.6e9D as h from o_plane window w as (partition by iceberg_id order by obs_time, event_id)) p),
+s as (select iceberg_id, m, max_by(x,rn) as x, max_by(y,rn) as y, sum(vx) filter (rn>n-5) as sx, sum(vy) filter (rn>n-5) as sy, count(*) filter (rn>n-5) as c,
+ coalesce(sum(vx) filter (rn>n-4),0D) as zx, coalesce(sum(vy) filter (rn>n-4),0D) as zy, count(*) filter (rn>n-4) as b from v join (select iceberg_id, m from o_tail) using(iceberg_id) group by 1,2),
+a as (select *, x+6D*sx/c as x1, y+6D*sy/c as y1 from s),
+z as (select *, x1+6D*(zx+(x1-x)/m)/(b+1) as x2, y1+6D*(zy+(y1-y)/m)/(b+1) as y2 from a)
+select iceberg_id, cast(k as int) as step, round(k*m,3)+0.0D as hours_ahead, round(if(k=1,x1,x2),4)+0.0D as x_km, round(if(k=1,y1,y2),4)+0.0D as y_km from z, (select unnest([1,2]) as k)""")
+def x02(v):
+    def mean_drift(windows):
+        # last position plus the mean velocity of the whole window over six hours
+        return windows[:, -1, :2] + windows[:, :, 2:4].mean(axis=1) * 6.0
+    d, width = _env_tracks(v)
+    out = fc.recursive_forecast(d, mean_drift, 2, chunk=width)
+    return out.select("iceberg_id", "step", rnd("hours_ahead", 3).alias("hours_ahead"), rnd("x_km", 4).alias("x_km"), rnd("y_km", 4).alias("y_km"))
+
+
 @case("m05_track_forest")
 def m05(v):
     d = tr.span_split(tr.drift_features(v.tracks))
