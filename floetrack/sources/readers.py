@@ -97,14 +97,16 @@ def read_tracks_parquet(spark, path):
 
 
 def read_tracks(spark, path, fmt=None):
-    """Read tracks by suffix; a ``.json`` holding a FeatureCollection is read as GeoJSON."""
+    """Read tracks by suffix; FeatureCollections under a ``.json`` path are read as GeoJSON, record arrays beside them as records."""
     fmt = fmt or FORMATS.get(os.path.splitext(path)[1].lower())
     if fmt is None:
         raise ValueError(f"unknown track format: {path}")
     if fmt == "json":
         docs = spark.read.schema("features string").option("multiLine", True).json(path)
-        is_geo = not docs.filter("features is not null").isEmpty()
-        fmt = "geojson" if is_geo else "json"
+        kinds = docs.agg(F.max(F.col("features").isNotNull()).alias("geo"), F.max(F.col("features").isNull()).alias("records")).first()
+        if kinds["geo"] and kinds["records"]:      # each reader passes over the documents of the other kind: they hold no time there
+            return read_tracks_json(spark, path).unionByName(read_tracks_geojson(spark, path), allowMissingColumns=True)
+        fmt = "geojson" if kinds["geo"] else "json"
     return {"csv": read_tracks_csv, "geojson": read_tracks_geojson, "json": read_tracks_json,
             "parquet": read_tracks_parquet}[fmt](spark, path)
 
