@@ -22,15 +22,13 @@ select concat('B', user_id) as iceberg_id, ts as timestamp, -60.5D as latitude,
 def s02(v):
     out = scratch(v.spark) + "/tracks.geojson"
     e = v.table("events")
-    # one document per user: a FeatureCollection of that user's fixes
     feat = F.struct(F.lit("Feature").alias("type"),
                     F.struct(F.concat(F.lit("B"), "user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"),
                              (F.col("event_id") % 40).cast("string").alias("length_km")).alias("properties"),
                     F.struct(F.when(F.col("event_id") % 13 != 0, F.array((F.col("user_id") % 180).cast("double"), F.lit(-60.5))).alias("coordinates")).alias("geometry"))
     doc = e.withColumn("part", F.floor(F.col("event_id") / 500)).groupBy("part").agg(F.collect_list(feat).alias("features"))     # 500 per document
     doc.select(F.lit("FeatureCollection").alias("type"), "features").repartition(4).write.option("ignoreNullFields", True).json(out + "/lines")
-    docs = v.spark.read.schema(rd.GEOJSON).json(out + "/lines")
-    return rd.tracks_from_features(docs).select("iceberg_id", "timestamp", "latitude", "longitude", rnd("length_nm", 6).alias("length_nm"))
+    return rd.read_tracks_geojson(v.spark, out + "/lines", split_bytes=1 << 20).select("iceberg_id", "timestamp", "latitude", "longitude", rnd("length_nm", 6).alias("length_nm"))
 
 
 @case("s03_read_json", "select iceberg_id, obs_time as timestamp, round(latitude,6)+0.0D as latitude from v_tracks")

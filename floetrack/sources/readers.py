@@ -9,6 +9,7 @@ from floetrack.config import KM_TO_NM_IMPORT, REGION_LAT, TRACK_ALIASES, TRACK_C
 from floetrack.functions.values import file_date, parse_time, to_number
 from floetrack.operators.clean import present_columns
 from floetrack.operators.grids import CELL
+from floetrack.sources.documents import SPLIT_BYTES, read_records
 
 FORMATS = {".csv": "csv", ".geojson": "geojson", ".json": "json", ".parquet": "parquet"}
 
@@ -64,13 +65,19 @@ def read_tracks_csv(spark, path):
     return normalize_tracks(_text(spark, path))
 
 
-GEOJSON = ("features array<struct<properties:map<string,string>,geometry:struct<coordinates:array<double>>>>")
+FEATURE = "struct<properties:map<string,string>,geometry:struct<coordinates:array<double>>>"
+GEOJSON = f"features array<{FEATURE}>"
 
 
 def tracks_from_features(docs):
-    """Rows of FeatureCollection documents: property fallbacks for id, time and size; features without coordinates or
-    readable time are left out."""
-    f = docs.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.coordinates")
+    """Rows of FeatureCollection documents (``features`` arrays), see ``feature_tracks``."""
+    return feature_tracks(docs.select(F.explode("features").alias("f")))
+
+
+def feature_tracks(features):
+    """Rows of features (``f``): property fallbacks for id, time and size; features without coordinates or readable time are
+    left out."""
+    f = features.select("f.properties", "f.geometry.coordinates")
     p = lambda *names: F.coalesce(*[F.try_element_at("properties", F.lit(n)) for n in names])
     size = lambda s: F.coalesce(to_number(p(f"{s}_nm")), to_number(p(f"{s}_km")) * KM_TO_NM_IMPORT)
     return f.filter(F.size("coordinates") >= 2).select(
@@ -80,9 +87,11 @@ def tracks_from_features(docs):
         size("length").alias("length_nm"), size("width").alias("width_nm")).filter("timestamp is not null")
 
 
-def read_tracks_geojson(spark, path):
-    """GeoJSON points; one document per file."""
-    return tracks_from_features(spark.read.schema(GEOJSON).option("multiLine", True).json(path))
+def read_tracks_geojson(spark, path, split_bytes=SPLIT_BYTES):
+    """GeoJSON points; a document larger than ``split_bytes`` is read by many tasks (None: Spark's reader, a task per document)."""
+    if split_bytes is None:
+        return tracks_from_features(spark.read.schema(GEOJSON).option("multiLine", True).json(path))
+    return feature_tracks(read_records(spark, path, "features", split_bytes).select(F.from_json("value", FEATURE).alias("f")))
 
 
 def read_tracks_json(spark, path, multiline=True):
