@@ -29,14 +29,19 @@ def op4(spark, sf_dir):
     return bytebpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op1_warc", """
-with p as (select page_id, encode(coalesce(html, '')) as body from pages),
-d as (select page_id, octet_length(body) as payload_bytes, sha256(body) as h, sha1(body) as x from p),
-b as (select *, max(page_id) over (partition by h) as top from d)
+@query("op1_warc", r"""
+with p as (select page_id, url, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, url, octet_length(body) as payload_bytes, sha256(body) as h, sha1(body) as x from p),
+b as (select *, max(page_id) over (partition by h) as top from d),
+k as (select *, page_id is distinct from top as again from b),
+t as (select *, 'WARC/1.1..WARC-Type: ' || case when again then 'revisit' else 'response' end || '..WARC-Record-ID: <urn:uuid:' || repeat('x', 36) || '>..WARC-Date: 2024-01-01T00:00:00Z..'
+  || coalesce('WARC-Target-URI: ' || url || '..', '') || coalesce('X-Page-ID: ' || page_id || '..', '') || 'WARC-Payload-Digest: sha1:' || repeat('x', 32) || '..'
+  || case when again then 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest..WARC-Refers-To: <urn:uuid:' || repeat('x', 36) || '>..X-Refers-To-Page-ID: ' || top || '..' else '' end
+  || 'Content-Type: text/html..Content-Length: ' || case when again then 0 else payload_bytes end || '......' as head from k)
 select page_id, payload_bytes, (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31 as int), 1), '' order by i) from range(32) t(i)) as payload_digest,
- case when page_id is not distinct from top then 'response' else 'revisit' end as record_type,
- case when page_id is distinct from top then top end as refers_to
-from b""")
+ case when again then 'revisit' else 'response' end as record_type,
+ case when again then top end as refers_to, octet_length(encode(head)) + 2 + case when again then 0 else payload_bytes end as record_bytes
+from t""")
 def op1(spark, sf_dir):
     from floetrack.llm import warc
     return warc.listing(spark, warc.write_archive(_table(spark, sf_dir, "pages")))

@@ -26,20 +26,25 @@ def records(pages, key="page_id", url="url", payload="html"):
             .withColumn("sha256", F.sha2("payload", 256)).withColumn("sha1", base32(F.sha1("payload"))).withColumn("bytes", F.octet_length("payload").cast("bigint")))
 
 
+def record_id(page):
+    """Record id of a page with the digest at hand: the same page and payload always have the same one."""
+    h = F.md5(F.concat_ws(":", F.lit("record"), F.col(page).cast("string"), "sha256").cast("binary"))
+    return F.format_string("<urn:uuid:%s>", F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+
+
 def header():
-    """Exact WARC/1.1 header block of a record, ending in the empty line."""
-    rid = F.format_string("<urn:uuid:%s>", F.concat_ws("-", *[F.substring(F.md5(F.concat_ws(":", F.lit("record"), F.col("page_id").cast("string"), "sha256").cast("binary")), a, n)
-                                                             for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+    """Exact WARC/1.1 header block of a record, ending in the empty line; a revisit names its response's record and page."""
     line = lambda name, v: F.concat(F.lit(f"{name}: "), v, F.lit(CRLF))
     revisit = F.col("kind") == "revisit"
     optional = lambda c, x: F.when(c, x).otherwise(F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1" + CRLF), line("WARC-Type", F.col("kind")), line("WARC-Record-ID", rid), line("WARC-Date", F.lit(DATE)),
+        F.lit("WARC/1.1" + CRLF), line("WARC-Type", F.col("kind")), line("WARC-Record-ID", record_id("page_id")), line("WARC-Date", F.lit(DATE)),
         optional(F.col("url").isNotNull(), line("WARC-Target-URI", F.coalesce("url", F.lit("")))),
         optional(F.col("page_id").isNotNull(), line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit("")))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         optional(revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        optional(revisit & F.col("response_id").isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("response_id").cast("string"), F.lit("")), F.lit(">")))),
+        optional(revisit, line("WARC-Refers-To", record_id("response_id"))),
+        optional(revisit, line("X-Refers-To-Page-ID", F.coalesce(F.col("response_id").cast("string"), F.lit("")))),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit(CRLF))
 
 
@@ -81,23 +86,27 @@ def field(name):
 
 
 def rebuild(spark, path):
-    """Every original record: page_id, record bytes (header, body if it is a response, record end), payload_bytes, payload."""
+    """Every original record: page_id, header, record bytes (header, body if it is a response, record end), payload.
+
+    Headers meet their payload by digest; each payload is shuffled once, and a payload that a third of all pages share is a hot
+    key of small header rows, which AQE splits.
+    """
     heads, bodies = read_archive(spark, path)
     own = bodies.dropDuplicates(["sha256"])
     j = heads.join(own, "sha256")
     body = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return j.select("page_id", F.concat("header", body, F.lit((CRLF * 2).encode())).alias("record"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload")
+    return j.select("page_id", "header", F.concat("header", body, F.lit((CRLF * 2).encode())).alias("record"), "payload")
 
 
 def listing(spark, path):
-    """What the archive says of each page: digest, type and reference from its header, length of its rebuilt payload.
+    """What the rebuilt records say of each page: digest and length of the payload, type, reference, bytes of the record.
 
-    Payload bytes are measured where they are stored, so a payload that a third of all pages share is read once.
+    Every payload must have its header's digest and length, else the job ends. NULL keys and repeated pages keep their rows.
     """
-    heads, bodies = read_archive(spark, path)
-    # the digest of the stored bytes, not the header's word
-    own = bodies.select("sha256", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest")).distinct()
-    agreed = F.when(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload disagree")))
-    ref = F.regexp_extract(F.coalesce(field("WARC-Refers-To"), F.lit("")), r"urn:page:(-?\d+)", 1)
-    return heads.join(own, "sha256").select("page_id", "payload_bytes", agreed.alias("payload_digest"), field("WARC-Type").alias("record_type"),
-                                            F.when(ref != "", ref).cast("bigint").alias("refers_to"))
+    r = rebuild(spark, path).select("page_id", "header", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+                                    base32(F.sha1("payload")).alias("payload_digest"), F.octet_length("record").cast("bigint").alias("record_bytes"))
+    kind, length = field("WARC-Type"), F.when(field("WARC-Type") == "response", F.col("payload_bytes")).otherwise(0)
+    agree = (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (field("Content-Length").cast("bigint") == length)
+    agreed = F.when(agree, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload disagree")))
+    return r.select("page_id", "payload_bytes", agreed.alias("payload_digest"), kind.alias("record_type"),
+                    field("X-Refers-To-Page-ID").cast("bigint").alias("refers_to"), "record_bytes")

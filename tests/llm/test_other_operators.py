@@ -26,8 +26,16 @@ def test_warc(spark):
         t = top[h or ""] if top[h or ""] > -10**9 else None
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == t else "revisit", None if i == t else t))
     order = lambda x: tuple((v is None, str(v)) for v in x)
-    assert sorted(map(tuple, warc.listing(spark, path).collect()), key=order) == sorted(want, key=order)
+    listed = warc.listing(spark, path)
+    assert sorted(map(tuple, listed.drop("record_bytes").collect()), key=order) == sorted(want, key=order)
     got = warc.rebuild(spark, path).collect()
+    assert sorted(len(r.record) for r in got) == sorted(r.record_bytes for r in listed.select("record_bytes").collect())
+    line = lambda r, name: dict(x.split(": ", 1) for x in bytes(r.header).decode().split("\r\n")[1:] if x).get(name)
+    named = {line(r, "WARC-Record-ID"): r for r in got if line(r, "WARC-Type") == "response"}
+    for r in got:  # a revisit refers to a response of the archive with its payload
+        if line(r, "WARC-Type") == "revisit":
+            first = named[line(r, "WARC-Refers-To")]
+            assert bytes(first.payload) == bytes(r.payload) and str(first.page_id) == line(r, "X-Refers-To-Page-ID")
     assert len(got) == len(rows)
     for r in got:
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
