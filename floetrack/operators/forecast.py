@@ -40,10 +40,14 @@ def current_drift(df, steps, dt_hours="median_dt_hours", seq_len=5, u="uo", v="v
                   default_hours=6.0):
     """Advection at the trailing mean current for ``steps`` steps from every fix (needs tangent-plane columns).
 
-    A step lasts the track's ``dt_hours`` (join ``median_step_hours``), ``default_hours`` where that is missing or not positive.
+    ``dt_hours`` is the length of a step: a number, or the column that holds it (join ``median_step_hours``), with
+    ``default_hours`` where that is NULL or not positive. A column that is not there is an error.
     """
+    if isinstance(dt_hours, str) and dt_hours not in df.columns:
+        raise ValueError(f"no column {dt_hours}: join median_step_hours or give the hours of a step")
     d = tr.trailing_mean(df, [u, v], seq_len, key, order, chunk)
-    dt = F.when(F.col(dt_hours) > 0, F.col(dt_hours)).otherwise(F.lit(float(default_hours))) if dt_hours in df.columns else F.lit(float(default_hours))
+    fixed = F.lit(float(default_hours if isinstance(dt_hours, str) else dt_hours))
+    dt = F.when(F.col(dt_hours) > 0, F.col(dt_hours)).otherwise(fixed) if isinstance(dt_hours, str) else fixed
     d = d.withColumn("_dt", dt).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(steps)))))
     x = F.col("x_km") + F.col(f"{u}_mean") * 3.6 * F.col("_dt") * F.col("k")
     y = F.col("y_km") + F.col(f"{v}_mean") * 3.6 * F.col("_dt") * F.col("k")

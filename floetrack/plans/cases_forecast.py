@@ -49,11 +49,15 @@ window w as (partition by p.iceberg_id order by p.obs_time, p.event_id rows betw
 
 
 @case("m03_current_drift", """
-select event_id, cast(k as int) as k, round(lat_o + (y+vv*3.6D*6D*k)/(pi()*6371.0088D/180D),6)+0.0D as pred_lat,
- round((((lon_o + (x+u*3.6D*6D*k)/((pi()*6371.0088D/180D)*cos(radians(lat_o)))+180D) % 360D)+360D) % 360D - 180D,6)+0.0D as pred_lon from o_cur, (select unnest([1,2,3]) as k)""")
+with m as (select iceberg_id, median(floor(epoch_us(obs_time)/3.6e9D)-floor(epoch_us(t0)/3.6e9D))::double as m from o_lag where t0 is not null group by 1),
+s as (select o.*, case when m > 0 then m else 6D end as h from o_cur o left join m using(iceberg_id))
+select event_id, cast(k as int) as k, round(h*k,3)+0.0D as hours_ahead, round(lat_o + (y+vv*3.6D*h*k)/(pi()*6371.0088D/180D),6)+0.0D as pred_lat,
+ round((((lon_o + (x+u*3.6D*h*k)/((pi()*6371.0088D/180D)*cos(radians(lat_o)))+180D) % 360D)+360D) % 360D - 180D,6)+0.0D as pred_lon from s, (select unnest([1,2,3]) as k)""")
 def m03(v):
     d, width = _env_tracks(v)
-    return fc.current_drift(d, 3, chunk=width).select("event_id", "k", rnd("pred_lat", 6).alias("pred_lat"), rnd("pred_lon", 6).alias("pred_lon"))
+    d = od.null_join(d, tr.median_step_hours(v.tracks, chunk=width), ["iceberg_id"], "left")
+    return fc.current_drift(d, 3, chunk=width).select("event_id", "k", rnd("hours_ahead", 3).alias("hours_ahead"), rnd("pred_lat", 6).alias("pred_lat"),
+                                                      rnd("pred_lon", 6).alias("pred_lon"))
 
 
 shared_cte("o_tail", """
