@@ -128,11 +128,11 @@ def polar_regrid(targets, src, grid_def, value="value"):
     g = grid_def
     xy = geo.polar_xy("latitude", "longitude", g["a"], g["b"], g["lat_ts"])
     t = targets.withColumn("_xy", xy)
-    # bankers' rounding, as the source index convention uses
-    t = (t.withColumn("ix", F.bround((F.col("_xy.x") - g["x0"]) / g["dx"]).cast("long"))
-         .withColumn("iy", F.bround((F.col("_xy.y") - g["y0"]) / g["dy"]).cast("long")))
+    # bankers' rounding, as the source index convention uses; far from the pole a position may pass every integer
+    t = (t.withColumn("ix", F.bround((F.col("_xy.x") - g["x0"]) / g["dx"]))
+         .withColumn("iy", F.bround((F.col("_xy.y") - g["y0"]) / g["dy"])))
     ok = F.col("ix").between(0, g["nx"] - 1) & F.col("iy").between(0, g["ny"] - 1)
-    t = t.withColumn("ix", F.when(ok, F.col("ix"))).withColumn("iy", F.when(ok, F.col("iy"))).drop("_xy")
+    t = t.withColumns({c: F.when(ok, F.col(c)).cast("long") for c in ("ix", "iy")}).drop("_xy")
     return t.join(src.select("iy", "ix", value), ["iy", "ix"], "left")
 
 
