@@ -122,19 +122,28 @@ def pair_distance(pairs, points, key, a="id_a", b="id_b"):
             .drop(*[f"_{c}_{s}" for c in ("la", "lo") for s in (a, b)]))
 
 
-def route_samples(waypoints, samples=50, route="route_id", order="wp_index", extra=(), chunk=od.AUTO):
-    """Points along every route: ``samples`` linear steps per segment (end excluded) plus the last waypoint."""
+def sample_segments(waypoints, route="route_id", order="wp_index", extra=(), chunk=od.AUTO):
+    """Waypoints with the position of the next one, ``_la`` and ``_lo`` (NULL at the last waypoint)."""
     wp = waypoints.select(route, order, "latitude", "longitude", *extra)
     width = od.chunk_width(wp, [route], [order], chunk)
     h = od.with_halo(wp, [route], [order], width, after=1)
     w = od.window([route], [order], width)
     h = h.withColumn("_la", F.lead("latitude").over(w)).withColumn("_lo", F.lead("longitude").over(w))
-    h = od.drop_halo(h)
+    return od.drop_halo(h)
+
+
+def segment_points(segments, samples, *keep):
+    """Sample points of ``sample_segments`` rows: ``samples`` linear steps (end excluded), of the last waypoint itself only."""
     steps = F.when(F.col("_la").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(samples - 1)))
     f = F.col("_s") / F.lit(float(samples))
     pt = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * f)
-    return (h.withColumn("_s", F.explode(steps)).select(
-        route, *extra, pt("latitude", "_la").alias("latitude"), pt("longitude", "_lo").alias("longitude")))
+    return (segments.withColumn("_s", F.explode(steps)).select(
+        *keep, pt("latitude", "_la").alias("latitude"), pt("longitude", "_lo").alias("longitude")))
+
+
+def route_samples(waypoints, samples=50, route="route_id", order="wp_index", extra=(), chunk=od.AUTO):
+    """Points along every route: ``samples`` linear steps per segment (end excluded) plus the last waypoint."""
+    return segment_points(sample_segments(waypoints, route, order, extra, chunk), samples, route, *extra)
 
 
 def route_distance(waypoints, points, point_id, samples=50, pairs=None, route="route_id", order="wp_index", levels=None):
@@ -145,13 +154,15 @@ def route_distance(waypoints, points, point_id, samples=50, pairs=None, route="r
     ``not_found``; neither has a distance.
     """
     n = waypoints.groupBy(route).agg(F.count(F.lit(1)).alias("_n"))
-    s = route_samples(waypoints, samples, route=route, order=order)
     if pairs is not None:
         p = points.select(point_id, F.col("latitude").alias("_pla"), F.col("longitude").alias("_plo"))
-        d = (pairs.join(p, point_id).join(s, route)
+        # pairs meet segments; sample points come after the join, so that they are neither shuffled nor sorted
+        s = sample_segments(waypoints, route, order)
+        d = (segment_points(pairs.select(route, point_id).join(p, point_id).join(s, route), samples, route, point_id, "_pla", "_plo")
              .groupBy(route, point_id).agg(F.min(geo.haversine("latitude", "longitude", "_pla", "_plo")).alias("distance_km")))
         out = pairs.join(n, route, "left").join(d, [route, point_id], "left")
     else:
+        s = route_samples(waypoints, samples, route=route, order=order)
         out = n.join(nearest_hazard(s, points, [point_id], route=route, levels=levels), route, "left")
     bad = F.coalesce(F.col("_n") < 2, F.lit(True))
     return (out.withColumn("status", F.when(bad, "invalid").when(F.col("distance_km").isNull(), "not_found").otherwise("ok"))
