@@ -173,7 +173,7 @@ def route_distance(waypoints, points, point_id, samples=50, pairs=None, route="r
 def nearest_hazard(samples, hazards, ties, payload=(), route="route_id", levels=None):
     """Nearest hazard of each route given the route's sample points: position, ids, ``distance_km``."""
     return nearest_join(samples, route, "latitude", "longitude", hazards, "latitude", "longitude", ties, payload,
-                        dist="distance_km", levels=levels)
+                        dist="distance_km", levels=levels, many=True)
 
 
 def match_place(points, point_id, places, km=5.0, levels=None):

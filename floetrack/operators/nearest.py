@@ -20,6 +20,7 @@ LEAF_TARGET = 512
 EPS = 1e-9
 RANKED_SITES = 250_000
 RANK_SPAN = 2 ** 28
+SHORT_LISTS = 250_000           # rows of all query cells' site lists that every task may hold; more are shuffled
 
 
 def _axes(lat, lon, metric):
@@ -127,9 +128,10 @@ def open_index(spark, folder):
 
 
 def nearest_join(queries, qid, qlat, qlon, sites, slat, slon, ties, payload=(), metric="sphere",
-                 levels=None, window=None, dist="dist_km", digits=6, radius=None):
+                 levels=None, window=None, dist="dist_km", digits=6, radius=None, many=False):
     """Nearest site of every query over an index built for this one join; see ``SiteIndex.nearest``."""
-    return build_index(sites, slat, slon, ties, payload, metric, levels).nearest(queries, qid, qlat, qlon, window, dist, digits, radius)
+    index = build_index(sites, slat, slon, ties, payload, metric, levels)
+    return index.nearest(queries, qid, qlat, qlon, window, dist, digits, radius, many=many)
 
 
 class SiteIndex:
@@ -139,7 +141,7 @@ class SiteIndex:
         self.positions, self.boxes, self.levels, self.ranked = positions, boxes, levels, ranked
         self.metric, self.ties, self.columns = metric, list(ties), list(columns)
 
-    def nearest(self, queries, qid, qlat, qlon, window=None, dist="dist_km", digits=6, radius=None, group=None):
+    def nearest(self, queries, qid, qlat, qlon, window=None, dist="dist_km", digits=6, radius=None, group=None, many=False):
         """Nearest site of every query: ``qid``, site position, the index's tie and payload columns, ``dist``.
 
         ``qid`` may repeat (the sample points of a route): then the nearest site over all rows of the id is found.
@@ -147,12 +149,13 @@ class SiteIndex:
         Distances equal to ``digits`` decimals count as ties, resolved by the index's tie columns in ascending order.
         ``window=(lo, hi)`` names query columns bounding the site longitude; ``group`` an integer column from 0 to 3 that
         keeps queries of unlike windows in cells of their own, so that each cell's bounds stay tight. Queries without any
-        admissible site return no row. Metric ``sphere`` is in kilometres, ``plane`` in degrees.
+        admissible site return no row. Metric ``sphere`` is in kilometres, ``plane`` in degrees. ``many``: far more queries
+        than query cells; the cells' site lists are written and counted first, and short ones go to the queries as a whole.
         """
-        return _walk(self, queries, qid, qlat, qlon, window, dist, digits, radius, group)
+        return _walk(self, queries, qid, qlat, qlon, window, dist, digits, radius, group, many)
 
 
-def _walk(index, queries, qid, qlat, qlon, window, dist, digits, radius, group):
+def _walk(index, queries, qid, qlat, qlon, window, dist, digits, radius, group, many):
     metric, levels, keep, ties = index.metric, index.levels, index.columns, index.ties
     pos = _placed(index.positions, metric, levels)
     n = True if index.ranked and digits <= 6 else None
@@ -197,7 +200,9 @@ def _walk(index, queries, qid, qlat, qlon, window, dist, digits, radius, group):
     near = prune(cand.join(leaf, "_at"), pick, "_", "_", "_lon", "_lon")
     # Query cells keep few sites each, so the list of a partition fits a hash table; neither side is broadcast on an
     # estimate, and partitions skewed by a hot query cell are split at run time.
-    hit = q.select(*base, "_k").join(near.hint("shuffle_hash"), "_k")
+    near = materialize(near) if many else near
+    short = many and near.count() <= SHORT_LISTS
+    hit = q.select(*base, "_k").join(F.broadcast(near) if short else near.hint("shuffle_hash"), "_k")
     if window:
         hit = hit.filter("_lon between _wlo and _whi")
     if metric == "plane":

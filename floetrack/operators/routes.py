@@ -8,7 +8,7 @@ from floetrack.functions.values import rnd
 from floetrack.operators import ordered as od
 from floetrack.operators.axes import grid_axes
 from floetrack.operators.grids import regrid_nearest
-from floetrack.operators.joins import iceberg_positions, nearest_hazard, route_samples, sample_grid
+from floetrack.operators.joins import iceberg_positions, nearest_hazard, sample_grid, sample_segments, segment_points
 from floetrack.operators.nearest import nearest_join
 from floetrack.operators.stats import attach
 from floetrack.session import materialize
@@ -208,7 +208,8 @@ def route_alerts(routes, waypoints, ice=None, bergs=None, cfg=None, levels=None)
 
     ``routes`` has (route_id, label). The sea-ice alert reports the nearest observed cell, not the worst one.
     """
-    samples = route_samples(waypoints, 5)
+    if ice is not None or bergs is not None:      # written once: each source reads the sample points twice
+        samples = segment_points(materialize(sample_segments(waypoints)), 5, "route_id")
     up = F.upper("severity")
     out = []
     for kind, src in (("sea-ice", ice), ("iceberg", bergs)):

@@ -4,6 +4,8 @@ import math
 import pytest
 
 from floetrack.operators import joins as j
+from floetrack.operators import nearest as nr
+from floetrack.operators import routes as r
 
 
 @pytest.fixture()
@@ -41,3 +43,22 @@ def test_listed_pairs_meet_segments_not_sample_points(spark, waypoints, bergs):
                   for k, b, s in [(1, "B3", "ok"), (2, "B5", "ok"), (2, "B5", "ok"), (3, "none", "not_found"), (0, "B1", "invalid"), (9, "B1", "invalid")])
     got = sorted((x.route_id, x.iceberg_id, x.status, None if x.distance_km is None else round(x.distance_km, 6)) for x in d.collect())
     assert got == want
+
+
+@pytest.mark.parametrize("short", [0, 250_000])
+def test_nearest_hazard_with_short_and_long_lists(waypoints, bergs, monkeypatch, short):
+    monkeypatch.setattr(nr, "SHORT_LISTS", short)
+    d = j.nearest_hazard(j.route_samples(waypoints, 5), bergs, ["iceberg_id"])
+    assert ("BroadcastHashJoin [_k" in d._jdf.queryExecution().executedPlan().toString()) == (short > 0)
+    at = [((b.latitude, b.longitude), b.iceberg_id) for b in bergs.collect()]
+    want = {k: min((round(km(x, p), 6), i) for x in xs for p, i in at) for k, xs in sampled(waypoints, 5).items()}
+    assert {x.route_id: (round(x.distance_km, 6), x.iceberg_id) for x in d.collect()} == want
+
+
+def test_alerts_compute_segments_once(spark, waypoints, bergs):
+    ice = bergs.selectExpr("latitude", "longitude", "0.5D as sic")
+    routes = waypoints.selectExpr("route_id", "'main' as label").distinct()
+    d = r.route_alerts(routes, waypoints, ice, bergs)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan, plan                       # read from the written table
+    assert d.count() == 12
