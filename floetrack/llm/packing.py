@@ -4,9 +4,12 @@ Documents are tokenised and cut into pieces of at most ``size`` ids. The histogr
 whatever the corpus) is packed on the driver: lengths longest first, each placed in the emptiest open pattern that takes
 it, as counts. Patterns are then joined back to the pieces by their rank among the pieces of one length.
 """
+import json
 import os
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,47 @@ def _encoder(path):
     if path not in _loaded:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _loaded[path] = t
+        _loaded[path] = t, has_steps(t)
     return _loaded[path]
 
 
+# Words of lower-case Latin-1 letters, with marks after them if any: where a tokenizer has these steps (NFC and lower case, which
+# leave such words as they are; runs of letters and of other marks as pieces; bytes as characters), the pieces are known, and
+# its model is called on them without the steps, which take most of the time.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?$]*)")
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}], [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves as characters
+AS_CHARACTERS = dict(zip([b for b in range(256) if b not in SHOWN], range(256, 512)))
+
+
+def has_steps(tok):
+    d = json.loads(tok.to_str())
+    return tuple((d[k] or {}).get(f) for k, f in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))) == STEPS and d["model"]["type"] == "BPE"
+
+
+def encode_words(path, ws):
+    """Packed ids of words, each as the tokenizer encodes it alone."""
+    tok, known = _encoder(path)
+    out, rest = [], []
+    ids = lambda s: [t.id for t in tok.model.tokenize(s)]
+    for i, w in enumerate(ws):
+        m = PLAIN.fullmatch(w) if known else None
+        if m is None:
+            rest.append(i)
+            out.append(None)
+            continue
+        a, z = m.groups()
+        a = ids(a.decode() if a.isascii() else a.decode("latin-1").translate(AS_CHARACTERS))
+        out.append(array("I", a + ids(z.decode()) if z else a).tobytes())
+    for k in range(0, len(rest), 10_000):
+        at = rest[k:k + 10_000]
+        for i, e in zip(at, tok.encode_batch_fast([ws[i].decode() for i in at], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+    return out
+
+
 def special(path):
     """Packed id of each special-token string (bytes)."""
     return {a.content.encode(): np.array([i], "<u4").tobytes() for i, a in Tokenizer.from_file(path).get_added_tokens_decoder().items() if a.special}
@@ -54,16 +94,11 @@ def pieces(docs, path, size=2048, end_id=1, key="doc_id", text="text", block_byt
     own = special(path)
 
     def emit(b, got):
-        words = {}
-        for x in b.texts():
-            words.update(dict.fromkeys(split(x, own)))
-        return W.send_words(words, n)
+        return W.send_words(dict.fromkeys(chain.from_iterable(split(x, own) for x in b.texts())), n)
 
     def answer(payloads):
         def encode(ws):
-            tok, out = _encoder(path), []
-            for i in range(0, len(ws), 10_000):
-                out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in ws[i:i + 10_000]], add_special_tokens=False)]
+            out = encode_words(path, ws)
             return [own[w[1:]] if w[:1] == b" " else x for w, x in zip(ws, out)]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return W.answer_words(payloads, encode)
