@@ -94,10 +94,13 @@ def read_tracks_geojson(spark, path, split_bytes=SPLIT_BYTES):
     return feature_tracks(read_records(spark, path, "features", split_bytes).select(F.from_json("value", FEATURE).alias("f")))
 
 
+def _json_text(spark, path, multiline=True):
+    return spark.read.option("multiLine", multiline).option("primitivesAsString", True).json(path)
+
+
 def read_tracks_json(spark, path, multiline=True):
     """JSON array of records per file, or one record per line (splittable) with ``multiline=False``."""
-    raw = spark.read.option("multiLine", multiline).option("primitivesAsString", True).json(path)
-    return normalize_tracks(raw)
+    return normalize_tracks(_json_text(spark, path, multiline))
 
 
 def read_tracks_parquet(spark, path):
@@ -114,7 +117,10 @@ def read_tracks(spark, path, fmt=None):
         docs = spark.read.schema("features string").option("multiLine", True).json(path)
         kinds = docs.agg(F.max(F.col("features").isNotNull()).alias("geo"), F.max(F.col("features").isNull()).alias("records")).first()
         if kinds["geo"] and kinds["records"]:      # each reader passes over the documents of the other kind: they hold no time there
-            return read_tracks_json(spark, path).unionByName(read_tracks_geojson(spark, path), allowMissingColumns=True)
+            raw = _json_text(spark, path)
+            if not {c.strip().lower() for c in raw.columns} & {*TRACK_COLUMNS, *TRACK_ALIASES}:      # the others hold no field of a record
+                return read_tracks_geojson(spark, path)
+            return normalize_tracks(raw).unionByName(read_tracks_geojson(spark, path), allowMissingColumns=True)
         fmt = "geojson" if kinds["geo"] else "json"
     return {"csv": read_tracks_csv, "geojson": read_tracks_geojson, "json": read_tracks_json,
             "parquet": read_tracks_parquet}[fmt](spark, path)
